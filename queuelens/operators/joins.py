@@ -1,0 +1,26 @@
+"""Joins with a checked broadcast side."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# The specialty mapping has 78 rows; anything far beyond that is not a
+# dimension any more and goes through a shuffle join.
+DIM_MAX_ROWS = 100_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when df has at most max_rows rows (reads at most max_rows+1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "left",
+                 max_rows: int = DIM_MAX_ROWS) -> DataFrame:
+    """Broadcast ``small`` only after proving it has at most ``max_rows`` rows.
+
+    Beyond the bound the join is left to the planner (sort-merge / shuffle
+    hash with AQE skew handling), so correctness never depends on the size.
+    """
+    side = F.broadcast(small) if row_count_at_most(small, max_rows) else small
+    return big.join(side, on, how)
