@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 # dimension any more and goes through a shuffle join.
 DIM_MAX_ROWS = 100_000
 
+# (plan hash, input files, bound) -> verdict; a side is re-checked when its
+# plan or its files change.
+_BOUND_CACHE: dict[tuple, bool] = {}
+
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when df has at most max_rows rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when df has at most max_rows rows (reads at most max_rows+1 rows)."""
+    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    verdict = _BOUND_CACHE.get(key)
+    if verdict is None:
+        verdict = df.limit(max_rows + 1).count() <= max_rows
+        _BOUND_CACHE[key] = verdict
+    return verdict
 
 
 def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "left",

@@ -25,17 +25,17 @@ def _bind(fn, o: Options) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def all_plans(o: Options = Options()) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from queuelens.plans import reports
+    from queuelens.plans import products, reports
     plans = {}
-    for table in (reports.REPORTS,):
+    for table in (reports.REPORTS, products.PRODUCTS):
         for name, fn in table.items():
             plans[name] = _bind(fn, o)
     return plans
 
 
 def all_sql() -> dict[str, str]:
-    from queuelens.plans import reports
+    from queuelens.plans import products, reports
     out = {}
-    for table in (reports.SQL,):
+    for table in (reports.SQL, products.SQL):
         out.update(table)
     return out
