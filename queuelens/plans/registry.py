@@ -25,17 +25,17 @@ def _bind(fn, o: Options) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def all_plans(o: Options = Options()) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from queuelens.plans import products, reports, statistics
+    from queuelens.plans import products, published, reports, statistics
     plans = {}
-    for table in (reports.REPORTS, products.PRODUCTS, statistics.STATISTICS):
+    for table in (reports.REPORTS, products.PRODUCTS, statistics.STATISTICS, published.PUBLISHED):
         for name, fn in table.items():
             plans[name] = _bind(fn, o)
     return plans
 
 
 def all_sql() -> dict[str, str]:
-    from queuelens.plans import products, reports, statistics
+    from queuelens.plans import products, published, reports, statistics
     out = {}
-    for table in (reports.SQL, products.SQL, statistics.SQL):
+    for table in (reports.SQL, products.SQL, statistics.SQL, published.SQL):
         out.update(table)
     return out
