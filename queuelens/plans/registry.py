@@ -25,9 +25,10 @@ def _bind(fn, o: Options) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def all_plans(o: Options = Options()) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from queuelens.plans import products, published, reports, statistics
+    from queuelens.plans import export, products, published, reports, statistics
     plans = {}
-    for table in (reports.REPORTS, products.PRODUCTS, statistics.STATISTICS, published.PUBLISHED):
+    for table in (reports.REPORTS, products.PRODUCTS, statistics.STATISTICS, published.PUBLISHED,
+                  export.EXPORTS):
         for name, fn in table.items():
             plans[name] = _bind(fn, o)
     return plans
