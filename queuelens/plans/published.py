@@ -204,17 +204,17 @@ def null_audit(wl: WaitingList, o: Options = Options()) -> DataFrame:
                     "null_count"))
 
 
-def _null_audit_sql() -> str:
+def _null_audit_body() -> str:
     parts = []
     for ds, cols in _AUDIT_COLS.items():
         cond = "TRUE" if ds == "Combined" else f"patient_type = '{ds}'"
         for col in cols:
             parts.append(f"SELECT '{ds}' AS dataset, '{col}' AS column_name, "
                          f"COUNT(*) FILTER (WHERE {cond} AND {col} IS NULL) AS null_count FROM combined")
-    return S.with_adapter("SELECT * FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE null_count > 0")
+    return "SELECT * FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE null_count > 0"
 
 
-SQL["null_audit"] = _null_audit_sql()
+SQL["null_audit"] = S.with_adapter(_null_audit_body())
 
 
 def load_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
@@ -237,14 +237,15 @@ def load_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
     return c.agg(*aggs).select(F.inline(rows))
 
 
-SQL["load_summary"] = S.with_adapter("""
+_LOAD_SUMMARY_BODY = """
 SELECT patient_type AS dataset, COUNT(*) AS records, CAST(SUM(total) AS BIGINT) AS total_patients,
        MIN(archive_date) AS first_date, MAX(archive_date) AS last_date,
        COUNT(DISTINCT specialty_name) AS specialties, COUNT(DISTINCT specialty_group) AS specialty_groups
 FROM combined GROUP BY patient_type
 UNION ALL
 SELECT 'Combined', COUNT(*), CAST(SUM(total) AS BIGINT), MIN(archive_date), MAX(archive_date),
-       COUNT(DISTINCT specialty_name), COUNT(DISTINCT specialty_group) FROM combined""")
+       COUNT(DISTINCT specialty_name), COUNT(DISTINCT specialty_group) FROM combined"""
+SQL["load_summary"] = S.with_adapter(_LOAD_SUMMARY_BODY)
 
 
 def load_audit(wl: WaitingList, o: Options = Options()) -> DataFrame:
@@ -258,6 +259,13 @@ def load_audit(wl: WaitingList, o: Options = Options()) -> DataFrame:
     return long.unionByName(nulls)
 
 
+_AUDIT_METRICS = ["records", "total_patients", "first_date", "last_date", "specialties", "specialty_groups"]
+SQL["load_audit"] = S.with_adapter("\nUNION ALL\n".join(
+    [f"SELECT dataset, '{m}' AS metric, CAST({m} AS VARCHAR) AS value FROM ls" for m in _AUDIT_METRICS]
+    + ["SELECT dataset, 'nulls:' || column_name AS metric, CAST(null_count AS VARCHAR) AS value FROM na"]),
+    ctes=f"ls AS ({_LOAD_SUMMARY_BODY}),\nna AS ({_null_audit_body()})")
+
+
 def pk_duplicates(wl: WaitingList, o: Options = Options()) -> DataFrame:
     """Dimension keys that occur more than once (they would multiply fact rows)."""
     return (wl.dim.groupBy("specialty_name").agg(F.count(F.lit(1)).alias("occurrences"))

@@ -51,5 +51,5 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_known_non_sql():
     non_sql = {"kruskal_p", "mann_whitney_p", "chi2_p", "spearman_p", "pearson_p", "stat_tests",
-               "dashboard_json", "run_summary", "load_audit"}
+               "dashboard_json", "run_summary"}
     assert set(QUERIES) - set(SQL) <= non_sql
