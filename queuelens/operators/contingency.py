@@ -1,9 +1,11 @@
 """Contingency tables and the chi-square test of independence.
 
 Cells are record counts per (row, column) pair, kept long. The table is
-densified over the categories seen in each margin by pivoting the rows
-over the column categories (an aggregate) and unpivoting back; expected
-counts come from window sums over the small long table.
+densified over the categories seen in each margin: every row category is
+expanded over the set of column categories (collected by a window over the
+small aggregated cell table, so no extra pass over the data and no
+cartesian join), then left-joined to the counts. Expected counts come from
+window sums over the same small table.
 """
 
 from __future__ import annotations
@@ -12,15 +14,21 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 
+def densify_cells(cells: DataFrame, row: str, column: str, value: str = "observed") -> DataFrame:
+    """Every row category x every column category of a small cell table, 0-filled."""
+    cols = F.collect_set(column).over(W.partitionBy())
+    dom = (cells.select(row, cols.alias("_cols")).dropDuplicates([row])
+           .select(row, F.explode("_cols").alias(column)))
+    return (dom.join(cells, [row, column], "left")
+            .select(row, column, F.coalesce(F.col(value), F.lit(0)).cast("long").alias(value)))
+
+
 def crosstab_long(df: DataFrame, row: str, column: str) -> DataFrame:
     """(row, column, observed) for every row x column category pair, zeros kept;
     rows with a null in either key are left out (as a crosstab does)."""
     clean = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
     cells = clean.groupBy(row, column).agg(F.count(F.lit(1)).alias("observed"))
-    wide = cells.groupBy(row).pivot(column).agg(F.first("observed"))
-    cats = [c for c in wide.columns if c != row]
-    stack = wide.unpivot([row], cats, column, "observed")
-    return stack.select(row, column, F.coalesce(F.col("observed"), F.lit(0)).cast("long").alias("observed"))
+    return densify_cells(cells, row, column)
 
 
 def expected(ct: DataFrame, row: str, column: str) -> DataFrame:

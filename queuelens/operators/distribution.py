@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from queuelens.functions import measures as M
-from queuelens.operators.joins import join_bounded
+from queuelens.operators.joins import join_derived
 
 CNT = "cnt"
 # Per-key statistics rows are bounded by the number of keys (years, types).
@@ -51,7 +51,7 @@ def describe(vc: DataFrame, keys: list[str], value: str = "total") -> DataFrame:
         F.max_by(F.col(value), F.struct(c, -F.col(value))).alias("mode"),
         F.percentile(F.col(value), [0.5, 0.25, 0.75, 0.05, 0.95, 0.99], c).alias("_q"))
     base = base.withColumn("mean", F.col("sum").cast("double") / F.col("n").cast("double"))
-    joined = join_bounded(vc, base.select(*keys, "mean", "_q"), keys, "inner", KEY_ROWS_MAX)
+    joined = join_derived(vc, base.select(*keys, "mean", "_q"), keys)
     d = x - F.col("mean")
     q1, q3 = F.col("_q")[1], F.col("_q")[2]
     iqr = q3 - q1
@@ -92,7 +92,7 @@ def histogram(vc: DataFrame, keys: list[str], value: str, bins: int, upper_q: fl
     p = p.select(*keys, "clip_at",
                  F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
                  F.when(same, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"))
-    v = join_bounded(vc, p, keys, "inner", KEY_ROWS_MAX)
+    v = join_derived(vc, p, keys)
     clipped = F.least(F.col(value).cast("double"), F.col("clip_at"))
     idx = F.floor((clipped - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo"))))
     idx = F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1)).cast("int")
@@ -115,7 +115,7 @@ def box_stats(vc: DataFrame, keys: list[str], value: str = "x", whis: float = 1.
     q = q.select(*keys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    v = join_bounded(vc, q, keys, "inner", KEY_ROWS_MAX)
+    v = join_derived(vc, q, keys)
     lo_lim = F.col("q1") - F.lit(whis) * F.col("iqr")
     hi_lim = F.col("q3") + F.lit(whis) * F.col("iqr")
     x = F.col(value)
@@ -123,7 +123,7 @@ def box_stats(vc: DataFrame, keys: list[str], value: str = "x", whis: float = 1.
         F.min(F.when(x >= lo_lim, x)).alias("whisker_low"),
         F.max(F.when(x <= hi_lim, x)).alias("whisker_high"))
     out = q.join(wk, keys, "inner")
-    v2 = join_bounded(vc, out.select(*keys, "whisker_low", "whisker_high"), keys, "inner", KEY_ROWS_MAX)
+    v2 = join_derived(vc, out.select(*keys, "whisker_low", "whisker_high"), keys)
     fl = v2.groupBy(*keys).agg(F.sum(F.when(
         (F.col(value) < F.col("whisker_low")) | (F.col(value) > F.col("whisker_high")),
         F.col(CNT)).otherwise(F.lit(0))).alias("fliers"))
@@ -149,12 +149,12 @@ def gaussian_kde(vc: DataFrame, keys: list[str], value: str = "x", points: int =
     n = F.col("n").cast("double")
     mean = F.col("_sx") / n
     st = st.withColumn("_mean", mean)
-    v = join_bounded(vc, st.select(*keys, "_mean"), keys, "inner", KEY_ROWS_MAX)
+    v = join_derived(vc, st.select(*keys, "_mean"), keys)
     ss = v.groupBy(*keys).agg(F.sum(c * (x - F.col("_mean")) * (x - F.col("_mean"))).alias("_ss"))
     st = st.join(ss, keys, "inner")
     sigma = F.sqrt(F.col("_ss") / (n - 1)) * F.pow(n, F.lit(-0.2))
     st = st.select(*keys, "n", "vmin", "vmax", sigma.alias("bw"))
-    v = join_bounded(vc, st, keys, "inner", KEY_ROWS_MAX)
+    v = join_derived(vc, st, keys)
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     v = v.select(*keys, value, CNT, "n", "vmin", "vmax", "bw", grid)
     coord = F.col("vmin") + F.col("point") * ((F.col("vmax") - F.col("vmin")) / F.lit(float(points - 1)))

@@ -33,3 +33,17 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "left",
     """
     side = F.broadcast(small) if row_count_at_most(small, max_rows) else small
     return big.join(side, on, how)
+
+
+def join_derived(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join to a small table derived from the facts (per-key statistics,
+    mid-ranks of distinct values).
+
+    Its size is only known once it has been computed, so no count is run up
+    front (that would scan the facts an extra time). Adaptive execution
+    materialises the small side's shuffle first and switches to a broadcast
+    join when its measured size is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
+    shuffle join.
+    """
+    return big.join(small, on, how)

@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from queuelens.operators.distribution import CNT, cumulative_midranks
-from queuelens.operators.joins import join_bounded
-
-VALUE_ROWS_MAX = 5_000_000
+from queuelens.operators.joins import join_derived
 
 
 def _ranked(vc: DataFrame, value: str) -> DataFrame:
@@ -25,7 +23,7 @@ def _ranked(vc: DataFrame, value: str) -> DataFrame:
     is needed for it.
     """
     mr = cumulative_midranks(vc, value)
-    r = join_bounded(vc, mr, value, "inner", VALUE_ROWS_MAX)
+    r = join_derived(vc, mr, value)
     t = F.col("ties").cast("double")
     return r.withColumn("_tie", F.col(CNT).cast("double") * (t * t - 1.0))
 

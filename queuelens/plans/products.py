@@ -18,7 +18,7 @@ from queuelens.functions.constants import (ADULT_CHILD, AGE_PROFILES, PATIENT_TY
 from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
 from queuelens.operators.contingency import crosstab_long, expected
-from queuelens.operators.joins import join_bounded
+from queuelens.operators.joins import join_derived
 from queuelens.operators.model import WaitingList
 from queuelens.plans import sqlkit as S
 
@@ -105,7 +105,7 @@ def histogram_by_type(wl: WaitingList, o: Options = Options()) -> DataFrame:
     marks = vc.groupBy("patient_type").agg(
         M.round_half(F.sum(F.col("total") * F.col(D.CNT)) / F.sum(D.CNT), 4).alias("mean_total"),
         M.round_half(F.percentile("total", F.lit(0.5), F.col(D.CNT)), 4).alias("median_total"))
-    return join_bounded(h, marks, "patient_type", "inner", KEYS_MAX).orderBy("patient_type", "bin")
+    return join_derived(h, marks, "patient_type").orderBy("patient_type", "bin")
 
 
 SQL["histogram_by_type"] = S.with_adapter(f"""
@@ -439,7 +439,7 @@ def violin_by_year(wl: WaitingList, o: Options = Options()) -> DataFrame:
     k = D.gaussian_kde(vc, ["year"], "x", o.kde_points)
     med = vc.groupBy("year").agg(F.percentile("x", F.lit(0.5), F.col(D.CNT)).alias("_med"),
                                   F.min("x").alias("_min"), F.max("x").alias("_max"))
-    out = join_bounded(k, med, "year", "inner", KEYS_MAX)
+    out = join_derived(k, med, "year")
     return out.select("year", "point", M.round_half("coord", 6).alias("coord"),
                       M.round_half("density", 6).alias("density"),
                       M.round_half("_med", 6).alias("median"), M.round_half("_min", 6).alias("min_x"),

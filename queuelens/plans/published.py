@@ -10,7 +10,7 @@ from queuelens.functions import measures as M
 from queuelens.functions.constants import ELDERLY_AGE, PATIENT_TYPES
 from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
-from queuelens.operators.joins import DIM_MAX_ROWS, join_bounded
+from queuelens.operators.joins import DIM_MAX_ROWS, join_bounded, join_derived
 from queuelens.operators.model import WaitingList, drop_null_age, waiting_list
 from queuelens.operators.ranktests import spearman
 from queuelens.plans import sqlkit as S
@@ -314,7 +314,7 @@ def winsorised_total(wl: WaitingList, o: Options = Options()) -> DataFrame:
     vc = D.value_counts(wl.combined(), ["patient_type"], "total")
     p = vc.groupBy("patient_type").agg(
         F.percentile("total", F.lit(float(o.winsor_quantile)), F.col(D.CNT)).alias("clip_at"))
-    v = join_bounded(vc, p, "patient_type", "inner", D.KEY_ROWS_MAX)
+    v = join_derived(vc, p, "patient_type")
     clipped = F.least(F.col("total").cast("double"), F.col("clip_at"))
     return (v.groupBy("patient_type", "clip_at")
             .agg(F.sum(F.when(F.col("total") > F.col("clip_at"), F.col(D.CNT)).otherwise(0)).alias("clipped_records"),

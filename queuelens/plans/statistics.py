@@ -23,7 +23,7 @@ from queuelens.functions.constants import (PATIENT_TYPES, SIGNIFICANCE_ALPHA,
                                            SIGNIFICANCE_LABELS, STRENGTH_CUTS, STRENGTH_LABELS)
 from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
-from queuelens.operators.contingency import chi_square
+from queuelens.operators.contingency import chi_square, densify_cells
 from queuelens.operators.model import WaitingList
 from queuelens.operators.ranktests import kruskal_wallis, mann_whitney, pearson, spearman
 from queuelens.plans import sqlkit as S
@@ -63,11 +63,7 @@ def spec_year(c: DataFrame) -> DataFrame:
 
 
 def _dense_cells(cells: DataFrame) -> DataFrame:
-    wide = cells.groupBy("adult_child").pivot("time_bands").agg(F.first("observed"))
-    cats = [x for x in wide.columns if x != "adult_child"]
-    long = wide.unpivot(["adult_child"], cats, "time_bands", "observed")
-    return long.select("adult_child", "time_bands",
-                       F.coalesce("observed", F.lit(0)).cast("long").alias("observed"))
+    return densify_cells(cells, "adult_child", "time_bands")
 
 
 # statistics -------------------------------------------------------------------
