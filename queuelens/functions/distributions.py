@@ -147,3 +147,26 @@ def normal_two_sided_udf(z: pd.Series) -> pd.Series:
 def corr_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([_nullable(corr_p(a, b)) if pd.notna(a) and pd.notna(b) else None
                       for a, b in zip(r, n)], dtype="float64")
+
+
+def p_value(kind: str, stat: float, param: float) -> float | None:
+    """Two-sided / upper-tail p for a named test statistic.
+
+    kind: 'chi2' (stat, dof), 'z' (normal z), 'corr' (r, n).
+    """
+    if stat is None or param is None or (isinstance(stat, float) and math.isnan(stat)):
+        return None
+    if kind == "chi2":
+        return _nullable(chi2_sf(stat, param))
+    if kind == "z":
+        return 2.0 * normal_sf(abs(stat))
+    if kind == "corr":
+        return _nullable(corr_p(stat, param))
+    return None
+
+
+@F.pandas_udf(T.DoubleType())
+def p_value_udf(kind: pd.Series, stat: pd.Series, param: pd.Series) -> pd.Series:
+    """All tail probabilities of a test table in one vectorised Python pass."""
+    return pd.Series([p_value(k, s if pd.notna(s) else None, q if pd.notna(q) else None)
+                      for k, s, q in zip(kind, stat, param)], dtype="float64")

@@ -27,6 +27,7 @@ from queuelens.operators.contingency import chi_square, densify_cells
 from queuelens.operators.model import WaitingList
 from queuelens.operators.ranktests import kruskal_wallis, mann_whitney, pearson, spearman
 from queuelens.plans import sqlkit as S
+from queuelens.session import ensure_checkpoint_dir
 
 SQL: dict[str, str] = {}
 IP = PATIENT_TYPES[0]
@@ -225,32 +226,70 @@ FROM (SELECT year, AVG(wait_rank) AS a FROM combined GROUP BY year) WHERE a IS N
 
 # K25 --------------------------------------------------------------------------
 def tests_table(vc_year, vc_type, cells, wy, sy) -> DataFrame:
-    """One row per test: test, statistic, p_value, dof (or n), conclusion."""
-    sig = F.when(F.col("p_value") < F.lit(SIGNIFICANCE_ALPHA), F.lit(SIGNIFICANCE_LABELS[0])) \
-           .otherwise(F.lit(SIGNIFICANCE_LABELS[1]))
+    """One row per test: test, statistic, p_value, dof (or n), conclusion.
 
-    def row(df, name, stat, p, dof):
+    The one-row statistics are unioned first and all tail probabilities are
+    evaluated by a single pandas UDF over the small union.
+    """
+    def row(df, name, stat, kind, p_stat, p_param, dof):
         return df.select(F.lit(name).alias("test"), F.col(stat).cast("double").alias("statistic"),
-                         p.alias("p_value"), F.col(dof).cast("double").alias("dof_or_n"))
+                         F.lit(kind).alias("_kind"), F.col(p_stat).cast("double").alias("_ps"),
+                         F.col(p_param).cast("double").alias("_pp"),
+                         F.col(dof).cast("double").alias("dof_or_n"))
 
     kw = kw_frame(vc_year)
     mw = mw_frame(vc_type)
     chi = chi2_frame(cells)
     sp = spearman_frame(wy)
     pr = pearson_frame(sy)
-    chi_p = P.chi2_sf_udf(F.col("chi2"), F.col("dof").cast("double"))
-    rows = (row(kw, "kruskal_wallis", "h", P.chi2_sf_udf(F.col("h"), F.col("dof").cast("double")), "dof")
-            .unionByName(row(mw, "mann_whitney", "u", P.normal_two_sided_udf(F.col("z")), "n1"))
-            .unionByName(row(chi, "chi_square", "chi2", chi_p, "dof"))
-            .unionByName(row(chi, "cramers_v", "cramers_v", chi_p, "n"))
-            .unionByName(row(sp, "spearman", "rho", P.corr_p_udf(F.col("rho"), F.col("n").cast("double")), "n"))
-            .unionByName(row(pr, "pearson", "r", P.corr_p_udf(F.col("r"), F.col("n").cast("double")), "n")))
-    return rows.withColumn("conclusion", sig)
+    rows = (row(kw, "kruskal_wallis", "h", "chi2", "h", "dof", "dof")
+            .unionByName(row(mw, "mann_whitney", "u", "z", "z", "n1", "n1"))
+            .unionByName(row(chi, "chi_square", "chi2", "chi2", "chi2", "dof", "dof"))
+            .unionByName(row(chi, "cramers_v", "cramers_v", "chi2", "chi2", "dof", "n"))
+            .unionByName(row(sp, "spearman", "rho", "corr", "rho", "n", "n"))
+            .unionByName(row(pr, "pearson", "r", "corr", "r", "n", "n")))
+    p = P.p_value_udf(F.col("_kind"), F.col("_ps"), F.col("_pp"))
+    sig = F.when(F.col("p_value") < F.lit(SIGNIFICANCE_ALPHA), F.lit(SIGNIFICANCE_LABELS[0])) \
+           .otherwise(F.lit(SIGNIFICANCE_LABELS[1]))
+    return (rows.select("test", "statistic", p.alias("p_value"), "dof_or_n")
+            .withColumn("conclusion", sig))
+
+
+STAT_GRAIN = ["patient_type", "year", "specialty_name", "adult_child", "time_bands", "wait_rank", "total"]
+
+
+def stat_summary(c: DataFrame) -> DataFrame:
+    """One compact aggregation that feeds every test: record counts at the
+    grain (type, year, specialty, adult/child, band, wait ordinal, total).
+    Its size is bounded by the category and value domains, not the rows."""
+    return c.groupBy(*STAT_GRAIN).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def inputs_from_summary(ss: DataFrame, o: Options):
+    """(value counts by year, by type, cells, wait by year, specialty-year)."""
+    ys = ss.filter(F.col("year").isin(list(o.years))) if o.years else ss
+    vc_year = ys.groupBy("year", "total").agg(F.sum("cnt").alias(D.CNT))
+    vc_type = ss.groupBy("patient_type", "total").agg(F.sum("cnt").alias(D.CNT))
+    cells = (ss.filter(F.col("adult_child").isNotNull() & F.col("time_bands").isNotNull())
+             .groupBy("adult_child", "time_bands").agg(F.sum("cnt").alias("observed")))
+    ranked = F.col("wait_rank").isNotNull()
+    avg_wait = F.try_divide(F.sum(F.col("wait_rank") * F.col("cnt")).cast("double"),
+                            F.sum(F.when(ranked, F.col("cnt"))).cast("double"))
+    wy = ss.groupBy("year").agg(avg_wait.alias("avg_wait_rank")).filter(F.col("avg_wait_rank").isNotNull())
+    sy = (ss.groupBy("specialty_name", "year")
+          .agg(F.sum(F.col("total").cast("long") * F.col("cnt")).alias("Total"),
+               F.sum("cnt").alias("Records"), avg_wait.alias("AvgWait"))
+          .filter(F.col("AvgWait").isNotNull()))
+    return vc_year, vc_type, cells, wy, sy
 
 
 def stat_tests(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    c = wl.combined()
-    return tests_table(year_counts(c, o), type_counts(c), cell_counts(c), wait_by_year(c), spec_year(c))
+    """All tests from one compact aggregation of the rows, written as a
+    reliable checkpoint (shared checkpoint folder) so the facts are read once
+    and a lost executor recomputes from the summary, not from the facts."""
+    ss = stat_summary(wl.combined())
+    ensure_checkpoint_dir(ss.sparkSession)
+    return tests_table(*inputs_from_summary(ss.checkpoint(eager=True), o))
 
 
 STATISTICS = {
