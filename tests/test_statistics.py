@@ -147,3 +147,14 @@ def test_box_stats_whiskers(spark):
     vc = df.groupBy("k", "x").agg(F.count(F.lit(1)).alias(D.CNT))
     b = D.box_stats(vc, ["k"], "x").collect()[0]
     assert b["q1"] == 3.0 and b["q3"] == 7.0 and b["whisker_high"] == 8.0 and b["fliers"] == 1
+
+
+def test_midranks_across_value_buckets(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 50, 400)
+    df = spark.createDataFrame([("a", int(x)) for x in v], "k string, total int")
+    vc = D.value_counts(df, ["k"], "total")
+    got = {r["total"]: r["midrank"] for r in D.cumulative_midranks(vc, "total", bucket_width=7).collect()}
+    ranks = _midranks(v)
+    want = {int(x): float(r) for x, r in zip(v, ranks)}
+    assert got == pytest.approx(want)
