@@ -233,16 +233,29 @@ def write_dashboard(doc: DataFrame, path: str) -> None:
 
 
 def run_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    """K28: headline totals, top specialty per type and the key test results."""
-    s = summary_tables(wl, o)
-    k = K.kpis(s, o)
-    top = K.top_specialties(s, o).filter(F.col("rank") == 1)
-    ts = tests(s, o)
-    nums = (k.select(F.lit("total").alias("m"), F.col("total_patients").cast("double").alias("v"))
-            .unionByName(k.select(F.lit("inpatient").alias("m"), F.col("inpatient_total").cast("double").alias("v")))
-            .unionByName(k.select(F.lit("outpatient").alias("m"), F.col("outpatient_total").cast("double").alias("v")))
-            .unionByName(k.select(F.lit("long_wait").alias("m"), F.col("long_wait").cast("double").alias("v")))
-            .unionByName(k.select(F.lit("long_wait_pct").alias("m"), F.col("long_wait_pct").alias("v")))
+    """K28: headline totals, top specialty per type and the key test results.
+
+    Everything comes from the one compact statistics summary (record counts
+    by type, year, specialty, adult/child, band, wait ordinal and total),
+    checkpointed once: totals are sums of total x count over it.
+    """
+    from pyspark.sql import Window as W
+    ss = T.stat_summary(wl.combined())
+    ensure_checkpoint_dir(ss.sparkSession)
+    ss = ss.checkpoint(eager=True)
+    tt = F.col("total").cast("long") * F.col("cnt")
+    tp = F.col("patient_type")
+    is_long = M.is_long(band=o.long_band)
+    k = ss.agg(F.sum(tt).alias("total"), F.sum(F.when(tp == IP, tt)).alias("inpatient"),
+               F.sum(F.when(tp == OP, tt)).alias("outpatient"),
+               F.sum(F.when(is_long, tt)).alias("long_wait"))
+    per_spec = ss.groupBy("patient_type", "specialty_name").agg(F.sum(tt).alias("t"))
+    first = F.row_number().over(W.partitionBy("patient_type").orderBy(F.desc("t"), "specialty_name"))
+    top = per_spec.withColumn("_r", first).filter(F.col("_r") == 1)
+    ts = T.tests_table(*T.inputs_from_summary(ss, o))
+    nums = (k.select(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v"))
+                               for c in ("total", "inpatient", "outpatient", "long_wait")]).alias("a"))
+            .select(F.inline("a"))
             .unionByName(ts.select(F.concat(F.col("test"), F.lit(":stat")).alias("m"), F.col("statistic").alias("v")))
             .unionByName(ts.select(F.concat(F.col("test"), F.lit(":p")).alias("m"), F.col("p_value").alias("v")))
             .withColumn("t", F.lit(None).cast("string")))
@@ -259,7 +272,7 @@ def run_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
     return facts.agg(
         num("total").cast("long").alias("total_patient_waits"), num("inpatient").cast("long").alias("inpatient"),
         num("outpatient").cast("long").alias("outpatient"), num("long_wait").cast("long").alias("long_wait"),
-        num("long_wait_pct").alias("long_wait_pct"),
+        M.round_half(M.pct(num("long_wait"), num("total")), 1).alias("long_wait_pct"),
         txt(f"top:{IP}").alias("top_inpatient_specialty"), txt(f"top:{OP}").alias("top_outpatient_specialty"),
         num("kruskal_wallis:stat", 1).alias("kw_h"), num("kruskal_wallis:p").alias("kw_p"),
         num("mann_whitney:p").alias("mw_p"), num("spearman:stat", 3).alias("sp_r"),

@@ -18,6 +18,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs every task inside the driver JVM
+            builder = builder.config("spark.driver.memory", os.environ.get("QUEUELENS_DRIVER_MEMORY", "8g"))
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.sql.adaptive.enabled", "true")
