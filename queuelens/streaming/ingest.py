@@ -27,6 +27,7 @@ BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("length", T.LongType(), False),
     T.StructField("content", T.BinaryType(), True),
 ])
+BATCH_COLUMN = "ingest_batch"
 INPATIENT_COLUMNS = ["archive_date", "specialty_hipe", "specialty_name", "case_type", "adult_child",
                      "age_profile", "time_bands", "total", "year"]
 
@@ -56,13 +57,16 @@ def start_fact_ingest(spark: SparkSession, source_dir: str, store_dir: str, chec
         raw = frames[0]
         for f in frames[1:]:
             raw = raw.unionByName(f, allowMissingColumns=True)
-        cleaned = clean_facts(raw)
-        good = cleaned.filter(F.col(REJECT_REASON).isNull()).select(*keep)
-        good.write.mode("append").partitionBy("year").parquet(store_dir)
+        cleaned = clean_facts(raw).withColumn(BATCH_COLUMN, F.lit(batch_id))
+        good = cleaned.filter(F.col(REJECT_REASON).isNull()).select(*keep, BATCH_COLUMN)
+        # A batch that is replayed after a failure rewrites exactly its own
+        # partitions (dynamic overwrite keyed by the batch id): no duplicates.
+        (good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("year", BATCH_COLUMN).parquet(store_dir))
         if reject_dir:
             (cleaned.filter(F.col(REJECT_REASON).isNotNull())
-             .withColumn("batch_id", F.lit(batch_id))
-             .write.mode("append").parquet(reject_dir))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(BATCH_COLUMN).parquet(reject_dir))
 
     writer = files.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")

@@ -32,3 +32,5 @@ def test_incremental_ingest(spark):
     assert again.count() == 2                       # the 2018 file was not read twice
     assert sorted(r["year"] for r in again.collect()) == [2018, 2019]
     assert spark.read.parquet(rej).count() == 1
+    # replaying a batch id rewrites its own partitions only
+    assert sorted({r["ingest_batch"] for r in spark.read.parquet(store).collect()}) == [0, 1]
