@@ -77,3 +77,20 @@ class WaitingList:
     def op(self) -> DataFrame:
         """Outpatient rows after the null-age drop."""
         return self.combined().filter(F.col("patient_type") == PATIENT_TYPES[1])
+
+
+def register_views(wl: WaitingList, prefix: str = "") -> list[str]:
+    """Expose the star schema to Spark SQL as temporary views:
+    dim_specialty, fact_inpatient, fact_outpatient, vw_waiting_list and
+    vw_waiting_list_full (plus ``combined`` with the pandas null-age rule)."""
+    views = {
+        "dim_specialty": wl.dim,
+        "fact_inpatient": wl.inpatient,
+        "fact_outpatient": wl.outpatient,
+        "vw_waiting_list": waiting_list(wl.inpatient, wl.outpatient),
+        "vw_waiting_list_full": wl.full(),
+        "combined": wl.combined(),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(prefix + name)
+    return [prefix + n for n in views]

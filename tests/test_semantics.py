@@ -114,3 +114,13 @@ def test_no_cartesian_product_in_plans(spark):
             continue
         plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_sql_views_match_dataframe_plan(spark):
+    from queuelens.operators.model import register_views
+    from queuelens.plans.registry import waiting_list_from_testdata
+    wl = waiting_list_from_testdata(spark, "/root/testdata/sf0.001")
+    register_views(wl, prefix="ql_")
+    via_sql = spark.sql("""SELECT year, patient_type, SUM(total) AS total_patients, COUNT(*) AS record_count
+                           FROM ql_vw_waiting_list_full GROUP BY year, patient_type""")
+    assert sorted(map(tuple, via_sql.collect())) == sorted(map(tuple, reports.annual_totals(wl).collect()))
