@@ -218,15 +218,23 @@ SQL["null_audit"] = S.with_adapter(_null_audit_body())
 
 
 def load_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    """Rows, total, date range and distinct specialties / groups per dataset."""
-    c = wl.combined()
+    """Rows, total, date range and distinct specialties / groups per dataset.
+
+    The rows are first reduced to one row per (type, specialty, group); the
+    distinct counts then run on that small table instead of expanding every
+    row once per distinct expression.
+    """
+    per = (wl.combined().groupBy("patient_type", "specialty_name", "specialty_group")
+           .agg(F.count(F.lit(1)).alias("_n"), F.sum("total").alias("_t"),
+                F.min("archive_date").alias("_lo"), F.max("archive_date").alias("_hi")))
     tp = F.col("patient_type")
     scopes = [("Inpatient", tp == IP), ("Outpatient", tp == OP), ("Combined", F.lit(True))]
     aggs = []
     for i, (_, cond) in enumerate(scopes):
-        aggs += [F.count_if(cond).alias(f"n{i}"), M.sum_when(cond).alias(f"t{i}"),
-                 F.min(F.when(cond, F.col("archive_date"))).alias(f"lo{i}"),
-                 F.max(F.when(cond, F.col("archive_date"))).alias(f"hi{i}"),
+        aggs += [F.sum(F.when(cond, F.col("_n")).otherwise(F.lit(0))).alias(f"n{i}"),
+                 F.sum(F.when(cond, F.col("_t")).otherwise(F.lit(0))).alias(f"t{i}"),
+                 F.min(F.when(cond, F.col("_lo"))).alias(f"lo{i}"),
+                 F.max(F.when(cond, F.col("_hi"))).alias(f"hi{i}"),
                  F.count_distinct(F.when(cond, F.col("specialty_name"))).alias(f"s{i}"),
                  F.count_distinct(F.when(cond, F.col("specialty_group"))).alias(f"g{i}")]
     rows = F.array(*[F.struct(F.lit(name).alias("dataset"), F.col(f"n{i}").alias("records"),
@@ -234,7 +242,7 @@ def load_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
                               F.col(f"hi{i}").alias("last_date"), F.col(f"s{i}").alias("specialties"),
                               F.col(f"g{i}").alias("specialty_groups"))
                      for i, (name, _) in enumerate(scopes)])
-    return c.agg(*aggs).select(F.inline(rows))
+    return per.agg(*aggs).select(F.inline(rows))
 
 
 _LOAD_SUMMARY_BODY = """
