@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 
 
 def densify_cells(cells: DataFrame, row: str, column: str, value: str = "observed") -> DataFrame:
-    """Every row category x every column category of a small cell table, 0-filled."""
+    """Every row category x every column category of a small cell table, 0-filled.
+
+    Windows only (the cell table has one consumer): the set of column
+    categories over the whole table and a column->count map per row
+    category; each row category is then expanded over the set.
+    """
     cols = F.collect_set(column).over(W.partitionBy())
-    dom = (cells.select(row, cols.alias("_cols")).dropDuplicates([row])
-           .select(row, F.explode("_cols").alias(column)))
-    return (dom.join(cells, [row, column], "left")
-            .select(row, column, F.coalesce(F.col(value), F.lit(0)).cast("long").alias(value)))
+    per_row = F.map_from_entries(F.collect_list(F.struct(column, value)).over(W.partitionBy(row)))
+    wide = cells.select(row, cols.alias("_cols"), per_row.alias("_m")).dropDuplicates([row])
+    long = wide.select(row, "_m", F.explode("_cols").alias(column))
+    return long.select(row, column, F.coalesce(F.col("_m")[F.col(column)], F.lit(0)).cast("long").alias(value))
 
 
 def crosstab_long(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -24,8 +24,18 @@ KEY_ROWS_MAX = 100_000
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str = "total") -> DataFrame:
-    """(keys..., value, cnt): the distribution of ``value`` per key."""
-    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(CNT))
+    """(keys..., value, cnt): the distribution of ``value`` per key.
+
+    Rows with a null key or value carry no rank or quantile and are left out
+    up front; stating it here also keeps the later joins from adding their
+    own inferred not-null filters below this aggregate, so every consumer of
+    the table shares one identical subtree (and Spark reuses its exchange
+    instead of reading the facts again).
+    """
+    cond = F.col(value).isNotNull()
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return df.filter(cond).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(CNT))
 
 
 def percentiles(vc: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -40,27 +50,29 @@ def describe(vc: DataFrame, keys: list[str], value: str = "total") -> DataFrame:
     """The full descriptive row (count, sum, moments, quantiles, mode, outliers).
 
     ``keys`` must be non-empty (use a literal label column for a single set).
+    Per-key mean and quantiles are windows over the value-count table, the
+    rest one aggregation: the table has a single consumer.
     """
     if not keys:
         raise ValueError("describe needs at least one key column")
+    part = W.partitionBy(*keys)
     x, c = F.col(value).cast("double"), F.col(CNT)
-    base = vc.groupBy(*keys).agg(
-        F.sum(c).alias("n"),
-        F.sum(F.col(value).cast("long") * c).alias("sum"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-        F.max_by(F.col(value), F.struct(c, -F.col(value))).alias("mode"),
-        F.percentile(F.col(value), [0.5, 0.25, 0.75, 0.05, 0.95, 0.99], c).alias("_q"))
-    base = base.withColumn("mean", F.col("sum").cast("double") / F.col("n").cast("double"))
-    joined = join_derived(vc, base.select(*keys, "mean", "_q"), keys)
+    mean = (F.sum(F.col(value).cast("long") * c).over(part).cast("double")
+            / F.sum(c).over(part).cast("double"))
+    w = vc.select(*keys, value, CNT, mean.alias("mean"),
+                  F.percentile(F.col(value), [0.5, 0.25, 0.75, 0.05, 0.95, 0.99], c).over(part).alias("_q"))
     d = x - F.col("mean")
     q1, q3 = F.col("_q")[1], F.col("_q")[2]
     iqr = q3 - q1
     outlier = (x < q1 - F.lit(1.5) * iqr) | (x > q3 + F.lit(1.5) * iqr)
-    moments = joined.groupBy(*keys).agg(
+    out = w.groupBy(*keys).agg(
+        F.sum(c).alias("n"), F.sum(F.col(value).cast("long") * c).alias("sum"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
+        F.max_by(F.col(value), F.struct(c, -F.col(value))).alias("mode"),
+        F.first("mean").alias("mean"), F.first("_q").alias("_q"),
         F.sum(c * d * d).alias("_m2"), F.sum(c * d * d * d).alias("_m3"),
         F.sum(c * d * d * d * d).alias("_m4"),
         F.sum(F.when(outlier, c).otherwise(F.lit(0))).alias("outliers"))
-    out = base.join(moments, keys, "inner")
     n = F.col("n").cast("double")
     var = F.try_divide(F.col("_m2"), n - 1)
     m2, m3, m4 = F.col("_m2") / n, F.col("_m3") / n, F.col("_m4") / n
@@ -68,11 +80,12 @@ def describe(vc: DataFrame, keys: list[str], value: str = "total") -> DataFrame:
                   F.sqrt(n * (n - 1)) / (n - 2) * m3 / F.pow(m2, 1.5))
     kurt = F.when((n > 3) & (m2 > 0),
                   (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6))
+    q1, q3 = F.col("_q")[1], F.col("_q")[2]
     return out.select(
         *keys, F.col("n"), F.col("sum"), F.col("mean"), F.col("_q")[0].alias("median"),
         F.col("mode"), F.sqrt(var).alias("std"), var.alias("var"),
         F.col("min"), F.col("max"), (F.col("max") - F.col("min")).alias("range"),
-        q1.alias("q1"), q3.alias("q3"), iqr.alias("iqr"),
+        q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
         F.col("_q")[3].alias("p5"), F.col("_q")[4].alias("p95"), F.col("_q")[5].alias("p99"),
         M.pct(F.sqrt(var), "mean").alias("cv_pct"),
         skew.alias("skewness"), kurt.alias("kurtosis"), F.col("outliers"))
@@ -80,83 +93,80 @@ def describe(vc: DataFrame, keys: list[str], value: str = "total") -> DataFrame:
 
 def histogram(vc: DataFrame, keys: list[str], value: str, bins: int, upper_q: float) -> DataFrame:
     """Histogram of ``least(value, p_upper)`` with ``bins`` equal bins from min to
-    the clip point (last bin closed), all bins present, zero-filled."""
-    p = vc.groupBy(*keys).agg(
-        F.percentile(F.col(value), F.lit(float(upper_q)), F.col(CNT)).alias("clip_at"),
-        F.min(value).cast("double").alias("_min"))
-    p = p.select(*keys, "clip_at",
-                 F.least(F.col("_min"), F.col("clip_at")).alias("_lo"),
-                 F.col("clip_at").alias("_hi"))
-    # numpy widens an empty range by 0.5 on each side
-    same = F.col("_lo") == F.col("_hi")
-    p = p.select(*keys, "clip_at",
-                 F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
-                 F.when(same, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"))
-    v = join_derived(vc, p, keys)
+    the clip point (last bin closed), all bins present, zero-filled.
+
+    Clip point and range are windows over the value-count table; counts per
+    bin are one aggregation; the bin axis is a fixed ``sequence`` per key.
+    """
+    part = W.partitionBy(*keys)
+    clip_at = F.percentile(F.col(value), F.lit(float(upper_q)), F.col(CNT)).over(part)
+    lo0 = F.least(F.min(value).over(part).cast("double"), F.col("clip_at"))
+    w = vc.select(*keys, value, CNT, clip_at.alias("clip_at"))
+    w = w.select("*", lo0.alias("_lo"))
+    same = F.col("_lo") == F.col("clip_at")       # numpy widens an empty range by 0.5
+    w = w.select("*", F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
+                 F.when(same, F.col("clip_at") + 0.5).otherwise(F.col("clip_at")).alias("hi"))
     clipped = F.least(F.col(value).cast("double"), F.col("clip_at"))
     idx = F.floor((clipped - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo"))))
     idx = F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1)).cast("int")
-    counts = v.groupBy(*keys, idx.alias("bin")).agg(F.sum(CNT).alias("frequency"))
-    grid = p.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    per_bin = w.groupBy(*keys, "lo", "hi", idx.alias("bin")).agg(F.sum(CNT).alias("frequency"))
+    per_key = per_bin.groupBy(*keys, "lo", "hi").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "frequency"))).alias("_m"))
+    grid = per_key.select(*keys, "lo", "hi", "_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return (grid.join(counts, [*keys, "bin"], "left")
-            .select(*keys, "bin",
-                    M.round_half(F.col("lo") + F.col("bin") * step, 6).alias("bin_start"),
-                    M.round_half(F.col("lo") + (F.col("bin") + 1) * step, 6).alias("bin_end"),
-                    F.coalesce(F.col("frequency"), F.lit(0)).cast("long").alias("frequency")))
+    return grid.select(*keys, "bin",
+                       M.round_half(F.col("lo") + F.col("bin") * step, 6).alias("bin_start"),
+                       M.round_half(F.col("lo") + (F.col("bin") + 1) * step, 6).alias("bin_end"),
+                       F.coalesce(F.col("_m")[F.col("bin")], F.lit(0)).cast("long").alias("frequency"))
 
 
 def box_stats(vc: DataFrame, keys: list[str], value: str = "x", whis: float = 1.5) -> DataFrame:
     """Notched box-plot statistics (quartiles, whiskers within whis*IQR, notch,
-    flier count) from a value-count table."""
-    q = vc.groupBy(*keys).agg(
-        F.sum(CNT).alias("n"),
-        F.percentile(F.col(value), [0.25, 0.5, 0.75], F.col(CNT)).alias("_q"))
-    q = q.select(*keys, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    v = join_derived(vc, q, keys)
+    flier count) from a value-count table.
+
+    All per-key quantities are windows partitioned by the keys over the
+    value-count table (one exchange, one consumer), then one aggregation.
+    """
+    part = W.partitionBy(*keys)
+    x, c = F.col(value), F.col(CNT)
+    q = vc.select(*keys, value, CNT, F.sum(CNT).over(part).alias("n"),
+                  F.percentile(x, [0.25, 0.5, 0.75], c).over(part).alias("_q"))
+    q = q.select("*", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                 F.col("_q")[2].alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_lim = F.col("q1") - F.lit(whis) * F.col("iqr")
     hi_lim = F.col("q3") + F.lit(whis) * F.col("iqr")
-    x = F.col(value)
-    wk = v.groupBy(*keys).agg(
-        F.min(F.when(x >= lo_lim, x)).alias("whisker_low"),
-        F.max(F.when(x <= hi_lim, x)).alias("whisker_high"))
-    out = q.join(wk, keys, "inner")
-    v2 = join_derived(vc, out.select(*keys, "whisker_low", "whisker_high"), keys)
-    fl = v2.groupBy(*keys).agg(F.sum(F.when(
-        (F.col(value) < F.col("whisker_low")) | (F.col(value) > F.col("whisker_high")),
-        F.col(CNT)).otherwise(F.lit(0))).alias("fliers"))
+    w = q.select("*", F.min(F.when(x >= lo_lim, x)).over(part).alias("whisker_low"),
+                 F.max(F.when(x <= hi_lim, x)).over(part).alias("whisker_high"))
+    flier = (x < F.col("whisker_low")) | (x > F.col("whisker_high"))
+    out = w.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
+        F.first("q3").alias("q3"), F.first("iqr").alias("iqr"),
+        F.first("whisker_low").alias("whisker_low"), F.first("whisker_high").alias("whisker_high"),
+        F.sum(F.when(flier, c).otherwise(F.lit(0))).alias("fliers"))
     notch = F.lit(1.57) * F.col("iqr") / F.sqrt(F.col("n").cast("double"))
-    return (out.join(fl, keys, "inner")
-            .select(*keys, "n", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high",
-                    (F.col("median") - notch).alias("notch_low"),
-                    (F.col("median") + notch).alias("notch_high"), "fliers"))
+    return out.select(*keys, "n", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high",
+                      (F.col("median") - notch).alias("notch_low"),
+                      (F.col("median") + notch).alias("notch_high"), "fliers")
 
 
 def gaussian_kde(vc: DataFrame, keys: list[str], value: str = "x", points: int = 100) -> DataFrame:
     """Gaussian kernel density on ``points`` evenly spaced coordinates between
     each key's min and max, Scott bandwidth (n^-1/5 times the sample std).
 
-    Each distinct value contributes to every grid point: the value-count
-    table is expanded ``points`` times (a fixed factor), and partial sums
-    are combined per (key, point) by a normal aggregation.
+    Per-key n, range, mean and spread are windows over the value-count
+    table; each distinct value is then expanded ``points`` times (a fixed
+    factor) and the kernel contributions are summed per (key, point).
     """
+    part = W.partitionBy(*keys)
     x, c = F.col(value), F.col(CNT).cast("double")
-    st = vc.groupBy(*keys).agg(
-        F.sum(CNT).alias("n"), F.min(value).alias("vmin"), F.max(value).alias("vmax"),
-        F.sum(c * x).alias("_sx"), F.sum(c * x * x).alias("_sxx"))
+    w = vc.select(*keys, value, CNT, F.sum(CNT).over(part).alias("n"),
+                  F.min(value).over(part).alias("vmin"), F.max(value).over(part).alias("vmax"),
+                  (F.sum(c * x).over(part) / F.sum(c).over(part)).alias("_mean"))
     n = F.col("n").cast("double")
-    mean = F.col("_sx") / n
-    st = st.withColumn("_mean", mean)
-    v = join_derived(vc, st.select(*keys, "_mean"), keys)
-    ss = v.groupBy(*keys).agg(F.sum(c * (x - F.col("_mean")) * (x - F.col("_mean"))).alias("_ss"))
-    st = st.join(ss, keys, "inner")
-    sigma = F.sqrt(F.col("_ss") / (n - 1)) * F.pow(n, F.lit(-0.2))
-    st = st.select(*keys, "n", "vmin", "vmax", sigma.alias("bw"))
-    v = join_derived(vc, st, keys)
+    ss = F.sum(c * (x - F.col("_mean")) * (x - F.col("_mean"))).over(part)
+    w = w.select("*", (F.sqrt(ss / (n - 1)) * F.pow(n, F.lit(-0.2))).alias("bw"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    v = v.select(*keys, value, CNT, "n", "vmin", "vmax", "bw", grid)
+    v = w.select(*keys, value, CNT, "n", "vmin", "vmax", "bw", grid)
     coord = F.col("vmin") + F.col("point") * ((F.col("vmax") - F.col("vmin")) / F.lit(float(points - 1)))
     z = (coord - x) / F.col("bw")
     contrib = c * F.exp(F.lit(-0.5) * z * z)

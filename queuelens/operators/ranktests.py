@@ -15,15 +15,27 @@ from queuelens.operators.distribution import CNT, cumulative_midranks
 from queuelens.operators.joins import join_derived
 
 
-def _ranked(vc: DataFrame, value: str) -> DataFrame:
+def _ranked(vc: DataFrame, value: str, bucket_width: int | None = None) -> DataFrame:
     """Value counts with the mid-rank and tie size of each value.
 
+    Default: windows over the value-count table itself (tie size per value,
+    running count in value order), so the table has a single consumer and
+    the facts are read once. The ordered window holds (keys x distinct
+    values) rows, bounded by the value domain. For a very large value
+    domain pass ``bucket_width`` to spread the running count over value
+    buckets (``cumulative_midranks``).
+
     The tie term sum_v (t^3 - t) is carried per row as cnt * (t^2 - 1), whose
-    sum over the rows of a value is exactly t^3 - t, so no extra pass or join
-    is needed for it.
+    sum over the rows of a value is exactly t^3 - t.
     """
-    mr = cumulative_midranks(vc, value)
-    r = join_derived(vc, mr, value)
+    if bucket_width:
+        mr = cumulative_midranks(vc, value, bucket_width)
+        r = join_derived(vc, mr, value)
+    else:
+        ties = F.sum(CNT).over(W.partitionBy(value))
+        cum = F.sum(CNT).over(W.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))
+        r = vc.select("*", ties.alias("ties"), cum.alias("_cum")).select(
+            "*", (F.col("_cum").cast("double") - (F.col("ties").cast("double") - 1.0) / 2.0).alias("midrank"))
     t = F.col("ties").cast("double")
     return r.withColumn("_tie", F.col(CNT).cast("double") * (t * t - 1.0))
 

@@ -43,11 +43,16 @@ def _sql_type_cols(fill_zero: bool, cond: str = "TRUE") -> str:
     return ", ".join(out)
 
 
-def _band_domain(keys: DataFrame) -> DataFrame:
-    """Every key row crossed with the 7 ordered bands (a fixed 7x expansion)."""
-    bands = F.array(*[F.lit(b) for b in TIME_BANDS])
-    return keys.select("*", F.posexplode(bands).alias("_pos", "time_bands")) \
-               .withColumn("band_order", F.col("_pos") + 1).drop("_pos")
+def _band_totals(df: DataFrame, key: str) -> DataFrame:
+    """(key, time_bands, band_order, total_patients) for all 7 bands of every key
+    present, 0-filled: one aggregation with a sum per band, then a fixed
+    7-way unpivot (no join back, no cartesian product)."""
+    sums = [M.sum_when(F.col("time_bands") == F.lit(b)).alias(f"_b{i}") for i, b in enumerate(TIME_BANDS, 1)]
+    wide = df.groupBy(key).agg(*sums)
+    rows = F.array(*[F.struct(F.lit(b).alias("time_bands"), F.lit(i).alias("band_order"),
+                              F.col(f"_b{i}").cast("long").alias("total_patients"))
+                     for i, b in enumerate(TIME_BANDS, 1)])
+    return wide.select(key, F.inline(rows))
 
 
 _BAND_VALUES = ", ".join(f"('{b}', {i})" for i, b in enumerate(TIME_BANDS, start=1))
@@ -208,10 +213,7 @@ ol AS (SELECT d.dataset, COUNT(*) FILTER (WHERE d.total < s.q1 - 1.5 * (s.q3 - s
 
 # K7 -------------------------------------------------------------------------
 def band_pct_by_type(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    agg = wl.combined().groupBy("patient_type", "time_bands").agg(F.sum("total").alias("_t"))
-    dom = _band_domain(agg.select("patient_type").distinct())
-    dense = dom.join(agg, ["patient_type", "time_bands"], "left") \
-               .withColumn("total_patients", F.coalesce(F.col("_t"), F.lit(0)).cast("long"))
+    dense = _band_totals(wl.combined(), "patient_type")
     return (dense.select("patient_type", "time_bands", "band_order", "total_patients",
                          M.round_half(M.pct("total_patients", F.sum("total_patients")
                                             .over(W.partitionBy("patient_type"))), 2).alias("pct_of_type"))
@@ -258,21 +260,30 @@ SELECT patient_type, rank, specialty_name, total_patients FROM {_top_sql(10)} t"
 
 # K9 -------------------------------------------------------------------------
 def specialty_heatmap(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    """Top specialties per type x years, each row scaled by its own maximum."""
-    c = wl.combined()
-    top = _top_per_type(c, o.heatmap_top).select("patient_type", "specialty_name")
-    sub = c.join(F.broadcast(top), ["patient_type", "specialty_name"], "left_semi")
-    cells = sub.groupBy("patient_type", "specialty_name", "year").agg(F.sum("total").alias("total_patients"))
-    years = sub.groupBy("patient_type").agg(F.collect_set("year").alias("_years"))
-    grid = top.join(years, "patient_type").select("patient_type", "specialty_name",
-                                                   F.explode("_years").alias("year"))
-    dense = grid.join(cells, ["patient_type", "specialty_name", "year"], "left")
-    row = W.partitionBy("patient_type", "specialty_name")
-    return (dense.select("patient_type", "specialty_name", "year", "total_patients",
-                         F.sum("total_patients").over(row).alias("row_total"),
-                         M.round_half(M.ratio("total_patients", F.max("total_patients").over(row)), 4)
-                         .alias("norm_load"),
-                         M.human_format("total_patients").alias("label"))
+    """Top specialties per type x years, each row scaled by its own maximum.
+
+    One aggregation to (type, specialty, year) cells; everything else is
+    windows over that small table: specialty totals, the top-k cut
+    (dense_rank on total then name), the year axis of each type, and the
+    cells of each specialty as a year->total map for densifying.
+    """
+    cells = (wl.combined().groupBy("patient_type", "specialty_name", "year")
+             .agg(F.sum("total").alias("total_patients")))
+    spec = W.partitionBy("patient_type", "specialty_name")
+    cells = cells.withColumn("row_total", F.sum("total_patients").over(spec))
+    rank = F.dense_rank().over(W.partitionBy("patient_type").orderBy(F.desc("row_total"), "specialty_name"))
+    top = cells.withColumn("_rank", rank).filter(F.col("_rank") <= o.heatmap_top)
+    per_spec = top.select("patient_type", "specialty_name", "row_total",
+                          F.collect_set("year").over(W.partitionBy("patient_type")).alias("_years"),
+                          F.map_from_entries(F.collect_list(F.struct("year", "total_patients")).over(spec)).alias("_m"),
+                          F.max("total_patients").over(spec).alias("_max")) \
+                  .dropDuplicates(["patient_type", "specialty_name"])
+    dense = per_spec.select("patient_type", "specialty_name", "row_total", "_m", "_max",
+                            F.explode("_years").alias("year"))
+    value = F.col("_m")[F.col("year")]
+    return (dense.select("patient_type", "specialty_name", "year", value.alias("total_patients"), "row_total",
+                         M.round_half(M.ratio(value, "_max"), 4).alias("norm_load"),
+                         M.human_format(value).alias("label"))
             .orderBy("patient_type", F.desc("row_total"), "specialty_name", "year"))
 
 
@@ -314,12 +325,11 @@ FROM combined WHERE time_bands = '18+ Months' GROUP BY year_month""")
 
 # K11 ------------------------------------------------------------------------
 def long_wait_trend_dense(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    c = wl.combined()
-    months = c.select("year_month").distinct()
-    lw = (c.filter(M.is_long(band=o.long_band) & (F.col("patient_type") == IP))
-          .groupBy("year_month").agg(F.sum("total").alias("_lw")))
-    return (months.join(lw, "year_month", "left")
-            .select("year_month", F.coalesce("_lw", F.lit(0)).cast("long").alias("inpatient_long_wait"))
+    """Inpatient long waits on the axis of every month present, 0 where none:
+    one aggregation over all months with a conditional sum."""
+    lw = M.is_long(band=o.long_band) & (F.col("patient_type") == IP)
+    return (wl.combined().groupBy("year_month")
+            .agg(M.sum_when(lw).cast("long").alias("inpatient_long_wait"))
             .orderBy("year_month"))
 
 
@@ -603,11 +613,8 @@ FROM combined""")
 
 # K26 ------------------------------------------------------------------------
 def case_type_pct(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    agg = (wl.combined().filter((F.col("patient_type") == IP) & F.col("case_type").isNotNull())
-           .groupBy("case_type", "time_bands").agg(F.sum("total").alias("_t")))
-    dom = _band_domain(agg.select("case_type").distinct())
-    dense = dom.join(agg, ["case_type", "time_bands"], "left") \
-               .withColumn("total_patients", F.coalesce("_t", F.lit(0)).cast("long"))
+    ip = wl.combined().filter((F.col("patient_type") == IP) & F.col("case_type").isNotNull())
+    dense = _band_totals(ip, "case_type")
     return (dense.select("case_type", "time_bands", "band_order", "total_patients",
                          M.round_half(M.pct("total_patients", F.sum("total_patients")
                                             .over(W.partitionBy("case_type"))), 1).alias("pct"))

@@ -320,12 +320,12 @@ FROM vw_waiting_list_full GROUP BY patient_type""")
 
 def winsorised_total(wl: WaitingList, o: Options = Options()) -> DataFrame:
     vc = D.value_counts(wl.combined(), ["patient_type"], "total")
-    p = vc.groupBy("patient_type").agg(
-        F.percentile("total", F.lit(float(o.winsor_quantile)), F.col(D.CNT)).alias("clip_at"))
-    v = join_derived(vc, p, "patient_type")
+    clip = F.percentile("total", F.lit(float(o.winsor_quantile)), F.col(D.CNT)).over(W.partitionBy("patient_type"))
+    v = vc.select("*", clip.alias("clip_at"))
     clipped = F.least(F.col("total").cast("double"), F.col("clip_at"))
-    return (v.groupBy("patient_type", "clip_at")
-            .agg(F.sum(F.when(F.col("total") > F.col("clip_at"), F.col(D.CNT)).otherwise(0)).alias("clipped_records"),
+    return (v.groupBy("patient_type")
+            .agg(F.first("clip_at").alias("clip_at"),
+                 F.sum(F.when(F.col("total") > F.col("clip_at"), F.col(D.CNT)).otherwise(0)).alias("clipped_records"),
                  F.sum(clipped * F.col(D.CNT)).alias("_s"), F.sum(D.CNT).alias("_n"))
             .select("patient_type", M.round_half("clip_at", 4).alias("clip_at"), "clipped_records",
                     M.round_half("_s", 4).alias("winsorised_sum"),
