@@ -257,14 +257,45 @@ SQL["load_summary"] = S.with_adapter(_LOAD_SUMMARY_BODY)
 
 
 def load_audit(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    """Load summary and null audit together, long form (dataset, metric, value)."""
-    s = load_summary(wl, o)
-    metrics = ["records", "total_patients", "first_date", "last_date", "specialties", "specialty_groups"]
-    long = s.select("dataset", *[F.col(m).cast("string").alias(m) for m in metrics]) \
-            .unpivot(["dataset"], metrics, "metric", "value")
-    nulls = null_audit(wl, o).select("dataset", F.concat(F.lit("nulls:"), F.col("column_name")).alias("metric"),
-                                     F.col("null_count").cast("string").alias("value"))
-    return long.unionByName(nulls)
+    """Load summary and null audit together, long form (dataset, metric, value),
+    from one pass: rows are reduced to (type, specialty, group) with their
+    counts, date range and per-column null counts, and one aggregation of
+    that small table yields every metric."""
+    key_cols = {"patient_type", "specialty_name", "specialty_group"}
+    audited = sorted({c for cols in _AUDIT_COLS.values() for c in cols} - key_cols)
+    per = (wl.combined().groupBy("patient_type", "specialty_name", "specialty_group")
+           .agg(F.count(F.lit(1)).alias("_n"), F.sum("total").alias("_t"),
+                F.min("archive_date").alias("_lo"), F.max("archive_date").alias("_hi"),
+                *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in audited]))
+    tp = F.col("patient_type")
+    scopes = {"Inpatient": tp == IP, "Outpatient": tp == OP, "Combined": F.lit(True)}
+
+    def nulls(col, cond):
+        if col in key_cols:
+            return F.sum(F.when(cond & F.col(col).isNull(), F.col("_n")).otherwise(F.lit(0)))
+        return F.sum(F.when(cond, F.col(f"_null_{col}")).otherwise(F.lit(0)))
+    aggs, entries = [], []
+    for ds, cond in scopes.items():
+        metrics = {
+            "records": F.sum(F.when(cond, F.col("_n")).otherwise(F.lit(0))),
+            "total_patients": F.sum(F.when(cond, F.col("_t")).otherwise(F.lit(0))),
+            "first_date": F.min(F.when(cond, F.col("_lo"))),
+            "last_date": F.max(F.when(cond, F.col("_hi"))),
+            "specialties": F.count_distinct(F.when(cond, F.col("specialty_name"))),
+            "specialty_groups": F.count_distinct(F.when(cond, F.col("specialty_group"))),
+        }
+        for m, e in metrics.items():
+            aggs.append(e.cast("string").alias(f"{ds}|{m}"))
+            entries.append((ds, m, f"{ds}|{m}", None))
+        for col in _AUDIT_COLS[ds]:
+            aggs.append(nulls(col, cond).alias(f"{ds}|null|{col}"))
+            entries.append((ds, f"nulls:{col}", f"{ds}|null|{col}", True))
+    wide = per.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(ds).alias("dataset"), F.lit(m).alias("metric"),
+                              F.col(f"`{c}`").cast("string").alias("value"),
+                              (F.col(f"`{c}`") > 0 if is_null else F.lit(True)).alias("_keep"))
+                     for ds, m, c, is_null in entries])
+    return wide.select(F.inline(rows)).filter("_keep").drop("_keep")
 
 
 _AUDIT_METRICS = ["records", "total_patients", "first_date", "last_date", "specialties", "specialty_groups"]
