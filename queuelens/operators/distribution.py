@@ -19,8 +19,6 @@ from queuelens.functions import measures as M
 from queuelens.operators.joins import join_derived
 
 CNT = "cnt"
-# Per-key statistics rows are bounded by the number of keys (years, types).
-KEY_ROWS_MAX = 100_000
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str = "total") -> DataFrame:
@@ -91,17 +89,24 @@ def describe(vc: DataFrame, keys: list[str], value: str = "total") -> DataFrame:
         skew.alias("skewness"), kurt.alias("kurtosis"), F.col("outliers"))
 
 
-def histogram(vc: DataFrame, keys: list[str], value: str, bins: int, upper_q: float) -> DataFrame:
+def histogram(vc: DataFrame, keys: list[str], value: str, bins: int, upper_q: float,
+              carry: dict | None = None) -> DataFrame:
     """Histogram of ``least(value, p_upper)`` with ``bins`` equal bins from min to
     the clip point (last bin closed), all bins present, zero-filled.
 
     Clip point and range are windows over the value-count table; counts per
     bin are one aggregation; the bin axis is a fixed ``sequence`` per key.
+    ``carry`` maps names to functions of the per-key window spec returning a
+    column (e.g. ``lambda w: F.avg("x").over(w)``); each is added to every
+    output row.
     """
     part = W.partitionBy(*keys)
+    carry = carry or {}
+    extra = list(carry)
     clip_at = F.percentile(F.col(value), F.lit(float(upper_q)), F.col(CNT)).over(part)
     lo0 = F.least(F.min(value).over(part).cast("double"), F.col("clip_at"))
-    w = vc.select(*keys, value, CNT, clip_at.alias("clip_at"))
+    w = vc.select(*keys, value, CNT, clip_at.alias("clip_at"),
+                  *[fn(part).alias(n) for n, fn in carry.items()])
     w = w.select("*", lo0.alias("_lo"))
     same = F.col("_lo") == F.col("clip_at")       # numpy widens an empty range by 0.5
     w = w.select("*", F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
@@ -109,12 +114,13 @@ def histogram(vc: DataFrame, keys: list[str], value: str, bins: int, upper_q: fl
     clipped = F.least(F.col(value).cast("double"), F.col("clip_at"))
     idx = F.floor((clipped - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo"))))
     idx = F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1)).cast("int")
-    per_bin = w.groupBy(*keys, "lo", "hi", idx.alias("bin")).agg(F.sum(CNT).alias("frequency"))
-    per_key = per_bin.groupBy(*keys, "lo", "hi").agg(
+    per_bin = w.groupBy(*keys, "lo", "hi", *extra, idx.alias("bin")).agg(F.sum(CNT).alias("frequency"))
+    per_key = per_bin.groupBy(*keys, "lo", "hi", *extra).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "frequency"))).alias("_m"))
-    grid = per_key.select(*keys, "lo", "hi", "_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = per_key.select(*keys, "lo", "hi", *extra, "_m",
+                          F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return grid.select(*keys, "bin",
+    return grid.select(*keys, "bin", *extra,
                        M.round_half(F.col("lo") + F.col("bin") * step, 6).alias("bin_start"),
                        M.round_half(F.col("lo") + (F.col("bin") + 1) * step, 6).alias("bin_end"),
                        F.coalesce(F.col("_m")[F.col("bin")], F.lit(0)).cast("long").alias("frequency"))
@@ -149,31 +155,36 @@ def box_stats(vc: DataFrame, keys: list[str], value: str = "x", whis: float = 1.
                       (F.col("median") + notch).alias("notch_high"), "fliers")
 
 
-def gaussian_kde(vc: DataFrame, keys: list[str], value: str = "x", points: int = 100) -> DataFrame:
+def gaussian_kde(vc: DataFrame, keys: list[str], value: str = "x", points: int = 100,
+                 carry: dict | None = None) -> DataFrame:
     """Gaussian kernel density on ``points`` evenly spaced coordinates between
     each key's min and max, Scott bandwidth (n^-1/5 times the sample std).
 
     Per-key n, range, mean and spread are windows over the value-count
     table; each distinct value is then expanded ``points`` times (a fixed
     factor) and the kernel contributions are summed per (key, point).
+    ``carry`` maps names to functions of the per-key window spec (see ``histogram``).
     """
     part = W.partitionBy(*keys)
+    carry = carry or {}
+    extra = list(carry)
     x, c = F.col(value), F.col(CNT).cast("double")
     w = vc.select(*keys, value, CNT, F.sum(CNT).over(part).alias("n"),
                   F.min(value).over(part).alias("vmin"), F.max(value).over(part).alias("vmax"),
-                  (F.sum(c * x).over(part) / F.sum(c).over(part)).alias("_mean"))
+                  (F.sum(c * x).over(part) / F.sum(c).over(part)).alias("_mean"),
+                  *[fn(part).alias(n) for n, fn in carry.items()])
     n = F.col("n").cast("double")
     ss = F.sum(c * (x - F.col("_mean")) * (x - F.col("_mean"))).over(part)
     w = w.select("*", (F.sqrt(ss / (n - 1)) * F.pow(n, F.lit(-0.2))).alias("bw"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    v = w.select(*keys, value, CNT, "n", "vmin", "vmax", "bw", grid)
+    v = w.select(*keys, value, CNT, "n", "vmin", "vmax", "bw", *extra, grid)
     coord = F.col("vmin") + F.col("point") * ((F.col("vmax") - F.col("vmin")) / F.lit(float(points - 1)))
     z = (coord - x) / F.col("bw")
     contrib = c * F.exp(F.lit(-0.5) * z * z)
-    dens = v.groupBy(*keys, "point", "n", "vmin", "vmax", "bw").agg(F.sum(contrib).alias("_k"))
+    dens = v.groupBy(*keys, "point", "n", "vmin", "vmax", "bw", *extra).agg(F.sum(contrib).alias("_k"))
     norm = F.col("n").cast("double") * F.col("bw") * F.lit(math.sqrt(2.0 * math.pi))
     return dens.select(*keys, "point", coord.alias("coord"),
-                       F.when(F.col("bw") > 0, F.col("_k") / norm).alias("density"))
+                       F.when(F.col("bw") > 0, F.col("_k") / norm).alias("density"), *extra)
 
 
 def cumulative_midranks(vc: DataFrame, value: str, bucket_width: int = 4096) -> DataFrame:

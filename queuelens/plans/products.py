@@ -18,13 +18,11 @@ from queuelens.functions.constants import (ADULT_CHILD, AGE_PROFILES, PATIENT_TY
 from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
 from queuelens.operators.contingency import crosstab_long, expected
-from queuelens.operators.joins import join_derived
 from queuelens.operators.model import WaitingList
 from queuelens.plans import sqlkit as S
 
 SQL: dict[str, str] = {}
 IP, OP = PATIENT_TYPES
-KEYS_MAX = 1_000_000
 _TYPE_COLS = {IP: "inpatient", OP: "outpatient"}
 _AGE_COLS = {"0-15": "age_0_15", "16-64": "age_16_64", "65+": "age_65_plus"}
 
@@ -106,11 +104,12 @@ FROM combined GROUP BY year_month""")
 # K4 -------------------------------------------------------------------------
 def histogram_by_type(wl: WaitingList, o: Options = Options()) -> DataFrame:
     vc = D.value_counts(wl.combined(), ["patient_type"], "total")
-    h = D.histogram(vc, ["patient_type"], "total", o.hist_bins, o.winsor_quantile)
-    marks = vc.groupBy("patient_type").agg(
-        M.round_half(F.sum(F.col("total") * F.col(D.CNT)) / F.sum(D.CNT), 4).alias("mean_total"),
-        M.round_half(F.percentile("total", F.lit(0.5), F.col(D.CNT)), 4).alias("median_total"))
-    return join_derived(h, marks, "patient_type").orderBy("patient_type", "bin")
+    carry = {"_mean": lambda w: F.sum(F.col("total") * F.col(D.CNT)).over(w) / F.sum(D.CNT).over(w),
+             "_median": lambda w: F.percentile("total", F.lit(0.5), F.col(D.CNT)).over(w)}
+    h = D.histogram(vc, ["patient_type"], "total", o.hist_bins, o.winsor_quantile, carry)
+    return (h.select("patient_type", "bin", "bin_start", "bin_end", "frequency",
+                     M.round_half("_mean", 4).alias("mean_total"), M.round_half("_median", 4).alias("median_total"))
+            .orderBy("patient_type", "bin"))
 
 
 SQL["histogram_by_type"] = S.with_adapter(f"""
@@ -446,10 +445,9 @@ WHERE adult_child IN ('Adult', 'Child') AND time_bands = '18+ Months' GROUP BY a
 # K18 ------------------------------------------------------------------------
 def violin_by_year(wl: WaitingList, o: Options = Options()) -> DataFrame:
     vc = _log_counts(wl)
-    k = D.gaussian_kde(vc, ["year"], "x", o.kde_points)
-    med = vc.groupBy("year").agg(F.percentile("x", F.lit(0.5), F.col(D.CNT)).alias("_med"),
-                                  F.min("x").alias("_min"), F.max("x").alias("_max"))
-    out = join_derived(k, med, "year")
+    carry = {"_med": lambda w: F.percentile("x", F.lit(0.5), F.col(D.CNT)).over(w),
+             "_min": lambda w: F.min("x").over(w), "_max": lambda w: F.max("x").over(w)}
+    out = D.gaussian_kde(vc, ["year"], "x", o.kde_points, carry)
     return out.select("year", "point", M.round_half("coord", 6).alias("coord"),
                       M.round_half("density", 6).alias("density"),
                       M.round_half("_med", 6).alias("median"), M.round_half("_min", 6).alias("min_x"),
