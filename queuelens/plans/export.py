@@ -108,7 +108,8 @@ def describe_types(s: Summary) -> DataFrame:
 
 
 # sections ---------------------------------------------------------------------------
-def _sorted_rows(df: DataFrame, *fields: str):
+def _sorted_rows(*fields):
+    """Aggregate: the group's rows as an array of structs sorted by the first field."""
     return F.array_sort(F.collect_list(F.struct(*fields)))
 
 
@@ -140,17 +141,17 @@ def sections(s: Summary, o: Options) -> list[DataFrame]:
     out.append(_section(1, "kpis", k.select(F.to_json(F.struct(
         "total_patients", "inpatient_total", "outpatient_total", "long_wait", "long_wait_pct", "specialties")))))
 
-    a = K.annual_pivot(s, o).agg(_sorted_rows(None, "year", "inpatient", "outpatient").alias("r"))
+    a = K.annual_pivot(s, o).agg(_sorted_rows("year", "inpatient", "outpatient").alias("r"))
     out.append(_section(2, "annual", a.select(F.to_json(F.struct(
         _pluck("r", "year").alias("years"), _pluck("r", "inpatient").alias("inpatient"),
         _pluck("r", "outpatient").alias("outpatient"))))))
 
-    m = K.monthly_pivot(s, o).agg(_sorted_rows(None, "year_month", "inpatient", "outpatient").alias("r"))
+    m = K.monthly_pivot(s, o).agg(_sorted_rows("year_month", "inpatient", "outpatient").alias("r"))
     out.append(_section(3, "monthly", m.select(F.to_json(F.struct(
         _pluck("r", "year_month").alias("labels"), _pluck("r", "inpatient").alias("inpatient"),
         _pluck("r", "outpatient").alias("outpatient"))))))
 
-    b = K.band_pct_by_type(s, o).agg(_sorted_rows(None, "band_order", "patient_type", "total_patients").alias("r"))
+    b = K.band_pct_by_type(s, o).agg(_sorted_rows("band_order", "patient_type", "total_patients").alias("r"))
     bt = _by_type(F.col("r"), "total_patients")
     out.append(_section(4, "time_bands", b.select(F.to_json(F.struct(
         F.array(*[F.lit(x) for x in TIME_BANDS]).alias("labels"),
@@ -158,24 +159,24 @@ def sections(s: Summary, o: Options) -> list[DataFrame]:
 
     top = K.top_specialties(s, o)
     for order, (name, t) in enumerate((("top_ip", IP), ("top_op", OP)), start=5):
-        tt = top.filter(F.col("patient_type") == t).agg(_sorted_rows(None, "rank", "specialty_name", "total_patients").alias("r"))
+        tt = top.filter(F.col("patient_type") == t).agg(_sorted_rows("rank", "specialty_name", "total_patients").alias("r"))
         out.append(_section(order, name, tt.select(F.to_json(F.struct(
             _pluck("r", "specialty_name").alias("labels"), _pluck("r", "total_patients").alias("values"))))))
 
-    ag = K.age_by_year(s, o).agg(_sorted_rows(None, "year", "age_0_15", "age_16_64", "age_65_plus").alias("r"))
+    ag = K.age_by_year(s, o).agg(_sorted_rows("year", "age_0_15", "age_16_64", "age_65_plus").alias("r"))
     out.append(_section(7, "age", ag.select(F.to_json(F.struct(
         _pluck("r", "year").alias("years"),
         F.struct(_pluck("r", "age_0_15").alias("0-15"), _pluck("r", "age_16_64").alias("16-64"),
                  _pluck("r", "age_65_plus").alias("65+")).alias("groups"))))))
 
     ac = K.adult_child_share(s, o).groupBy("patient_type").agg(
-        F.map_from_entries(_sorted_rows(None, "adult_child", "total_patients")).alias("m"))
+        F.map_from_entries(_sorted_rows("adult_child", "total_patients")).alias("m"))
     acj = ac.agg(*[F.first(F.when(F.col("patient_type") == t, F.col("m")), ignorenulls=True).alias(t.lower())
                    for t in PATIENT_TYPES])
     out.append(_section(8, "adult_child", acj.select(F.to_json(F.struct("inpatient", "outpatient")))))
 
     g = K.group_top15(s, o).agg(_sorted_rows(
-        None, (-F.col("total_patients")).alias("k"), "specialty_group", "total_patients", "lw_pct").alias("r"))
+        (-F.col("total_patients")).alias("k"), "specialty_group", "total_patients", "lw_pct").alias("r"))
     out.append(_section(9, "spec_groups", g.select(F.to_json(F.struct(
         _pluck("r", "specialty_group").alias("labels"), _pluck("r", "total_patients").alias("totals"),
         _pluck("r", "lw_pct").alias("lw_pct"))))))
@@ -199,11 +200,11 @@ def sections(s: Summary, o: Options) -> list[DataFrame]:
                 pick("pearson", "statistic", 4).alias("pearson_r"), pick("pearson", "p_value").alias("pearson_p"))
     out.append(_section(11, "stat_tests", st.select(F.to_json(F.struct(*st.columns)))))
 
-    lw = K.long_wait_trend_dense(s, o).agg(_sorted_rows(None, "year_month", "inpatient_long_wait").alias("r"))
+    lw = K.long_wait_trend_dense(s, o).agg(_sorted_rows("year_month", "inpatient_long_wait").alias("r"))
     out.append(_section(12, "long_wait_trend", lw.select(F.to_json(F.struct(
         _pluck("r", "year_month").alias("labels"), _pluck("r", "inpatient_long_wait").alias("inpatient"))))))
 
-    ct = K.case_type_pct(s, o).agg(_sorted_rows(None, "band_order", "case_type", "pct").alias("r"))
+    ct = K.case_type_pct(s, o).agg(_sorted_rows("band_order", "case_type", "pct").alias("r"))
     sel = {n: _pluck(F.filter(F.col("r"), _field_is("case_type", v)), "pct")
            for n, v in (("inpatient_pct", "Inpatient"), ("daycase_pct", "Day Case"))}
     out.append(_section(13, "case_type", ct.select(F.to_json(F.struct(

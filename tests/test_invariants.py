@@ -60,3 +60,26 @@ def test_long_wait_scale_matches_kpis(wl):
 def test_chi2_expected_margins(wl):
     ex = products.chi2_residuals(wl).collect()
     assert sum(r["observed"] for r in ex) == pytest.approx(sum(r["expected"] for r in ex), rel=1e-6)
+
+
+def test_dashboard_document_sections(wl):
+    import json
+    from queuelens.plans import export
+    doc = json.loads(export.dashboard_json(wl).collect()[0]["document"])
+    assert list(doc) == ["kpis", "annual", "monthly", "time_bands", "top_ip", "top_op", "age", "adult_child",
+                         "spec_groups", "desc_stats", "stat_tests", "long_wait_trend", "case_type"]
+    kp = products.kpis(wl).collect()[0].asDict()
+    assert doc["kpis"] == {k: kp[k] for k in doc["kpis"]}
+    assert len(doc["time_bands"]["inpatient"]) == 7 and len(doc["case_type"]["labels"]) == 7
+    assert len(doc["monthly"]["labels"]) == len(doc["long_wait_trend"]["labels"])
+    assert [d["dataset"] for d in doc["desc_stats"]] == ["Inpatient", "Outpatient", "Combined"]
+    top = [r["specialty_name"] for r in products.top_specialties(wl).collect() if r["patient_type"] == "Inpatient"]
+    assert doc["top_ip"]["labels"] == top
+
+
+def test_run_summary_matches_kpis(wl):
+    from queuelens.plans import export
+    rs = export.run_summary(wl).collect()[0]
+    kp = products.kpis(wl).collect()[0]
+    assert rs["total_patient_waits"] == kp["total_patients"] and rs["long_wait"] == kp["long_wait"]
+    assert rs["long_wait_pct"] == kp["long_wait_pct"]
