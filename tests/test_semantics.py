@@ -124,3 +124,53 @@ def test_sql_views_match_dataframe_plan(spark):
     via_sql = spark.sql("""SELECT year, patient_type, SUM(total) AS total_patients, COUNT(*) AS record_count
                            FROM ql_vw_waiting_list_full GROUP BY year, patient_type""")
     assert sorted(map(tuple, via_sql.collect())) == sorted(map(tuple, reports.annual_totals(wl).collect()))
+
+
+def test_even_count_median_equals_middle_pair(spark):
+    wl = _wl(spark, [(1999, 1, "A", "0-3 Months", v) for v in (1, 2, 10, 40)],
+             [(1999, 1, "A", "3-6 Months", v) for v in (5, 7, 9)])
+    rows = {r["patient_type"]: r["median_approx"] for r in reports.type_stats_median(wl).collect()}
+    assert rows == {"Inpatient": 6.0, "Outpatient": 7.0}
+
+
+def test_null_keys_sql_keeps_pandas_drops(spark):
+    import datetime as dt
+    ip = spark.createDataFrame([(dt.date(1999, 1, 1), 1, "A", "Inpatient", None, None, None, 4, 1999),
+                                (dt.date(1999, 1, 1), 1, "A", "Inpatient", "Adult", "65+", "0-3 Months", 6, 1999)],
+                               IP_SCHEMA)
+    op = spark.createDataFrame([], OP_SCHEMA)
+    dim = spark.createDataFrame([("A", "G")], "specialty_name string, specialty_group string")
+    wl = WaitingList(ip, op, dim)
+    bands = {r["time_bands"]: r["total_patients"] for r in reports.band_profile(wl).collect()}
+    assert bands == {None: 4, "0-3 Months": 6}                     # SQL GROUP BY keeps the null group
+    shares = {r["adult_child"] for r in products.adult_child_share(wl).collect()}
+    assert shares == {"Adult"}                                      # pandas groupby drops it
+    dense = products.band_pct_by_type(wl).collect()
+    assert sum(r["total_patients"] for r in dense) == 6              # only the known bands
+
+
+def test_duplicate_dimension_key_is_reported(spark):
+    from queuelens.plans import published
+    wl = _wl(spark, [(1999, 1, "A", "0-3 Months", 5)], [], dim_rows=[("A", "G1"), ("A", "G2")])
+    dups = published.pk_duplicates(wl).collect()
+    assert [(r["specialty_name"], r["occurrences"]) for r in dups] == [("A", 2)]
+    assert wl.full().count() == 2                                   # the fan-out the check warns about
+
+
+def test_constant_values_describe(spark):
+    from queuelens.operators import distribution as D
+    df = spark.createDataFrame([("a", 7)] * 6, "k string, total int")
+    d = D.describe(D.value_counts(df, ["k"], "total"), ["k"], "total").collect()[0]
+    assert d["std"] == 0.0 and d["skewness"] is None and d["kurtosis"] is None
+    assert d["outliers"] == 0 and d["iqr"] == 0.0 and d["mode"] == 7
+
+
+def test_mom_shock_per_group(spark):
+    ip = [(1999, m, "A", "0-3 Months", v) for m, v in ((1, 100), (2, 120), (3, 121))]
+    ip += [(1999, m, "B", "0-3 Months", v) for m, v in ((1, 50), (2, 50), (3, 40))]
+    wl = _wl(spark, ip, [], dim_rows=[("A", "G1"), ("B", "G2")])
+    rows = {(r["specialty_group"], r["year_month"]): (r["mom_pct_change"], r["change_flag"])
+            for r in reports.mom_shock(wl, group_cols=("specialty_group",)).collect()}
+    assert rows[("G1", "1999-02")] == (20.0, "⚠ SPIKE")
+    assert rows[("G1", "1999-03")] == (0.8, "normal")
+    assert rows[("G2", "1999-03")] == (-20.0, "⚠ SPIKE")
