@@ -18,7 +18,7 @@ _MODELS: dict[tuple, WaitingList] = {}
 
 
 def waiting_list_from_testdata(spark: SparkSession, sf_dir: str) -> WaitingList:
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (id(spark), spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"))
     wl = _MODELS.get(key)
     if wl is None:
         t = load_tables(spark, sf_dir)
