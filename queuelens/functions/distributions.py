@@ -9,11 +9,17 @@ continued-fraction expansions (Numerical Recipes style) are used.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship this module's functions to the Python workers by value: executors
+# need only pandas and the standard library, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _EPS = 3e-16
 _ITMAX = 500
 
