@@ -75,5 +75,9 @@ def test_ingest_feeds_reports_and_store(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="ql-store-"), "fact_inpatient")
     write_fact_store(ip, out)
     back = read_fact_store(spark, out, INPATIENT_SCHEMA)
-    assert back.filter(F.col("year") == 2019).count() == 1
+    one_year = back.filter(F.col("year") == 2019).select("total")
+    assert one_year.count() == 1
+    plan = one_year._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "(year#" in plan   # year pruned at listing
+    assert "ReadSchema: struct<total:int>" in plan                            # only the used column is read
     assert {"year=2018", "year=2019"} <= set(os.listdir(out))
