@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuelens.functions.constants import TIME_BANDS
-from queuelens.operators.joins import join_bounded
+from queuelens.operators.joins import DIM_MAX_ROWS, join_bounded
 
 UNMAPPED_REGION = "MIDDLE EAST"
 # Largest supplier / customer side that may be broadcast into the fact join.
@@ -29,7 +29,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def dim_specialty(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
-    return (nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+    region = region.withColumnRenamed("r_regionkey", "n_regionkey")
+    return (join_bounded(nation, region, "n_regionkey", "inner", DIM_MAX_ROWS)
             .filter(F.col("r_name") != F.lit(UNMAPPED_REGION))
             .select(F.col("n_name").alias("specialty_name"),
                     F.col("r_name").alias("specialty_group")))
@@ -47,8 +48,8 @@ def _band_at(index_col) -> F.Column:
 def fact_inpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    sup_names = sup.join(F.broadcast(_nation_names(spark, sf_dir, "s_nationkey")), "s_nationkey") \
-                   .select(F.col("s_suppkey").alias("l_suppkey"), "specialty_name")
+    sup_names = join_bounded(sup, _nation_names(spark, sf_dir, "s_nationkey"), "s_nationkey", "inner",
+                             DIM_MAX_ROWS).select(F.col("s_suppkey").alias("l_suppkey"), "specialty_name")
     joined = join_bounded(li, sup_names, "l_suppkey", "inner", MAX_BROADCAST_ROWS)
     band_idx = F.floor(F.round(F.col("l_discount") * F.lit(100.0)) * F.lit(7.0) / F.lit(11.0)).cast("int")
     rf = F.col("l_returnflag")
@@ -71,8 +72,8 @@ def fact_inpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fact_outpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    cust_names = cust.join(F.broadcast(_nation_names(spark, sf_dir, "c_nationkey")), "c_nationkey") \
-                     .select(F.col("c_custkey").alias("o_custkey"), "specialty_name")
+    cust_names = join_bounded(cust, _nation_names(spark, sf_dir, "c_nationkey"), "c_nationkey", "inner",
+                              DIM_MAX_ROWS).select(F.col("c_custkey").alias("o_custkey"), "specialty_name")
     joined = join_bounded(orders, cust_names, "o_custkey", "inner", MAX_BROADCAST_ROWS)
     st = F.col("o_orderstatus")
     no_demo = F.col("o_orderkey") % 50 == 0
