@@ -1,4 +1,4 @@
-"""Measures published in the reference README without code, and the
+"""Measures published as results without code behind them, and the
 primitive-level checks (data quality, cleaning rules, formatting)."""
 
 from __future__ import annotations

@@ -55,7 +55,7 @@ def _read_one(spark: SparkSession, path: str) -> DataFrame:
     renames = {c: HEADER_ALIASES[c] for c in df.columns if c in HEADER_ALIASES}
     if renames:
         df = df.withColumnsRenamed(renames)
-    # file names arrive URL-encoded ("IN_WL%202018.csv"): decode before matching
+    # file names arrive URL-encoded ("inpatient%202018.csv"): decode before matching
     name = F.url_decode(F.col("_metadata.file_name"))
     return df.withColumn("year", F.nullif(F.regexp_extract(name, r"(\d{4})", 1), F.lit("")).cast("int"))
 

@@ -22,26 +22,26 @@ def _write(folder, name, lines):
 
 def _fixtures():
     d = tempfile.mkdtemp(prefix="ql-csv-")
-    ip18 = _write(d, "IN_WL 2018.csv", [
+    ip18 = _write(d, "inpatient 2018.csv", [
         IN_HEADER,
         "31/01/2018,G1,1, 10 ,  Cardiology ,Inpatient,Adult,16-64, 0-3 Months,5,",
         "28/02/2018,G1,1,,Cardiology\t,Day Case,Child,0-15,18 Months +,7,",
         "not a date,G1,1,10,Cardiology,Inpatient,Adult,16-64,0-3 Months,3,",
     ])
-    ip19 = _write(d, "IN_WL 2019.csv", [
+    ip19 = _write(d, "inpatient 2019.csv", [
         IN_HEADER,
         "15/03/2019,G2,2,11,Unknown Ward,Inpatient,Adult,65+,18+ Months,11,",
     ])
-    op18 = _write(d, "Op_WL 2018.csv", [
+    op18 = _write(d, "outpatient 2018.csv", [
         "Archive_Date,Group,Hospital_HIPE,Specialty_HIPE,Speciality,Adult_Child,Age_Profile,Time_Bands,Total",
         "31/01/2018,G1,1,10,Cardiology,Adult,,3-6 Months,20",
         "31/01/2018,G1,1,10,Cardiology,Child,  ,3-6 Months,4",
     ])
-    op19 = _write(d, "Op_WL 2019.csv", [
+    op19 = _write(d, "outpatient 2019.csv", [
         "Archive_Date,Group,Hospital_HIPE,Specialty_HIPE,Speciality_Name,Adult_Child,Age_Profile,Time_Bands,Total",
         "31/12/2019,G1,1,10,Cardiology,Adult,65+,18+ Months,30",
     ])
-    mp = _write(d, "Mapping_Specialty.csv", ["Specialty,Specialty Group", "Cardiology,Heart", "Urology,Other"])
+    mp = _write(d, "specialty_mapping.csv", ["Specialty,Specialty Group", "Cardiology,Heart", "Urology,Other"])
     return d, [ip18, ip19], [op18, op19], mp
 
 

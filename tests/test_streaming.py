@@ -18,14 +18,14 @@ def test_incremental_ingest(spark):
     base = tempfile.mkdtemp(prefix="ql-stream-")
     src, store, ckpt, rej = (os.path.join(base, p) for p in ("in", "store", "ckpt", "rejects"))
     os.makedirs(src)
-    _drop(src, "IN_WL 2018.csv", ["31/01/2018,G,1,10, Cardiology ,Inpatient,Adult,16-64,18 Months +,5",
+    _drop(src, "inpatient 2018.csv", ["31/01/2018,G,1,10, Cardiology ,Inpatient,Adult,16-64,18 Months +,5",
                                   "bad,G,1,10,Cardiology,Inpatient,Adult,16-64,0-3 Months,5"])
     q = start_fact_ingest(spark, src, store, ckpt, reject_dir=rej)
     q.awaitTermination(120)
     first = read_fact_store(spark, store, INPATIENT_SCHEMA)
     assert first.count() == 1
     assert first.first()["time_bands"] == "18+ Months" and first.first()["year"] == 2018
-    _drop(src, "IN_WL 2019.csv", ["28/02/2019,G,1,11,Urology,Day Case,Child,0-15,3-6 Months,7"])
+    _drop(src, "inpatient 2019.csv", ["28/02/2019,G,1,11,Urology,Day Case,Child,0-15,3-6 Months,7"])
     q = start_fact_ingest(spark, src, store, ckpt, reject_dir=rej)
     q.awaitTermination(120)
     again = read_fact_store(spark, store, INPATIENT_SCHEMA)
