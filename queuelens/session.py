@@ -8,6 +8,28 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Defaults for a large cluster, applied only where the launcher left them
+# unset. The reports shrink the facts to small aggregates right after the
+# scan, so shuffles are small except for joins that cannot broadcast; these
+# keep scan splits and shuffle partitions at a size a task holds in memory,
+# and let AQE coalesce the many small post-aggregation partitions.
+CLUSTER_DEFAULTS = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+}
+
+
+def apply_cluster_defaults(spark: SparkSession) -> None:
+    """Set CLUSTER_DEFAULTS for keys the session does not define yet."""
+    for key, value in CLUSTER_DEFAULTS.items():
+        if spark.conf.get(key, None) in (None, ""):
+            spark.conf.set(key, value)
+        elif key == "spark.sql.shuffle.partitions" and spark.conf.get(key) == "200":
+            spark.conf.set(key, value)          # 200 is Spark's built-in default, not a choice
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "queuelens") -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
@@ -31,6 +53,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.sparkContext.master.startswith("local"):
+        apply_cluster_defaults(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
