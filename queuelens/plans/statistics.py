@@ -8,8 +8,7 @@ export:
 * record counts per (adult_child, time_bands) cell for the chi-square test,
 * wait-ordinal sums per year / specialty-year for the correlations.
 
-Only the tail probabilities are evaluated in Python (a pandas UDF over the
-one-row result).
+Tail probabilities are JVM expressions too (``functions.tails``).
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.functions import distributions as P
+from queuelens.functions import tails as TL
 from queuelens.functions import measures as M
 from queuelens.functions.constants import (PATIENT_TYPES, SIGNIFICANCE_ALPHA,
                                            SIGNIFICANCE_LABELS, STRENGTH_CUTS, STRENGTH_LABELS)
@@ -95,7 +94,7 @@ def kruskal_h(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def kruskal_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     k = kw_frame(year_counts(wl.combined(), o))
-    return k.select("h", "dof", P.chi2_sf_udf(F.col("h"), F.col("dof").cast("double")).alias("p_value"))
+    return k.select("h", "dof", TL.chi2_sf("h", "dof").alias("p_value"))
 
 
 _RANKS = """
@@ -119,7 +118,7 @@ def mann_whitney_u(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def mann_whitney_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     m = mw_frame(type_counts(wl.combined()))
-    return m.select("u", "z", P.normal_two_sided_udf(F.col("z")).alias("p_value"))
+    return m.select("u", "z", TL.normal_two_sided("z").alias("p_value"))
 
 
 SQL["mann_whitney_u"] = S.with_adapter(f"""
@@ -144,7 +143,7 @@ def cramers_v(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def chi2_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     c = chi2_frame(cell_counts(wl.combined()))
-    return c.select("chi2", "dof", P.chi2_sf_udf(F.col("chi2"), F.col("dof").cast("double")).alias("p_value"))
+    return c.select("chi2", "dof", TL.chi2_sf("chi2", "dof").alias("p_value"))
 
 
 _CHI_CTES = """
@@ -178,7 +177,7 @@ def spearman_year(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def spearman_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     s = spearman_frame(wait_by_year(wl.combined()))
-    return s.select("rho", "n", P.corr_p_udf(F.col("rho"), F.col("n").cast("double")).alias("p_value"))
+    return s.select("rho", "n", TL.corr_two_sided("rho", "n").alias("p_value"))
 
 
 _SPEARMAN = """
@@ -199,7 +198,7 @@ def pearson_specialty_year(wl: WaitingList, o: Options = Options()) -> DataFrame
 
 def pearson_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     p = pearson_frame(spec_year(wl.combined()))
-    return p.select("r", "n", P.corr_p_udf(F.col("r"), F.col("n").cast("double")).alias("p_value"))
+    return p.select("r", "n", TL.corr_two_sided("r", "n").alias("p_value"))
 
 
 _SPEC_YR = """
@@ -228,8 +227,8 @@ FROM (SELECT year, AVG(wait_rank) AS a FROM combined GROUP BY year) WHERE a IS N
 def tests_table(vc_year, vc_type, cells, wy, sy) -> DataFrame:
     """One row per test: test, statistic, p_value, dof (or n), conclusion.
 
-    The one-row statistics are unioned first and all tail probabilities are
-    evaluated by a single pandas UDF over the small union.
+    The one-row statistics are unioned first and the tail probability of
+    each row is a JVM expression chosen by the test kind.
     """
     def row(df, name, stat, kind, p_stat, p_param, dof):
         return df.select(F.lit(name).alias("test"), F.col(stat).cast("double").alias("statistic"),
@@ -248,7 +247,10 @@ def tests_table(vc_year, vc_type, cells, wy, sy) -> DataFrame:
             .unionByName(row(chi, "cramers_v", "cramers_v", "chi2", "chi2", "dof", "n"))
             .unionByName(row(sp, "spearman", "rho", "corr", "rho", "n", "n"))
             .unionByName(row(pr, "pearson", "r", "corr", "r", "n", "n")))
-    p = P.p_value_udf(F.col("_kind"), F.col("_ps"), F.col("_pp"))
+    kind = F.col("_kind")
+    p = (F.when(kind == "chi2", TL.chi2_sf("_ps", "_pp"))
+         .when(kind == "z", TL.normal_two_sided("_ps"))
+         .when(kind == "corr", TL.corr_two_sided("_ps", "_pp")))
     sig = F.when(F.col("p_value") < F.lit(SIGNIFICANCE_ALPHA), F.lit(SIGNIFICANCE_LABELS[0])) \
            .otherwise(F.lit(SIGNIFICANCE_LABELS[1]))
     return (rows.select("test", "statistic", p.alias("p_value"), "dof_or_n")

@@ -1,24 +1,11 @@
-"""Tail probabilities for the test statistics (normal, chi-square, Student t).
-
-Spark SQL has no erf / incomplete gamma / incomplete beta, so these are
-evaluated in a vectorised pandas UDF on the one-row result of each test;
-the statistics themselves are Spark aggregates. Standard series and
-continued-fraction expansions (Numerical Recipes style) are used.
-"""
+"""Plain-Python tail probabilities, used only as the test reference for the
+JVM expressions in ``queuelens.functions.tails`` (each is itself checked
+against published quantiles in test_statistics.py)."""
 
 from __future__ import annotations
 
 import math
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Ship this module's functions to the Python workers by value: executors
-# need only pandas and the standard library, not this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _EPS = 3e-16
 _ITMAX = 500
@@ -132,47 +119,3 @@ def corr_p(r: float, n: float) -> float:
         return 0.0
     t = r * math.sqrt((n - 2) / (1.0 - r * r))
     return t_two_sided(t, n - 2)
-
-
-def _nullable(x: float):
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_sf_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([_nullable(chi2_sf(a, b)) if pd.notna(a) and pd.notna(b) else None
-                      for a, b in zip(x, dof)], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_two_sided_udf(z: pd.Series) -> pd.Series:
-    return pd.Series([2.0 * normal_sf(abs(a)) if pd.notna(a) else None for a in z], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def corr_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([_nullable(corr_p(a, b)) if pd.notna(a) and pd.notna(b) else None
-                      for a, b in zip(r, n)], dtype="float64")
-
-
-def p_value(kind: str, stat: float, param: float) -> float | None:
-    """Two-sided / upper-tail p for a named test statistic.
-
-    kind: 'chi2' (stat, dof), 'z' (normal z), 'corr' (r, n).
-    """
-    if stat is None or param is None or (isinstance(stat, float) and math.isnan(stat)):
-        return None
-    if kind == "chi2":
-        return _nullable(chi2_sf(stat, param))
-    if kind == "z":
-        return 2.0 * normal_sf(abs(stat))
-    if kind == "corr":
-        return _nullable(corr_p(stat, param))
-    return None
-
-
-@F.pandas_udf(T.DoubleType())
-def p_value_udf(kind: pd.Series, stat: pd.Series, param: pd.Series) -> pd.Series:
-    """All tail probabilities of a test table in one vectorised Python pass."""
-    return pd.Series([p_value(k, s if pd.notna(s) else None, q if pd.notna(q) else None)
-                      for k, s, q in zip(kind, stat, param)], dtype="float64")
