@@ -7,24 +7,47 @@ number of iterations inside ``aggregate`` over a ``sequence``; after
 convergence further iterations leave the value unchanged. The gamma
 function is only needed at half-integers (k/2 degrees of freedom), where
 it is an exact finite product.
+
+The ``with_*`` helpers first stage their inputs as columns so the iterated
+lambdas reference plain attributes (a small expression tree for the
+analyser and optimiser), then drop the staging columns.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ITERATIONS = 300
 _TINY = 1e-300
 _LOG_SQRT_PI = 0.5 * math.log(math.pi)
 
+# The staged expressions below only reference fixed staging columns, so each
+# is built once per Spark context (building the iterated lambdas is the slow
+# part) and reused by every query.
+_BUILT: dict[tuple, Column] = {}
+
+
+def _cached(name: str, build) -> Column:
+    from pyspark import SparkContext
+    key = (name, id(SparkContext._active_spark_context))
+    col = _BUILT.get(key)
+    if col is None:
+        col = build()
+        _BUILT[key] = col
+    return col
+
 
 def _guard(x: Column) -> Column:
     return F.when(F.abs(x) < F.lit(_TINY), F.lit(_TINY)).otherwise(x)
 
 
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def lgamma_half(a: Column) -> Column:
     """ln Gamma(a) for a = k/2, k a positive integer (exact product form)."""
     m = F.floor(a - F.lit(0.5)).cast("int")
@@ -34,24 +57,23 @@ def lgamma_half(a: Column) -> Column:
     return base + prod
 
 
-def gamma_q(a: Column, x: Column) -> Column:
-    """Regularised upper incomplete gamma Q(a, x) = 1 - P(a, x), half-integer a."""
-    front = F.exp(-x + a * F.log(x) - lgamma_half(a))
+def _gamma_q(a: Column, x: Column, lg: Column) -> Column:
+    """Q(a, x) given ln Gamma(a); a, x, lg should be attribute references."""
+    front = F.exp(-x + a * F.log(x) - lg)
     steps = F.sequence(F.lit(1), F.lit(ITERATIONS))
     series = F.aggregate(
         steps, F.struct((F.lit(1.0) / a).alias("t"), (F.lit(1.0) / a).alias("s")),
         lambda acc, n: F.struct((acc["t"] * x / (a + n)).alias("t"),
                                 (acc["s"] + acc["t"] * x / (a + n)).alias("s")),
         lambda acc: acc["s"])
-    b0 = x + F.lit(1.0) - a
 
     def lentz(acc, i):
         an = -i * (i - a)
         b = acc["b"] + F.lit(2.0)
-        d = _guard(an * acc["d"] + b)
+        d = F.lit(1.0) / _guard(an * acc["d"] + b)
         c = _guard(b + an / acc["c"])
-        d = F.lit(1.0) / d
         return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+    b0 = x + F.lit(1.0) - a
     cf = F.aggregate(steps, F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"),
                                      (F.lit(1.0) / b0).alias("d"), (F.lit(1.0) / b0).alias("h")),
                      lentz, lambda acc: acc["h"])
@@ -61,17 +83,25 @@ def gamma_q(a: Column, x: Column) -> Column:
             .when(x <= F.lit(0.0), F.lit(1.0)).otherwise(q)
 
 
-def chi2_sf(stat, dof) -> Column:
-    """P(X > stat) for a chi-square with ``dof`` degrees of freedom."""
-    stat, dof = F.col(stat) if isinstance(stat, str) else stat, F.col(dof) if isinstance(dof, str) else dof
-    return F.when(dof > 0, gamma_q(dof.cast("double") / F.lit(2.0), stat.cast("double") / F.lit(2.0)))
+def _with_gamma_q(df: DataFrame, a: Column, x: Column, out: str) -> DataFrame:
+    staged = df.withColumns({"_tl_a": a.cast("double"), "_tl_x": x.cast("double")})
+    staged = staged.withColumn("_tl_lg", _cached("lgamma_a", lambda: lgamma_half(F.col("_tl_a"))))
+    q = _cached("gamma_q", lambda: _gamma_q(F.col("_tl_a"), F.col("_tl_x"), F.col("_tl_lg")))
+    return staged.withColumn(out, q).drop("_tl_a", "_tl_x", "_tl_lg")
+
+
+def with_chi2_sf(df: DataFrame, stat, dof, out: str) -> DataFrame:
+    """Adds ``out`` = P(X > stat) for a chi-square with ``dof`` degrees of freedom."""
+    stat, dof = _c(stat), _c(dof)
+    res = _with_gamma_q(df.withColumn("_tl_ok", dof > 0), dof.cast("double") / F.lit(2.0),
+                        stat.cast("double") / F.lit(2.0), out)
+    return res.withColumn(out, F.when(F.col("_tl_ok"), F.col(out))).drop("_tl_ok")
 
 
-def normal_two_sided(z) -> Column:
-    """2 * P(Z > |z|) = Q(1/2, z^2/2)."""
-    z = F.col(z) if isinstance(z, str) else z
-    z = z.cast("double")
-    return gamma_q(F.lit(0.5), z * z / F.lit(2.0))
+def with_normal_two_sided(df: DataFrame, z, out: str) -> DataFrame:
+    """Adds ``out`` = 2 P(Z > |z|) = Q(1/2, z^2/2)."""
+    z = _c(z).cast("double")
+    return _with_gamma_q(df, F.lit(0.5), z * z / F.lit(2.0), out)
 
 
 def _beta_cf(a: Column, b: Column, x: Column) -> Column:
@@ -93,22 +123,36 @@ def _beta_cf(a: Column, b: Column, x: Column) -> Column:
                        step, lambda acc: acc["h"])
 
 
-def beta_inc_half(a: Column, b: Column, x: Column) -> Column:
-    """Regularised incomplete beta I_x(a, b) for half-integer a, b."""
-    ln_front = (lgamma_half(a + b) - lgamma_half(a) - lgamma_half(b)
-                + a * F.log(x) + b * F.log(F.lit(1.0) - x))
-    lower = F.exp(ln_front) * _beta_cf(a, b, x) / a
-    upper = F.lit(1.0) - F.exp(ln_front) * _beta_cf(b, a, F.lit(1.0) - x) / b
-    inner = F.when(x < (a + F.lit(1.0)) / (a + b + F.lit(2.0)), lower).otherwise(upper)
-    return F.when(x <= F.lit(0.0), F.lit(0.0)).when(x >= F.lit(1.0), F.lit(1.0)).otherwise(inner)
-
-
-def corr_two_sided(r, n) -> Column:
-    """Two-sided p of a correlation coefficient (t with n-2 dof); 0 when |r| = 1."""
-    r = (F.col(r) if isinstance(r, str) else r).cast("double")
-    n = (F.col(n) if isinstance(n, str) else n).cast("double")
-    nu = n - F.lit(2.0)
-    t2 = r * r * nu / (F.lit(1.0) - r * r)
-    p = beta_inc_half(nu / F.lit(2.0), F.lit(0.5), nu / (nu + t2))
-    return (F.when(r.isNull() | n.isNull() | (n < 3), F.lit(None).cast("double"))
-            .when(F.abs(r) >= F.lit(1.0), F.lit(0.0)).otherwise(p))
+def with_corr_two_sided(df: DataFrame, r, n, out: str) -> DataFrame:
+    """Adds ``out`` = two-sided p of a correlation coefficient (t with n-2 dof);
+    0 when |r| = 1, null when n < 3."""
+    r, n = _c(r).cast("double"), _c(n).cast("double")
+    s = df.withColumns({"_tl_r": r, "_tl_n": n})
+    s = s.withColumns({
+        "_tl_a": (F.col("_tl_n") - F.lit(2.0)) / F.lit(2.0),
+        # x = nu / (nu + t^2), t^2 = r^2 nu / (1 - r^2); null when |r| = 1 (p = 0 then)
+        "_tl_x": F.try_divide(
+            F.col("_tl_n") - F.lit(2.0),
+            (F.col("_tl_n") - F.lit(2.0))
+            + F.try_divide(F.col("_tl_r") * F.col("_tl_r") * (F.col("_tl_n") - F.lit(2.0)),
+                           F.lit(1.0) - F.col("_tl_r") * F.col("_tl_r")))})
+    s = s.withColumns({"_tl_lab": _cached("lgamma_ab", lambda: lgamma_half(F.col("_tl_a") + F.lit(0.5))),
+                       "_tl_la": _cached("lgamma_a", lambda: lgamma_half(F.col("_tl_a")))})
+
+    def front_expr():
+        a, b, x = F.col("_tl_a"), F.lit(0.5), F.col("_tl_x")
+        return F.exp(F.col("_tl_lab") - F.col("_tl_la") - F.lit(_LOG_SQRT_PI)
+                     + a * F.log(x) + b * F.log(F.lit(1.0) - x))
+
+    def p_expr():
+        a, b, x = F.col("_tl_a"), F.lit(0.5), F.col("_tl_x")
+        front = F.col("_tl_front")
+        lower = front * _beta_cf(a, b, x) / a
+        upper = F.lit(1.0) - front * _beta_cf(b, a, F.lit(1.0) - x) / b
+        inner = F.when(x < (a + F.lit(1.0)) / (a + b + F.lit(2.0)), lower).otherwise(upper)
+        p = F.when(x <= F.lit(0.0), F.lit(0.0)).when(x >= F.lit(1.0), F.lit(1.0)).otherwise(inner)
+        rr, nn = F.col("_tl_r"), F.col("_tl_n")
+        return (F.when(rr.isNull() | nn.isNull() | (nn < 3), F.lit(None).cast("double"))
+                .when(F.abs(rr) >= F.lit(1.0), F.lit(0.0)).otherwise(p))
+    s = s.withColumn("_tl_front", _cached("beta_front", front_expr))
+    return s.withColumn(out, _cached("beta_p", p_expr)).drop("_tl_r", "_tl_n", "_tl_a", "_tl_x", "_tl_lab", "_tl_la", "_tl_front")

@@ -94,7 +94,7 @@ def kruskal_h(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def kruskal_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     k = kw_frame(year_counts(wl.combined(), o))
-    return k.select("h", "dof", TL.chi2_sf("h", "dof").alias("p_value"))
+    return TL.with_chi2_sf(k.select("h", "dof"), "h", "dof", "p_value")
 
 
 _RANKS = """
@@ -118,7 +118,7 @@ def mann_whitney_u(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def mann_whitney_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     m = mw_frame(type_counts(wl.combined()))
-    return m.select("u", "z", TL.normal_two_sided("z").alias("p_value"))
+    return TL.with_normal_two_sided(m.select("u", "z"), "z", "p_value")
 
 
 SQL["mann_whitney_u"] = S.with_adapter(f"""
@@ -143,7 +143,7 @@ def cramers_v(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def chi2_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     c = chi2_frame(cell_counts(wl.combined()))
-    return c.select("chi2", "dof", TL.chi2_sf("chi2", "dof").alias("p_value"))
+    return TL.with_chi2_sf(c.select("chi2", "dof"), "chi2", "dof", "p_value")
 
 
 _CHI_CTES = """
@@ -177,7 +177,7 @@ def spearman_year(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def spearman_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     s = spearman_frame(wait_by_year(wl.combined()))
-    return s.select("rho", "n", TL.corr_two_sided("rho", "n").alias("p_value"))
+    return TL.with_corr_two_sided(s.select("rho", "n"), "rho", "n", "p_value")
 
 
 _SPEARMAN = """
@@ -198,7 +198,7 @@ def pearson_specialty_year(wl: WaitingList, o: Options = Options()) -> DataFrame
 
 def pearson_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     p = pearson_frame(spec_year(wl.combined()))
-    return p.select("r", "n", TL.corr_two_sided("r", "n").alias("p_value"))
+    return TL.with_corr_two_sided(p.select("r", "n"), "r", "n", "p_value")
 
 
 _SPEC_YR = """
@@ -248,9 +248,11 @@ def tests_table(vc_year, vc_type, cells, wy, sy) -> DataFrame:
             .unionByName(row(sp, "spearman", "rho", "corr", "rho", "n", "n"))
             .unionByName(row(pr, "pearson", "r", "corr", "r", "n", "n")))
     kind = F.col("_kind")
-    p = (F.when(kind == "chi2", TL.chi2_sf("_ps", "_pp"))
-         .when(kind == "z", TL.normal_two_sided("_ps"))
-         .when(kind == "corr", TL.corr_two_sided("_ps", "_pp")))
+    rows = TL.with_chi2_sf(rows, "_ps", "_pp", "_p_chi2")
+    rows = TL.with_normal_two_sided(rows, "_ps", "_p_z")
+    rows = TL.with_corr_two_sided(rows, "_ps", "_pp", "_p_corr")
+    p = (F.when(kind == "chi2", F.col("_p_chi2")).when(kind == "z", F.col("_p_z"))
+         .when(kind == "corr", F.col("_p_corr")))
     sig = F.when(F.col("p_value") < F.lit(SIGNIFICANCE_ALPHA), F.lit(SIGNIFICANCE_LABELS[0])) \
            .otherwise(F.lit(SIGNIFICANCE_LABELS[1]))
     return (rows.select("test", "statistic", p.alias("p_value"), "dof_or_n")

@@ -164,14 +164,14 @@ def test_midranks_across_value_buckets(spark):
 def test_jvm_tails_match_reference(spark):
     rows = [(float(x), k) for k in (1, 2, 3, 6, 11, 30) for x in (0.01, 0.7, 3.84, 9.0, 25.0, 120.0)]
     df = spark.createDataFrame(rows, "x double, k int")
-    for r in df.select("x", "k", TL.chi2_sf("x", "k").alias("p")).collect():
+    for r in TL.with_chi2_sf(df, "x", "k", "p").collect():
         assert r["p"] == pytest.approx(P.chi2_sf(r["x"], r["k"]), rel=1e-10)
     zs = spark.createDataFrame([(z,) for z in (0.0, 0.3, 1.96, 4.0, 9.0)], "z double")
-    for r in zs.select("z", TL.normal_two_sided("z").alias("p")).collect():
+    for r in TL.with_normal_two_sided(zs, "z", "p").collect():
         assert r["p"] == pytest.approx(2 * P.normal_sf(abs(r["z"])), rel=1e-10)
     rn = spark.createDataFrame([(r, n) for r in (-0.8, 0.1, 0.5, 0.99) for n in (3, 4, 9, 50)] + [(1.0, 5), (0.3, 2)],
                                "r double, n int")
-    for r in rn.select("r", "n", TL.corr_two_sided("r", "n").alias("p")).collect():
+    for r in TL.with_corr_two_sided(rn, "r", "n", "p").collect():
         want = P.corr_p(r["r"], r["n"])
         if math.isnan(want):
             assert r["p"] is None
