@@ -174,3 +174,17 @@ def test_mom_shock_per_group(spark):
     assert rows[("G1", "1999-02")] == (20.0, "⚠ SPIKE")
     assert rows[("G1", "1999-03")] == (0.8, "normal")
     assert rows[("G2", "1999-03")] == (-20.0, "⚠ SPIKE")
+
+
+def test_year_options_name_growth_columns(spark):
+    from queuelens.plans import published
+    ip = [(y, 1, "A", "18+ Months", 10 + y - 1996) for y in (1996, 1997, 1998)]
+    wl = _wl(spark, ip, [])
+    o = Options(early_year=1996, base_year=1997, compare_year=1998)
+    g = reports.specialty_growth(wl, o)
+    assert {"total_1996", "total_1997", "total_1998"} <= set(g.columns)
+    acc = reports.long_wait_acceleration(wl, o)
+    assert {"rate_1998", "rate_1996"} <= set(acc.columns)
+    coh = published.age_cohort_growth(wl, o)
+    assert {"elderly_1996", "elderly_1998"} <= set(coh.columns)
+    assert g.collect()[0]["covid_yoy_pct"] == 9.1        # (12 - 11) * 100 / 11
