@@ -38,16 +38,20 @@ FROM vw_waiting_list_full GROUP BY patient_type""")
 # L2 -------------------------------------------------------------------------
 def long_wait_month_growth(wl: WaitingList, o: Options = Options()) -> DataFrame:
     """Inpatient long waits per month against the same month a year earlier,
-    on a dense calendar axis (months without rows count as 0)."""
+    on a dense calendar axis (months without rows count as 0).
+
+    One aggregation per present month, folded into a single row holding the
+    month -> total map and the first/last month (bounded by the number of
+    months); the calendar axis is a month ``sequence`` exploded from it.
+    """
     ip = wl.view(o.drop_null_age).filter(F.col("patient_type") == IP)
-    first = F.trunc(F.col("archive_date"), "month")
-    span = ip.agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
-    axis = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("m")) \
-               .select(F.date_format("m", "yyyy-MM").alias("year_month"))
-    lw = (ip.filter(M.is_long(band=o.long_band)).groupBy("year_month")
-          .agg(F.sum("total").alias("_lw")))
-    dense = axis.join(lw, "year_month", "left").select(
-        "year_month", F.coalesce("_lw", F.lit(0)).cast("long").alias("long_wait"))
+    per_month = ip.groupBy(F.trunc(F.col("archive_date"), "month").alias("m")).agg(
+        M.sum_when(M.is_long(band=o.long_band)).alias("_lw"))
+    span = per_month.agg(F.map_from_entries(F.collect_list(F.struct("m", "_lw"))).alias("_map"),
+                         F.min("m").alias("lo"), F.max("m").alias("hi"))
+    axis = span.select("_map", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("m"))
+    dense = axis.select(F.date_format("m", "yyyy-MM").alias("year_month"),
+                        F.coalesce(F.col("_map")[F.col("m")], F.lit(0)).cast("long").alias("long_wait"))
     prev = F.lag("long_wait", 12).over(W.orderBy("year_month"))
     return (dense.select("year_month", "long_wait", prev.alias("long_wait_prev_year"),
                          M.round_half(M.pct(F.col("long_wait") - prev, prev), 1).alias("growth_pct"))

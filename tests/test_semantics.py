@@ -188,3 +188,17 @@ def test_year_options_name_growth_columns(spark):
     coh = published.age_cohort_growth(wl, o)
     assert {"elderly_1996", "elderly_1998"} <= set(coh.columns)
     assert g.collect()[0]["covid_yoy_pct"] == 9.1        # (12 - 11) * 100 / 11
+
+
+def test_each_fact_table_scanned_at_most_once(spark):
+    """Guards the single-read design (see PLANS.md) against regressions."""
+    import re
+    from __spark_entry__ import queries
+    for name, fn in queries().items():
+        df = fn(spark, "/root/testdata/sf0.001")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        for table in ("lineitem", "orders"):
+            scans = sum(1 for ln in plan.split("\n")
+                        if re.search(r"Scan parquet", ln) and f"{table}.parquet" in ln)
+            assert scans <= 1, (name, table, scans)
