@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from queuelens.llm.common import read_table
 from queuelens.llm.exact_dedup import exact_duplicates
+from queuelens.llm.langid import predict_languages
+from queuelens.llm.lm_scoring import score_documents
 from queuelens.llm.mixing import mix
 from queuelens.llm.packing import pack
 from queuelens.llm.sharding import assign_shards
@@ -20,16 +22,25 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
+def op4_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jump_shards, op2_pfair_mix, op6_exact_dedup, op9_length_buckets)}
+    op1_jump_shards, op2_pfair_mix, op4_kneser_ney_langid, op6_exact_dedup, op7_lattice_likelihood,
+    op9_length_buckets)}
 
 SQL = {
     "op6_exact_dedup": """
