@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from queuelens.llm.ann import nearest
 from queuelens.llm.common import read_table
 from queuelens.llm.exact_dedup import exact_duplicates
 from queuelens.llm.langid import predict_languages
@@ -12,6 +13,7 @@ from queuelens.llm.lm_scoring import score_documents
 from queuelens.llm.mixing import mix
 from queuelens.llm.packing import pack
 from queuelens.llm.sharding import assign_shards
+from queuelens.llm.warc import archive_round_trip
 
 
 def op1_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
+def op3_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(read_table(spark, sf_dir, "documents"))
 
@@ -38,9 +44,13 @@ def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_jump_shards, op2_pfair_mix, op4_kneser_ney_langid, op6_exact_dedup, op7_lattice_likelihood,
-    op9_length_buckets)}
+    op1_jump_shards, op2_pfair_mix, op3_hash_forest, op4_kneser_ney_langid, op6_exact_dedup, op7_lattice_likelihood,
+    op9_length_buckets, op10_warc_round_trip)}
 
 SQL = {
     "op6_exact_dedup": """
@@ -48,4 +58,14 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, text_sha256
         FROM d WINDOW same AS (PARTITION BY text_sha256)""",
+    "op10_warc_round_trip": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first_id,
+                     list_transform(range(8), g -> ('0x' || substr(hex, 1 + 5 * g, 5))::BIGINT) AS v FROM p)
+        SELECT page_id, strlen(body) AS payload_bytes,
+               array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + ((v[1 + i // 4] >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url AS target_uri
+        FROM q""",
 }
