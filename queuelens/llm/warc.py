@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -237,9 +238,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-@pandas_udf("string")
-def payload_digest(payloads):
-    return payloads.map(lambda p: sha1_base32(bytes(p)))
+def payload_digest(payload):
+    """Bare base32 SHA-1 of a binary column."""
+    @pandas_udf("string")
+    def digest(payloads: pd.Series) -> pd.Series:
+        return payloads.map(lambda p: sha1_base32(bytes(p)))
+
+    return digest(payload)
 
 
 def to_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
