@@ -61,9 +61,9 @@ SQL = {
     "op10_warc_round_trip": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
         q AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first_id,
-                     list_transform(range(8), g -> ('0x' || substr(hex, 1 + 5 * g, 5))::BIGINT) AS v FROM p)
+                     list_transform(range(8), lambda g: ('0x' || substr(hex, 1 + 5 * g, 5))::BIGINT) AS v FROM p)
         SELECT page_id, strlen(body) AS payload_bytes,
-               array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    CAST(1 + ((v[1 + i // 4] >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), '') AS payload_digest,
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url AS target_uri
