@@ -12,6 +12,7 @@ from queuelens.llm.langid import predict_languages
 from queuelens.llm.lm_scoring import score_documents
 from queuelens.llm.mixing import mix
 from queuelens.llm.packing import pack
+from queuelens.llm.quality import classify
 from queuelens.llm.sharding import assign_shards
 from queuelens.llm.warc import archive_round_trip
 
@@ -40,6 +41,12 @@ def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no address: their source stands for the host, source and language for the path."""
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                    host=F.col("source"), path=F.col("lang"))
+
+
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +57,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_jump_shards, op2_pfair_mix, op3_hash_forest, op4_kneser_ney_langid, op6_exact_dedup, op7_lattice_likelihood,
-    op9_length_buckets, op10_warc_round_trip)}
+    op8_site_quality, op9_length_buckets, op10_warc_round_trip)}
 
 SQL = {
     "op6_exact_dedup": """
