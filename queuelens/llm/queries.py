@@ -11,6 +11,7 @@ from queuelens.llm.exact_dedup import exact_duplicates
 from queuelens.llm.langid import predict_languages
 from queuelens.llm.lm_scoring import score_documents
 from queuelens.llm.mixing import mix
+from queuelens.llm.ngram_join import near_duplicates
 from queuelens.llm.packing import pack
 from queuelens.llm.quality import classify
 from queuelens.llm.sharding import assign_shards
@@ -33,6 +34,11 @@ def op4_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -56,7 +62,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jump_shards, op2_pfair_mix, op3_hash_forest, op4_kneser_ney_langid, op6_exact_dedup, op7_lattice_likelihood,
+    op1_jump_shards, op2_pfair_mix, op3_hash_forest, op4_kneser_ney_langid, op5_ngram_join, op6_exact_dedup, op7_lattice_likelihood,
     op8_site_quality, op9_length_buckets, op10_warc_round_trip)}
 
 SQL = {
