@@ -19,6 +19,25 @@ def utf8(text: str) -> Column:
     return F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose ``monotonically_increasing_id`` is in the one column of ``lost``.
+
+    Row ids hold as long as ``docs`` is read the same way each time, as a stored table is.
+    """
+    row = fresh(docs, "_row")
+    gone = lost.toDF(fresh(docs, "_lost"))
+    return (docs.withColumn(row, F.monotonically_increasing_id())
+            .join(gone, F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row))
+
+
 def group_slots(rows: DataFrame, group: str, slot: str) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in partition order.
 

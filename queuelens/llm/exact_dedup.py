@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import settle, utf8
+from queuelens.llm.common import settle, utf8, without
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,6 +62,4 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", h
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int = 512) -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` does not keep."""
     found = resolve(digests(docs, key, text), heavy)
-    lost = (found.filter(F.col("_best._line") != F.col("_line")).select(F.col("_line").alias("_lost")))
-    return (docs.withColumn("_row", F.monotonically_increasing_id())
-            .join(lost, F.col("_row") == F.col("_lost"), "left_anti").drop("_row"))
+    return without(docs, found.filter(F.col("_best._line") != F.col("_line")).select("_line"))

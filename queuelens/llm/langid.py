@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from queuelens.llm.common import fresh
+
 WORDS = re.compile(r"[^\W\d_]+")
 FIRST, LAST = 2, 3                      # codes of a word's ends, below any letter's
 UNDETERMINED = "und"
@@ -204,7 +206,12 @@ def fit(docs: DataFrame, sample: int = 400, order: int = 5, z: float = 6.0, marg
     rank = Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), F.xxhash64("_text"))
     rows = (docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"),
                         F.col(lang).cast("string").alias("_lang"))
-            .filter("_lang is not null and _text is not null")
+            .filter("_lang is not null and _text is not null"))
+    counts = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
+    # some eight times the sample by hash, then exactly the sample; counts have a row per language, as the model has
+    draw = F.pmod(F.xxhash64("_text", "_key"), F.lit(1 << 30)) * F.col("_n") < F.lit(8.0 * sample * (1 << 30))
+    rows = (rows.join(F.broadcast(counts.select(F.col("_lang").alias("_l"), "_n")), F.col("_lang") == F.col("_l"))
+            .filter(draw).drop("_l", "_n")
             .withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= sample))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,7 +268,7 @@ def predictor(model: Model, cached: int = 400_000):
                     logs, sizes = np.concatenate([logs, more]), np.concatenate([sizes, n])
                 for words in docs:
                     if not words or not names:
-                        out.append((UNDETERMINED, 0.0, None, True))
+                        out.append((UNDETERMINED, 0.0, None, not words))
                         continue
                     at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                     n = sizes[at].sum()
@@ -275,18 +282,23 @@ def predictor(model: Model, cached: int = 400_000):
     return predict
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` plus struct column ``_lang``: language, score 0 to 1, cross-entropy, rejected.
+def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "_lang") -> DataFrame:
+    """``docs`` plus a struct column: lang_pred, score 0 to 1, cross_entropy, rejected.
 
     A null text and one without a letter are ``und`` with score 0 and
     rejected. Equal texts get equal results, of equally near languages the
-    first by name; only the text is read.
+    first by name; only the text is read. A model that learned no language
+    calls everything ``und`` and rejects only texts without a letter.
     """
-    return docs.withColumn("_lang", predictor(model)(F.col(text).cast("string")))
+    return docs.withColumn(into, predictor(model)(F.col(text).cast("string")))
 
 
 def predict_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Train on rows that are not held out (crc32 of the key mod 4 is not 2) and predict every row."""
+    """Train on rows that are not held out (crc32 of the key mod 4 is not 2) and predict every row.
+
+    A null key is not held out; an empty table gives no rows; further
+    columns are not read.
+    """
     out = held_out(key, 4, 2)
     model = fit(docs.filter(~out), key=key, text=text, lang=lang)
     rows = docs.select(F.col(key).alias(key), out.alias("held_out"), F.col(text).alias("_text"))
@@ -296,5 +308,6 @@ def predict_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def keep_known_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language is rejected."""
+    into = fresh(docs, "_found")
     model = fit(docs, key=key, text=text, lang=lang)
-    return identify(docs, model, text).filter(~F.col("_lang.rejected")).select(*docs.columns)
+    return identify(docs, model, text, into).filter(~F.col(f"{into}.rejected")).select(*docs.columns)
