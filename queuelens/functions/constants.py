@@ -36,7 +36,14 @@ TREND_LABELS = ("WORSENING FAST", "WORSENING", "IMPROVING", "STABLE")
 LONG_WAIT_SCALE_LABELS = ("TOTAL 18+ MONTH WAITERS", "% OF ALL PATIENTS")
 SCENARIO_LABELS = ("Current Outpatient Total", "5% Efficiency Gain Would Clear")
 SIGNIFICANCE_LABELS = ("SIGNIFICANT", "NOT SIGNIFICANT")
+TREND_TEST_LABELS = ("Upward trend SIGNIFICANT", "No significant trend")
 STRENGTH_LABELS = ("Strong", "Moderate", "Weak")
 # Cramer's V cut points for the strength label (strictly greater than).
 STRENGTH_CUTS = (0.3, 0.1)
 SIGNIFICANCE_ALPHA = 0.05
+
+# --- fixed values: keys of a described data set in the dashboard document ---
+DESCRIPTION_KEYS = (
+    "Dataset", "N (records)", "Sum", "Mean", "Median", "Mode", "Std Dev", "Variance", "Min", "Max", "Range",
+    "Q1", "Q3", "IQR", "P5", "P95", "P99", "CV (%)", "Skewness", "Kurtosis", "Outliers (IQR)",
+)

@@ -2,11 +2,11 @@
 
 Chi-square, normal and Student-t tails reduce to the regularised incomplete
 gamma and beta functions. Their standard expansions (power series and
-modified-Lentz continued fractions, as in Numerical Recipes) run as a fixed
-number of iterations inside ``aggregate`` over a ``sequence``; after
-convergence further iterations leave the value unchanged. The gamma
-function is only needed at half-integers (k/2 degrees of freedom), where
-it is an exact finite product.
+modified-Lentz continued fractions, as in Numerical Recipes) run inside
+``aggregate`` over a ``sequence`` whose length follows from the parameters;
+after convergence further iterations leave the value unchanged, and a value
+that has not converged is null. The gamma function is only needed at
+half-integers (k/2 degrees of freedom).
 
 The ``with_*`` helpers first stage their inputs as columns so the iterated
 lambdas reference plain attributes (a small expression tree for the
@@ -20,7 +20,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ITERATIONS = 300
+# Terms grow with the square root of the parameters, as convergence near the
+# mean needs; a result whose last step still moved it by more is null.
+BASE_TERMS, TERMS_PER_ROOT = 200, 12.0
+CONVERGED = 1e-10
+STIRLING_FROM = 30.0
 _TINY = 1e-300
 _LOG_SQRT_PI = 0.5 * math.log(math.pi)
 
@@ -48,39 +52,50 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _terms(*parameters: Column) -> Column:
+    """1, 2, ... as far as an expansion with these parameters has to go."""
+    largest = F.greatest(*(F.coalesce(F.abs(p), F.lit(0.0)) for p in parameters)) if len(parameters) > 1 \
+        else F.coalesce(F.abs(parameters[0]), F.lit(0.0))
+    return F.sequence(F.lit(1), F.lit(BASE_TERMS) + F.ceil(F.lit(TERMS_PER_ROOT) * F.sqrt(largest)).cast("int"))
+
+
 def lgamma_half(a: Column) -> Column:
-    """ln Gamma(a) for a = k/2, k a positive integer (exact product form)."""
-    m = F.floor(a - F.lit(0.5)).cast("int")
-    base = F.when(a - m == F.lit(0.5), F.lit(_LOG_SQRT_PI)).otherwise(F.lit(0.0))
+    """ln Gamma(a) for a = k/2, k a positive integer: an exact product below
+    STIRLING_FROM, Stirling's series beyond."""
+    m = F.floor(F.least(a, F.lit(STIRLING_FROM)) - F.lit(0.5)).cast("int")
+    base = F.when(a - F.floor(a) == F.lit(0.5), F.lit(_LOG_SQRT_PI)).otherwise(F.lit(0.0))
     prod = F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(0.0),
                        lambda acc, j: acc + F.when(j <= m, F.log(a - j)).otherwise(F.lit(0.0)))
-    return base + prod
+    series = F.lit(1 / 12.0) / a - F.lit(1 / 360.0) / (a * a * a) + F.lit(1 / 1260.0) / (a * a * a * a * a)
+    far = (a - F.lit(0.5)) * F.log(a) - a + F.lit(0.5 * math.log(2 * math.pi)) + series
+    return F.when(a >= F.lit(STIRLING_FROM), far).otherwise(base + prod)
 
 
 def _gamma_q(a: Column, x: Column, lg: Column) -> Column:
-    """Q(a, x) given ln Gamma(a); a, x, lg should be attribute references."""
+    """Q(a, x) given ln Gamma(a); a, x, lg should be attribute references. Null if not converged."""
     front = F.exp(-x + a * F.log(x) - lg)
-    steps = F.sequence(F.lit(1), F.lit(ITERATIONS))
+    steps = _terms(a)
     series = F.aggregate(
         steps, F.struct((F.lit(1.0) / a).alias("t"), (F.lit(1.0) / a).alias("s")),
         lambda acc, n: F.struct((acc["t"] * x / (a + n)).alias("t"),
                                 (acc["s"] + acc["t"] * x / (a + n)).alias("s")),
-        lambda acc: acc["s"])
+        lambda acc: F.when(acc["t"] <= acc["s"] * F.lit(CONVERGED), acc["s"]))
 
     def lentz(acc, i):
         an = -i * (i - a)
         b = acc["b"] + F.lit(2.0)
         d = F.lit(1.0) / _guard(an * acc["d"] + b)
         c = _guard(b + an / acc["c"])
-        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"),
+                        F.abs(d * c - F.lit(1.0)).alias("e"))
     b0 = x + F.lit(1.0) - a
-    cf = F.aggregate(steps, F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"),
-                                     (F.lit(1.0) / b0).alias("d"), (F.lit(1.0) / b0).alias("h")),
-                     lentz, lambda acc: acc["h"])
-    q = F.when(x < a + F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - series * front)) \
-         .otherwise(front * cf)
+    cf = F.aggregate(steps, F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"), (F.lit(1.0) / b0).alias("d"),
+                                     (F.lit(1.0) / b0).alias("h"), F.lit(1.0).alias("e")),
+                     lentz, lambda acc: F.when(acc["e"] <= F.lit(CONVERGED), acc["h"]))
+    q = F.when(x < a + F.lit(1.0), F.lit(1.0) - series * front).otherwise(front * cf)
     return F.when(x.isNull() | a.isNull(), F.lit(None).cast("double")) \
-            .when(x <= F.lit(0.0), F.lit(1.0)).otherwise(q)
+            .when(x <= F.lit(0.0), F.lit(1.0)) \
+            .when(q.isNotNull(), F.greatest(F.lit(0.0), q))
 
 
 def _with_gamma_q(df: DataFrame, a: Column, x: Column, out: str) -> DataFrame:
@@ -117,10 +132,11 @@ def _beta_cf(a: Column, b: Column, x: Column) -> Column:
         aa2 = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
         d2 = F.lit(1.0) / _guard(F.lit(1.0) + aa2 * d)
         c2 = _guard(F.lit(1.0) + aa2 / c)
-        return F.struct(c2.alias("c"), d2.alias("d"), (h * d2 * c2).alias("h"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)),
-                       F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h")),
-                       step, lambda acc: acc["h"])
+        return F.struct(c2.alias("c"), d2.alias("d"), (h * d2 * c2).alias("h"),
+                        F.abs(d2 * c2 - F.lit(1.0)).alias("e"))
+    return F.aggregate(_terms(a, b),
+                       F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"), F.lit(1.0).alias("e")),
+                       step, lambda acc: F.when(acc["e"] <= F.lit(CONVERGED), acc["h"]))
 
 
 def with_corr_two_sided(df: DataFrame, r, n, out: str) -> DataFrame:

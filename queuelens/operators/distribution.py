@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from queuelens.functions import measures as M
-from queuelens.operators.joins import join_derived
 
 CNT = "cnt"
 
@@ -185,25 +184,3 @@ def gaussian_kde(vc: DataFrame, keys: list[str], value: str = "x", points: int =
     norm = F.col("n").cast("double") * F.col("bw") * F.lit(math.sqrt(2.0 * math.pi))
     return dens.select(*keys, "point", coord.alias("coord"),
                        F.when(F.col("bw") > 0, F.col("_k") / norm).alias("density"), *extra)
-
-
-def cumulative_midranks(vc: DataFrame, value: str, bucket_width: int = 4096) -> DataFrame:
-    """(value, ties, midrank) over all keys: the average rank of tied values.
-
-    The running count over the distinct values is split by value bucket
-    (``floor(value / bucket_width)``): bucket totals get prefix offsets from
-    a window over the (few) buckets, and each bucket runs its own ordered
-    window. No window ever holds more than one bucket of distinct values,
-    so a large value domain is spread over many tasks.
-    """
-    g = vc.groupBy(value).agg(F.sum(CNT).alias("ties"))
-    g = g.withColumn("_b", F.floor(F.col(value) / F.lit(float(bucket_width))))
-    bt = g.groupBy("_b").agg(F.sum("ties").alias("_bt"))
-    offs = bt.select("_b", (F.sum("_bt").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow))
-                            - F.col("_bt")).alias("_off"))
-    within = F.sum("ties").over(W.partitionBy("_b").orderBy(value)
-                                .rowsBetween(W.unboundedPreceding, W.currentRow))
-    r = join_derived(g, offs, "_b")
-    cum = F.col("_off") + within
-    return r.select(value, "ties",
-                    (cum.cast("double") - (F.col("ties").cast("double") - 1.0) / 2.0).alias("midrank"))

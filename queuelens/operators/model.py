@@ -1,8 +1,8 @@
 """The canonical waiting-list model.
 
 ``waiting_list_full`` is the union of both facts tagged with the patient
-type, left-joined to the specialty dimension (broadcast after a row-count
-check), with the group defaulted to 'Other' and the calendar keys and band
+type, left-joined to the specialty dimension (the planner picks the join from
+the dimension's size), with the group defaulted to 'Other' and the calendar keys and band
 ordinals derived once. Reports take this DataFrame; column pruning and
 predicate pushdown carry their needs down to the fact scans.
 """
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from queuelens.functions import measures as M
 from queuelens.functions.constants import PATIENT_TYPES
-from queuelens.operators.joins import DIM_MAX_ROWS, join_bounded
 
 VIEW_COLUMNS = ["archive_date", "specialty_name", "adult_child", "age_profile",
                 "time_bands", "total", "year"]
@@ -33,8 +32,7 @@ def waiting_list(inpatient: DataFrame, outpatient: DataFrame) -> DataFrame:
 
 def enrich(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Left join to the dimension, default group, calendar keys and band ordinals."""
-    joined = join_bounded(df, dim.select("specialty_name", "specialty_group"),
-                          "specialty_name", "left", DIM_MAX_ROWS)
+    joined = df.join(dim.select("specialty_name", "specialty_group"), "specialty_name", "left")
     return joined.select(
         "*",
         F.date_format("archive_date", "yyyy-MM").alias("year_month"),

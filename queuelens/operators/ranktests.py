@@ -1,9 +1,7 @@
 """Rank-based tests and correlations as aggregations.
 
-Kruskal-Wallis and Mann-Whitney use tie-corrected mid-ranks computed on the
-distinct values (``cumulative_midranks``); rank sums per group are then a
-join of the per-group value counts with the mid-rank of each value and a
-sum. The statistics need only a handful of per-group sums.
+Kruskal-Wallis and Mann-Whitney need only a handful of sums per group, taken
+from value counts by ``rank_sums``.
 """
 
 from __future__ import annotations
@@ -11,44 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from queuelens.operators.distribution import CNT, cumulative_midranks
-from queuelens.operators.joins import join_derived
+from queuelens.operators.distribution import CNT
 
 
-def _ranked(vc: DataFrame, value: str, bucket_width: int | None = None) -> DataFrame:
-    """Value counts with the mid-rank and tie size of each value.
+def rank_sums(vc: DataFrame, group: str, value: str = "total", bucket_width: int = 4096) -> DataFrame:
+    """(group, n, rank_sum, ties): sizes, sums of mid-ranks and tie terms of value counts.
 
-    Default: windows over the value-count table itself (tie size per value,
-    running count in value order), so the table has a single consumer and
-    the facts are read once. The ordered window holds (keys x distinct
-    values) rows, bounded by the value domain. For a very large value
-    domain pass ``bucket_width`` to spread the running count over value
-    buckets (``cumulative_midranks``).
-
-    The tie term sum_v (t^3 - t) is carried per row as cnt * (t^2 - 1), whose
-    sum over the rows of a value is exactly t^3 - t.
+    A value's mid-rank is the count of smaller values plus (t + 1) / 2 for t
+    ties. Smaller values of the same bucket of values are counted by a
+    window per bucket; a whole bucket's shift, the size of all buckets before
+    it, multiplies only the group's size there, so it is added to sums per
+    (bucket, group). The counts are read once and no window holds more than
+    a bucket of them. The tie term of a value, t^3 - t, is carried as
+    cnt * (t^2 - 1) by its rows.
     """
-    if bucket_width:
-        mr = cumulative_midranks(vc, value, bucket_width)
-        r = join_derived(vc, mr, value)
-    else:
-        ties = F.sum(CNT).over(W.partitionBy(value))
-        cum = F.sum(CNT).over(W.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))
-        r = vc.select("*", ties.alias("ties"), cum.alias("_cum")).select(
-            "*", (F.col("_cum").cast("double") - (F.col("ties").cast("double") - 1.0) / 2.0).alias("midrank"))
-    t = F.col("ties").cast("double")
-    return r.withColumn("_tie", F.col(CNT).cast("double") * (t * t - 1.0))
+    c = F.col(CNT).cast("double")
+    bucket = F.floor(F.col(value) / F.lit(float(bucket_width))).alias("_b")
+    at = vc.filter(F.col(value).isNotNull()).select(group, value, CNT, bucket)
+    ties = F.sum(CNT).over(W.partitionBy("_b", value)).cast("double")
+    upto = F.sum(CNT).over(W.partitionBy("_b").orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))
+    inside = at.select("*", ties.alias("_t"), upto.cast("double").alias("_u"))
+    per = inside.groupBy("_b", group).agg(
+        F.sum(CNT).alias("n"), F.sum(c * (F.col("_u") - (F.col("_t") - 1.0) / 2.0)).alias("_r"),
+        F.sum(c * (F.col("_t") * F.col("_t") - 1.0)).alias("ties"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_b").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return (per.withColumn("_before", before.cast("double")).groupBy(group).agg(
+        F.sum("n").alias("n"), F.sum(F.col("_r") + F.col("_before") * F.col("n")).alias("rank_sum"),
+        F.sum("ties").alias("ties")))
 
 
 def kruskal_wallis(vc: DataFrame, group: str, value: str = "total") -> DataFrame:
     """One row: h, dof, n, groups (tie-corrected H)."""
-    r = _ranked(vc, value)
-    per = r.groupBy(group).agg(F.sum(CNT).alias("_n"),
-                              F.sum(F.col(CNT) * F.col("midrank")).alias("_r"),
-                              F.sum("_tie").alias("_tt"))
-    s = per.agg(F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_srn"),
-                F.sum("_n").alias("n"), F.count(F.lit(1)).alias("groups"),
-                F.sum("_tt").alias("_tt"))
+    s = rank_sums(vc, group, value).agg(
+        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_srn"),
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum("ties").alias("_tt"))
     n = F.col("n").cast("double")
     h = F.lit(12.0) / (n * (n + 1)) * F.col("_srn") - F.lit(3.0) * (n + 1)
     corr = F.lit(1.0) - F.col("_tt") / (n * n * n - n)
@@ -58,20 +52,19 @@ def kruskal_wallis(vc: DataFrame, group: str, value: str = "total") -> DataFrame
 
 def mann_whitney(vc: DataFrame, group: str, first, value: str = "total") -> DataFrame:
     """One row: u (for the ``first`` sample), n1, n2, z (continuity and tie
-    corrected, on max(U1, U2) as in the two-sided asymptotic test)."""
-    r = _ranked(vc, value)
+    corrected, on max(U1, U2) as in the two-sided asymptotic test; 0 where U
+    is within the correction of its mean)."""
     is1 = F.col(group) == F.lit(first)
-    s = r.agg(F.sum(F.when(is1, F.col(CNT) * F.col("midrank"))).alias("_r1"),
-              F.sum(F.when(is1, F.col(CNT))).alias("n1"),
-              F.sum(F.when(~is1, F.col(CNT))).alias("n2"),
-              F.sum("_tie").alias("_tt"))
+    s = rank_sums(vc, group, value).agg(
+        F.sum(F.when(is1, F.col("rank_sum"))).alias("_r1"), F.sum(F.when(is1, F.col("n"))).alias("n1"),
+        F.sum(F.when(~is1, F.col("n"))).alias("n2"), F.sum("ties").alias("_tt"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
     u = F.greatest(u1, n1 * n2 - u1)
     mu = n1 * n2 / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_tt") / (n * (n - 1))))
-    z = F.try_divide(u - mu - F.lit(0.5), sd)
+    z = F.try_divide(F.greatest(u - mu - F.lit(0.5), F.lit(0.0)), sd)
     return s.select(u1.alias("u"), F.col("n1"), F.col("n2"), z.alias("z"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions import measures as M
-from queuelens.functions.constants import PATIENT_TYPES, TIME_BANDS
+from queuelens.functions.constants import DESCRIPTION_KEYS, PATIENT_TYPES, TIME_BANDS
 from queuelens.functions.options import Options
 from queuelens.operators.model import WaitingList
 from queuelens.plans import products as K
@@ -98,13 +98,10 @@ def describe_types(s: Summary) -> DataFrame:
     allrows = vt.groupBy("total").agg(F.sum(D.CNT).alias(D.CNT)).select(F.lit("Combined").alias("dataset"), "total", D.CNT)
     d = D.describe(per_type.unionByName(allrows), ["dataset"], "total")
     r = M.round_half
-    return d.select("dataset", F.col("n").alias("n_records"), F.col("sum").alias("sum"),
-                    r("mean", 3).alias("mean"), r("median", 3).alias("median"), "mode",
-                    r("std", 3).alias("std_dev"), r("var", 3).alias("variance"), "min", "max", "range",
-                    r("q1", 3).alias("q1"), r("q3", 3).alias("q3"), r("iqr", 3).alias("iqr"),
-                    r("p5", 3).alias("p5"), r("p95", 3).alias("p95"), r("p99", 3).alias("p99"),
-                    r("cv_pct", 2).alias("cv_pct"), r("skewness", 4).alias("skewness"),
-                    r("kurtosis", 4).alias("kurtosis"), F.col("outliers").alias("outliers_iqr"))
+    shown = ("dataset", "n", "sum", r("mean", 3), r("median", 3), "mode", r("std", 3), r("var", 3), "min", "max",
+             "range", r("q1", 3), r("q3", 3), r("iqr", 3), r("p5", 3), r("p95", 3), r("p99", 3), r("cv_pct", 2),
+             r(r("skewness", 4), 3), r(r("kurtosis", 4), 3), "outliers")
+    return d.select(*((F.col(c) if isinstance(c, str) else c).alias(k) for k, c in zip(DESCRIPTION_KEYS, shown)))
 
 
 # sections ---------------------------------------------------------------------------
@@ -163,11 +160,13 @@ def sections(s: Summary, o: Options) -> list[DataFrame]:
         out.append(_section(order, name, tt.select(F.to_json(F.struct(
             _pluck("r", "specialty_name").alias("labels"), _pluck("r", "total_patients").alias("values"))))))
 
-    ag = K.age_by_year(s, o).agg(_sorted_rows("year", "age_0_15", "age_16_64", "age_65_plus").alias("r"))
+    ag = (K.age_by_year(s, o).groupBy("age_profile")
+          .agg(_sorted_rows("year", "total_patients").alias("r"))
+          .agg(F.array_sort(F.collect_list(F.struct("age_profile", _pluck("r", "total_patients").alias("t"),
+                                                    _pluck("r", "year").alias("y")))).alias("a")))
+    groups = F.map_from_entries(F.transform("a", lambda x: F.struct(x["age_profile"], x["t"])))
     out.append(_section(7, "age", ag.select(F.to_json(F.struct(
-        _pluck("r", "year").alias("years"),
-        F.struct(_pluck("r", "age_0_15").alias("0-15"), _pluck("r", "age_16_64").alias("16-64"),
-                 _pluck("r", "age_65_plus").alias("65+")).alias("groups"))))))
+        F.get("a", F.lit(0))["y"].alias("years"), groups.alias("groups"))))))
 
     ac = K.adult_child_share(s, o).groupBy("patient_type").agg(
         F.map_from_entries(_sorted_rows("adult_child", "total_patients")).alias("m"))
@@ -181,7 +180,7 @@ def sections(s: Summary, o: Options) -> list[DataFrame]:
         _pluck("r", "specialty_group").alias("labels"), _pluck("r", "total_patients").alias("totals"),
         _pluck("r", "lw_pct").alias("lw_pct"))))))
 
-    order_ds = F.when(F.col("dataset") == IP, 0).when(F.col("dataset") == OP, 1).otherwise(2)
+    order_ds = F.when(F.col("Dataset") == IP, 0).when(F.col("Dataset") == OP, 1).otherwise(2)
     d = describe_types(s).withColumn("_o", order_ds)
     dcols = [c for c in d.columns if c != "_o"]
     dj = d.agg(F.array_sort(F.collect_list(F.struct("_o", F.struct(*dcols).alias("row")))).alias("r"))

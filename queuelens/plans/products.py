@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from queuelens.functions import measures as M
-from queuelens.functions.constants import (ADULT_CHILD, AGE_PROFILES, PATIENT_TYPES,
+from queuelens.functions.constants import (ADULT_CHILD, PATIENT_TYPES,
                                            TIME_BANDS)
 from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
@@ -24,7 +24,6 @@ from queuelens.plans import sqlkit as S
 SQL: dict[str, str] = {}
 IP, OP = PATIENT_TYPES
 _TYPE_COLS = {IP: "inpatient", OP: "outpatient"}
-_AGE_COLS = {"0-15": "age_0_15", "16-64": "age_16_64", "65+": "age_65_plus"}
 
 
 def _pivot_types(df: DataFrame, key: str, fill_zero: bool) -> DataFrame:
@@ -418,16 +417,25 @@ FROM combined WHERE adult_child IS NOT NULL GROUP BY patient_type, adult_child""
 
 # K16 ------------------------------------------------------------------------
 def age_by_year(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    wide = (wl.combined().filter(F.col("age_profile").isNotNull())
-            .groupBy("year").pivot("age_profile", list(AGE_PROFILES)).agg(F.sum("total")))
-    wide = wide.withColumnsRenamed(_AGE_COLS)
-    return wide.na.fill(0, list(_AGE_COLS.values())).orderBy("year")
-
-
-SQL["age_by_year"] = S.with_adapter(", ".join(
-    ["SELECT year"] + [f"CAST(SUM(CASE WHEN age_profile = '{a}' THEN total ELSE 0 END) AS BIGINT) AS {c}"
-                       for a, c in _AGE_COLS.items()]) + """
-FROM combined WHERE age_profile IS NOT NULL GROUP BY year""")
+    """Total of every year for every age category that occurs at all, 0 where a year has none."""
+    per = (wl.combined().filter(F.col("age_profile").isNotNull())
+           .groupBy("year", "age_profile").agg(F.sum("total").alias("t")))
+    cell = F.struct(F.struct("year", "age_profile"), F.col("t"))
+    return (per.agg(F.collect_set("year").alias("years"), F.collect_set("age_profile").alias("ages"),
+                    F.map_from_entries(F.collect_list(cell)).alias("cells"))
+            .select(F.explode("years").alias("year"), "ages", "cells")
+            .select("year", F.explode("ages").alias("age_profile"), "cells")
+            .select("year", "age_profile", F.coalesce(
+                F.element_at("cells", F.struct("year", "age_profile")), F.lit(0)).alias("total_patients"))
+            .orderBy("year", "age_profile"))
+
+
+SQL["age_by_year"] = S.with_adapter("""
+SELECT y.year, a.age_profile, CAST(COALESCE(SUM(c.total), 0) AS BIGINT) AS total_patients
+FROM (SELECT DISTINCT year FROM combined WHERE age_profile IS NOT NULL) y
+CROSS JOIN (SELECT DISTINCT age_profile FROM combined WHERE age_profile IS NOT NULL) a
+LEFT JOIN combined c ON c.year = y.year AND c.age_profile = a.age_profile
+GROUP BY y.year, a.age_profile""")
 
 
 # K17 ------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from queuelens.functions import measures as M
 from queuelens.functions.constants import ELDERLY_AGE, PATIENT_TYPES
 from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
-from queuelens.operators.joins import DIM_MAX_ROWS, join_bounded
 from queuelens.operators.model import WaitingList, drop_null_age, waiting_list
 from queuelens.operators.ranktests import spearman
 from queuelens.plans import sqlkit as S
@@ -324,9 +323,10 @@ def fk_orphans(wl: WaitingList, o: Options = Options()) -> DataFrame:
     facts = waiting_list(wl.inpatient, wl.outpatient)
     if o.drop_null_age:
         facts = drop_null_age(facts)
-    orphans = join_bounded(facts, wl.dim.select("specialty_name"), "specialty_name", "left_anti", DIM_MAX_ROWS)
-    return orphans.groupBy("patient_type", "specialty_name").agg(
+    per = facts.groupBy("patient_type", "specialty_name").agg(
         F.count(F.lit(1)).alias("records"), F.sum("total").alias("total_patients"))
+    return per.join(wl.dim.select("specialty_name"), "specialty_name", "left_anti").select(
+        "patient_type", "specialty_name", "records", "total_patients")
 
 
 SQL["fk_orphans"] = S.with_adapter("""

@@ -11,24 +11,10 @@ from queuelens.operators.model import WaitingList
 from queuelens.sources.testdata import load_tables
 
 
-# One lazily built model per (session, folder): the plans are immutable, so
-# every query reuses the same scans and canonical view instead of re-listing
-# files and re-reading Parquet footers. ``clear_cache`` forgets them.
-_MODELS: dict[tuple, WaitingList] = {}
-
-
 def waiting_list_from_testdata(spark: SparkSession, sf_dir: str) -> WaitingList:
-    key = (id(spark), spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"))
-    wl = _MODELS.get(key)
-    if wl is None:
-        t = load_tables(spark, sf_dir)
-        wl = WaitingList(t.inpatient, t.outpatient, t.dim)
-        _MODELS[key] = wl
-    return wl
-
-
-def clear_cache() -> None:
-    _MODELS.clear()
+    """The model over the files that the folder holds now; nothing is kept between queries."""
+    t = load_tables(spark, sf_dir)
+    return WaitingList(t.inpatient, t.outpatient, t.dim)
 
 
 def _bind(fn, o: Options) -> Callable[[SparkSession, str], DataFrame]:

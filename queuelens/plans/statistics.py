@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from queuelens.functions import tails as TL
 from queuelens.functions import measures as M
 from queuelens.functions.constants import (PATIENT_TYPES, SIGNIFICANCE_ALPHA,
-                                           SIGNIFICANCE_LABELS, STRENGTH_CUTS, STRENGTH_LABELS)
+                                           SIGNIFICANCE_LABELS, STRENGTH_CUTS, STRENGTH_LABELS,
+                                           TREND_TEST_LABELS)
 from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
 from queuelens.operators.contingency import chi_square, densify_cells
@@ -87,6 +88,15 @@ def pearson_frame(sy: DataFrame) -> DataFrame:
     return pearson(sy, "Total", "AvgWait")
 
 
+P_DIGITS = 10
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """Test statistics to 6 decimals and the p-value to P_DIGITS."""
+    return df.select(*(M.round_half(c, P_DIGITS if c == "p_value" else 6).alias(c) if c in ("h", "u", "z", "chi2", "rho", "r", "p_value")
+                       else F.col(c) for c in df.columns))
+
+
 def kruskal_h(wl: WaitingList, o: Options = Options()) -> DataFrame:
     k = kw_frame(year_counts(wl.combined(), o))
     return k.select(M.round_half("h", 4).alias("h"), "dof", "n")
@@ -94,7 +104,7 @@ def kruskal_h(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def kruskal_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     k = kw_frame(year_counts(wl.combined(), o))
-    return TL.with_chi2_sf(k.select("h", "dof"), "h", "dof", "p_value")
+    return _shown(TL.with_chi2_sf(k.select("h", "dof"), "h", "dof", "p_value"))
 
 
 _RANKS = """
@@ -118,12 +128,12 @@ def mann_whitney_u(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def mann_whitney_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     m = mw_frame(type_counts(wl.combined()))
-    return TL.with_normal_two_sided(m.select("u", "z"), "z", "p_value")
+    return _shown(TL.with_normal_two_sided(m.select("u", "z"), "z", "p_value"))
 
 
 SQL["mann_whitney_u"] = S.with_adapter(f"""
 SELECT r1 - n1 * (n1 + 1) / 2.0 AS u, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
-       {S.rnd('(greatest(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1))))', 6)} AS z
+       {S.rnd('greatest(greatest(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) - n1 * n2 / 2.0 - 0.5, 0.0) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1))))', 6)} AS z
 FROM s, ties""", ctes=_RANKS.format(key="patient_type") + """,
 s AS (SELECT SUM(CASE WHEN g = 'Inpatient' THEN mr END) AS r1,
              CAST(COUNT(*) FILTER (WHERE g = 'Inpatient') AS DOUBLE) AS n1,
@@ -143,7 +153,7 @@ def cramers_v(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def chi2_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     c = chi2_frame(cell_counts(wl.combined()))
-    return TL.with_chi2_sf(c.select("chi2", "dof"), "chi2", "dof", "p_value")
+    return _shown(TL.with_chi2_sf(c.select("chi2", "dof"), "chi2", "dof", "p_value"))
 
 
 _CHI_CTES = """
@@ -177,7 +187,7 @@ def spearman_year(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def spearman_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     s = spearman_frame(wait_by_year(wl.combined()))
-    return TL.with_corr_two_sided(s.select("rho", "n"), "rho", "n", "p_value")
+    return _shown(TL.with_corr_two_sided(s.select("rho", "n"), "rho", "n", "p_value"))
 
 
 _SPEARMAN = """
@@ -198,7 +208,7 @@ def pearson_specialty_year(wl: WaitingList, o: Options = Options()) -> DataFrame
 
 def pearson_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     p = pearson_frame(spec_year(wl.combined()))
-    return TL.with_corr_two_sided(p.select("r", "n"), "r", "n", "p_value")
+    return _shown(TL.with_corr_two_sided(p.select("r", "n"), "r", "n", "p_value"))
 
 
 _SPEC_YR = """
@@ -223,6 +233,67 @@ SELECT {S.rnd('regr_slope(a, CAST(year AS DOUBLE))', 6)} AS slope,
 FROM (SELECT year, AVG(wait_rank) AS a FROM combined GROUP BY year) WHERE a IS NOT NULL""")
 
 
+# Tail probabilities in SQL: finite sums where the degrees of freedom allow, else a series.
+def _chi2_sql(x: str, k: str) -> str:
+    """P(X > x): the finite sum for even k, one minus the incomplete gamma series for odd k."""
+    even = (f"list_sum(list_transform(range(CAST({k} AS BIGINT) // 2), "
+            f"lambda j: exp(j * ln({x} / 2.0) - {x} / 2.0 - lgamma(j + 1))))")
+    odd = (f"1.0 - list_sum(list_transform(range(2000), "
+           f"lambda j: exp((j + {k} / 2.0) * ln({x} / 2.0) - {x} / 2.0 - lgamma(j + {k} / 2.0 + 1))))")
+    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {k} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+def _normal_sql(z: str) -> str:
+    """2 P(Z > z) = P(chi-square with 1 degree > z^2); beyond z = 38 less than the least double."""
+    return f"CASE WHEN {z} >= 38 THEN 0.0 ELSE {_chi2_sql(f'({z} * {z})', '1')} END"
+
+
+def _corr_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation: finite sums of powers of cos for Student's t with n - 2 degrees."""
+    v, c = f"({n} - 2)", f"sqrt(1.0 - {r} * {r})"
+    odd = (f"asin(abs({r})) + CASE WHEN {v} = 1 THEN 0.0 ELSE abs({r}) * list_sum(list_transform("
+           f"range(CAST(({v} - 1) // 2 AS BIGINT)), lambda j: exp((2 * j + 1) * ln({c}) + lgamma(j + 1) + lgamma(1.5) "
+           f"- lgamma(j + 1.5)))) END")
+    even = (f"abs({r}) * list_sum(list_transform(range(CAST({v} // 2 AS BIGINT)), "
+            f"lambda j: exp(2 * j * ln({c}) + lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1))))")
+    return (f"CASE WHEN {n} < 3 THEN NULL WHEN abs({r}) >= 1 THEN 0.0 "
+            f"WHEN {v} % 2 = 1 THEN 1.0 - 2.0 / pi() * ({odd}) ELSE 1.0 - ({even}) END")
+
+
+_KW = _RANKS.format(key="year") + """,
+g AS (SELECT g, CAST(COUNT(*) AS DOUBLE) AS n, SUM(mr) AS rs FROM r GROUP BY g),
+kw AS (SELECT (12.0 / (n * (n + 1.0)) * srn - 3.0 * (n + 1.0)) / (1.0 - tt / (n * n * n - n)) AS h, k - 1 AS dof, n
+       FROM (SELECT SUM(rs * rs / n) AS srn, SUM(n) AS n, COUNT(*) AS k FROM g), ties)"""
+_MW = _RANKS.format(key="patient_type") + """,
+mw AS (SELECT r1 - n1 * (n1 + 1) / 2.0 AS u, n1,
+              greatest(abs(r1 - n1 * (n1 + n2 + 1) / 2.0) - 0.5, 0.0)
+                / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1)))) AS z
+       FROM (SELECT SUM(CASE WHEN g = 'Inpatient' THEN mr END) AS r1,
+                    CAST(COUNT(*) FILTER (WHERE g = 'Inpatient') AS DOUBLE) AS n1,
+                    CAST(COUNT(*) FILTER (WHERE g <> 'Inpatient') AS DOUBLE) AS n2 FROM r), ties)"""
+_CHI = _CHI_CTES + """,
+ch AS (SELECT chi.chi2, (nr - 1) * (nc - 1) AS dof, sqrt(chi.chi2 / (n * (least(nr, nc) - 1))) AS v, n FROM chi, dims)"""
+_SP = """
+sp AS (SELECT corr(rx, ry) AS rho, COUNT(*) AS n FROM (
+         SELECT RANK() OVER (ORDER BY year) AS rx,
+                RANK() OVER (ORDER BY a) + (COUNT(*) OVER (PARTITION BY a) - 1) / 2.0 AS ry
+         FROM (SELECT year, AVG(wait_rank) AS a FROM combined GROUP BY year HAVING AVG(wait_rank) IS NOT NULL)))"""
+_PR = _SPEC_YR + """,
+pr AS (SELECT corr(CAST(Total AS DOUBLE), AvgWait) AS r, COUNT(*) AS n FROM sy)"""
+
+SQL["kruskal_p"] = S.with_adapter(f"""
+SELECT {S.rnd('h', 6)} AS h, dof, {S.rnd(_chi2_sql('h', 'dof'), P_DIGITS)} AS p_value FROM kw""", ctes=_KW)
+SQL["mann_whitney_p"] = S.with_adapter(f"""
+SELECT {S.rnd('u', 6)} AS u, {S.rnd('z', 6)} AS z, {S.rnd(_normal_sql('z'), P_DIGITS)} AS p_value FROM mw""", ctes=_MW)
+SQL["chi2_p"] = S.with_adapter(f"""
+SELECT {S.rnd('chi2', 6)} AS chi2, CAST(dof AS BIGINT) AS dof,
+       {S.rnd(_chi2_sql('chi2', 'dof'), P_DIGITS)} AS p_value FROM ch""", ctes=_CHI)
+SQL["spearman_p"] = S.with_adapter(f"""
+SELECT {S.rnd('rho', 6)} AS rho, n, {S.rnd(_corr_sql('rho', 'n'), P_DIGITS)} AS p_value FROM sp""", ctes=_SP)
+SQL["pearson_p"] = S.with_adapter(f"""
+SELECT {S.rnd('r', 6)} AS r, n, {S.rnd(_corr_sql('r', 'n'), P_DIGITS)} AS p_value FROM pr""", ctes=_PR)
+
+
 # K25 --------------------------------------------------------------------------
 def tests_table(vc_year, vc_type, cells, wy, sy) -> DataFrame:
     """One row per test: test, statistic, p_value, dof (or n), conclusion.
@@ -253,10 +324,15 @@ def tests_table(vc_year, vc_type, cells, wy, sy) -> DataFrame:
     rows = TL.with_corr_two_sided(rows, "_ps", "_pp", "_p_corr")
     p = (F.when(kind == "chi2", F.col("_p_chi2")).when(kind == "z", F.col("_p_z"))
          .when(kind == "corr", F.col("_p_corr")))
-    sig = F.when(F.col("p_value") < F.lit(SIGNIFICANCE_ALPHA), F.lit(SIGNIFICANCE_LABELS[0])) \
-           .otherwise(F.lit(SIGNIFICANCE_LABELS[1]))
+    low = F.col("p_value") < F.lit(SIGNIFICANCE_ALPHA)
+
+    def told(labels):
+        return F.when(low, F.lit(labels[0])).otherwise(F.lit(labels[1]))
+    conclusion = (F.when(F.col("test") == "spearman", told(TREND_TEST_LABELS))
+                  .when(F.col("test") == "cramers_v", M.classify_above("statistic", STRENGTH_CUTS, STRENGTH_LABELS))
+                  .otherwise(told(SIGNIFICANCE_LABELS)))
     return (rows.select("test", "statistic", p.alias("p_value"), "dof_or_n")
-            .withColumn("conclusion", sig))
+            .withColumn("conclusion", conclusion))
 
 
 STAT_GRAIN = ["patient_type", "year", "specialty_name", "adult_child", "time_bands", "wait_rank", "total"]

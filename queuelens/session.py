@@ -22,12 +22,12 @@ CLUSTER_DEFAULTS = {
 
 
 def apply_cluster_defaults(spark: SparkSession) -> None:
-    """Set CLUSTER_DEFAULTS for keys the session does not define yet."""
+    """Set CLUSTER_DEFAULTS for keys that neither the launcher nor the session has set."""
+    set_by_user = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    set_by_user |= {r["key"] for r in spark.sql("SET").select("key").collect()}
     for key, value in CLUSTER_DEFAULTS.items():
-        if spark.conf.get(key, None) in (None, ""):
+        if key not in set_by_user:
             spark.conf.set(key, value)
-        elif key == "spark.sql.shuffle.partitions" and spark.conf.get(key) == "200":
-            spark.conf.set(key, value)          # 200 is Spark's built-in default, not a choice
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -55,7 +55,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark.sparkContext.setLogLevel("ERROR")
     if not spark.sparkContext.master.startswith("local"):
         apply_cluster_defaults(spark)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -85,9 +84,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
     return configured
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)

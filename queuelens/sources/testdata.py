@@ -15,11 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuelens.functions.constants import TIME_BANDS
-from queuelens.operators.joins import DIM_MAX_ROWS, join_bounded
 
 UNMAPPED_REGION = "MIDDLE EAST"
-# Largest supplier / customer side that may be broadcast into the fact join.
-MAX_BROADCAST_ROWS = 2_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +27,7 @@ def dim_specialty(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
     region = region.withColumnRenamed("r_regionkey", "n_regionkey")
-    return (join_bounded(nation, region, "n_regionkey", "inner", DIM_MAX_ROWS)
+    return (nation.join(region, "n_regionkey", "inner")
             .filter(F.col("r_name") != F.lit(UNMAPPED_REGION))
             .select(F.col("n_name").alias("specialty_name"),
                     F.col("r_name").alias("specialty_group")))
@@ -48,9 +45,9 @@ def _band_at(index_col) -> F.Column:
 def fact_inpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    sup_names = join_bounded(sup, _nation_names(spark, sf_dir, "s_nationkey"), "s_nationkey", "inner",
-                             DIM_MAX_ROWS).select(F.col("s_suppkey").alias("l_suppkey"), "specialty_name")
-    joined = join_bounded(li, sup_names, "l_suppkey", "inner", MAX_BROADCAST_ROWS)
+    sup_names = (sup.join(_nation_names(spark, sf_dir, "s_nationkey"), "s_nationkey", "inner")
+                 .select(F.col("s_suppkey").alias("l_suppkey"), "specialty_name"))
+    joined = li.join(sup_names, "l_suppkey", "inner")
     band_idx = F.floor(F.round(F.col("l_discount") * F.lit(100.0)) * F.lit(7.0) / F.lit(11.0)).cast("int")
     rf = F.col("l_returnflag")
     return joined.select(
@@ -72,9 +69,9 @@ def fact_inpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fact_outpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    cust_names = join_bounded(cust, _nation_names(spark, sf_dir, "c_nationkey"), "c_nationkey", "inner",
-                              DIM_MAX_ROWS).select(F.col("c_custkey").alias("o_custkey"), "specialty_name")
-    joined = join_bounded(orders, cust_names, "o_custkey", "inner", MAX_BROADCAST_ROWS)
+    cust_names = (cust.join(_nation_names(spark, sf_dir, "c_nationkey"), "c_nationkey", "inner")
+                  .select(F.col("c_custkey").alias("o_custkey"), "specialty_name"))
+    joined = orders.join(cust_names, "o_custkey", "inner")
     st = F.col("o_orderstatus")
     no_demo = F.col("o_orderkey") % 50 == 0
     prio = F.substring(F.col("o_orderpriority"), 1, 1)

@@ -108,7 +108,7 @@ def test_top_k_tie_break_by_name(spark):
 
 
 def test_no_cartesian_product_in_plans(spark):
-    from __spark_entry__ import queries
+    from queuelens.plans.registry import all_plans as queries
     for name, fn in queries().items():
         if name in ("dashboard_json", "run_summary"):
             continue
@@ -129,7 +129,7 @@ def test_sql_views_match_dataframe_plan(spark):
 def test_even_count_median_equals_middle_pair(spark):
     wl = _wl(spark, [(1999, 1, "A", "0-3 Months", v) for v in (1, 2, 10, 40)],
              [(1999, 1, "A", "3-6 Months", v) for v in (5, 7, 9)])
-    rows = {r["patient_type"]: r["median_approx"] for r in reports.type_stats_median(wl).collect()}
+    rows = {r["patient_type"]: r["median_total"] for r in reports.type_stats_median(wl).collect()}
     assert rows == {"Inpatient": 6.0, "Outpatient": 7.0}
 
 
@@ -187,13 +187,13 @@ def test_year_options_name_growth_columns(spark):
     assert {"rate_1998", "rate_1996"} <= set(acc.columns)
     coh = published.age_cohort_growth(wl, o)
     assert {"elderly_1996", "elderly_1998"} <= set(coh.columns)
-    assert g.collect()[0]["covid_yoy_pct"] == 9.1        # (12 - 11) * 100 / 11
+    assert g.collect()[0]["compare_vs_base_pct"] == 9.1        # (12 - 11) * 100 / 11
 
 
 def test_each_fact_table_scanned_at_most_once(spark):
     """Guards the single-read design (see PLANS.md) against regressions."""
     import re
-    from __spark_entry__ import queries
+    from queuelens.plans.registry import all_plans as queries
     for name, fn in queries().items():
         df = fn(spark, "/root/testdata/sf0.001")
         df.collect()
@@ -202,3 +202,44 @@ def test_each_fact_table_scanned_at_most_once(spark):
             scans = sum(1 for ln in plan.split("\n")
                         if re.search(r"Scan parquet", ln) and f"{table}.parquet" in ln)
             assert scans <= 1, (name, table, scans)
+
+
+def test_age_profile_keeps_every_category(spark):
+    from queuelens.operators.model import WaitingList
+    rows = [(y, a, t) for y, a, t in ((1998, "0-15", 5), (1998, "", 7), (1999, "Unknown", 11), (1999, "0-15", 2))]
+    fact = spark.createDataFrame(rows, "year int, age_profile string, total int").selectExpr(
+        "make_date(year, 1, 31) AS archive_date", "CAST(NULL AS INT) AS specialty_hipe", "'A' AS specialty_name",
+        "'Day Case' AS case_type", "'Adult' AS adult_child", "age_profile", "'18+ Months' AS time_bands", "total", "year")
+    dim = spark.createDataFrame([("A", "G")], "specialty_name string, specialty_group string")
+    got = {(r["year"], r["age_profile"]): r["total_patients"]
+           for r in products.age_by_year(WaitingList(fact, fact.limit(0), dim)).collect()}
+    assert got == {(1998, "0-15"): 5, (1998, ""): 7, (1998, "Unknown"): 0,
+                   (1999, "0-15"): 2, (1999, ""): 0, (1999, "Unknown"): 11}
+
+
+def test_a_file_added_between_two_queries_counts(spark, tmp_path):
+    import os
+    import shutil
+    from queuelens.plans.registry import all_plans
+    src = "/root/testdata/sf0.001"
+    for t in ("region", "nation", "customer", "supplier", "lineitem"):
+        os.symlink(f"{src}/{t}.parquet", tmp_path / f"{t}.parquet")
+    os.mkdir(tmp_path / "orders.parquet")
+    shutil.copy(f"{src}/orders.parquet", tmp_path / "orders.parquet" / "a.parquet")
+    plan = all_plans()["efficiency_scenario"]
+    before = plan(spark, str(tmp_path)).collect()
+    shutil.copy(f"{src}/orders.parquet", tmp_path / "orders.parquet" / "b.parquet")
+    after = plan(spark, str(tmp_path)).collect()
+    assert [r[1] for r in after] == [2 * r[1] for r in before]
+
+
+def test_value_count_statistics_never_fall_back_to_sorting(spark):
+    """More groups than a percentile aggregate of raw rows would hash."""
+    from queuelens.operators import distribution as D
+    df = spark.range(20_000).selectExpr("id % 300 AS k", "CAST(id % 17 AS INT) AS total")
+    out = D.describe(D.value_counts(df, ["k"], "total"), ["k"], "total")
+    rows = out.collect()
+    assert len(rows) == 300 and sum(r["n"] for r in rows) == 20_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan_side = plan.split("== Initial Plan ==")[0].rsplit("Exchange", 1)[1]
+    assert "HashAggregate" in scan_side and "ObjectHashAggregate" not in scan_side

@@ -12,7 +12,7 @@ from queuelens.functions import tails as TL
 from queuelens.functions import measures as M
 from queuelens.operators import distribution as D
 from queuelens.operators.contingency import chi_square, crosstab_long, expected
-from queuelens.operators.ranktests import kruskal_wallis, mann_whitney, spearman
+from queuelens.operators.ranktests import kruskal_wallis, mann_whitney, rank_sums, spearman
 
 
 def _midranks(x):
@@ -155,10 +155,24 @@ def test_midranks_across_value_buckets(spark):
     v = rng.integers(0, 50, 400)
     df = spark.createDataFrame([("a", int(x)) for x in v], "k string, total int")
     vc = D.value_counts(df, ["k"], "total")
-    got = {r["total"]: r["midrank"] for r in D.cumulative_midranks(vc, "total", bucket_width=7).collect()}
-    ranks = _midranks(v)
-    want = {int(x): float(r) for x, r in zip(v, ranks)}
-    assert got == pytest.approx(want)
+    got = rank_sums(vc, "k", "total", bucket_width=7).collect()[0]
+    assert got["n"] == 400 and got["rank_sum"] == pytest.approx(sum(_midranks(v)))
+    ties = np.unique(v, return_counts=True)[1].astype(float)
+    assert got["ties"] == pytest.approx((ties ** 3 - ties).sum())
+
+
+def test_equal_samples_have_p_one(spark):
+    rows = [(g, t) for g in "ab" for t in (1, 2, 3)]
+    vc = D.value_counts(spark.createDataFrame(rows, "k string, total int"), ["k"], "total")
+    m = TL.with_normal_two_sided(mann_whitney(vc, "k", "a"), "z", "p").collect()[0]
+    assert m["z"] == 0.0 and m["p"] == 1.0
+
+
+def test_chi2_tail_with_many_degrees_of_freedom(spark):
+    df = spark.createDataFrame([(1e6, 1_000_000), (10_100.0, 10_000)], "x double, k int")
+    near, far = (r["p"] for r in TL.with_chi2_sf(df, "x", "k", "p").orderBy(F.desc("k")).collect())
+    assert near == pytest.approx(0.49981194, abs=1e-5)
+    assert far == pytest.approx(0.2391, abs=2e-3)
 
 
 def test_jvm_tails_match_reference(spark):
