@@ -27,6 +27,7 @@ from queuelens.functions.constants import DESCRIPTION_KEYS, PATIENT_TYPES, TIME_
 from queuelens.functions.options import Options
 from queuelens.operators.model import WaitingList
 from queuelens.plans import products as K
+from queuelens.plans import sqlkit as S
 from queuelens.plans import statistics as T
 from queuelens.session import ensure_checkpoint_dir
 
@@ -274,11 +275,34 @@ def run_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
         num("outpatient").cast("long").alias("outpatient"), num("long_wait").cast("long").alias("long_wait"),
         M.round_half(M.pct(num("long_wait"), num("total")), 1).alias("long_wait_pct"),
         txt(f"top:{IP}").alias("top_inpatient_specialty"), txt(f"top:{OP}").alias("top_outpatient_specialty"),
-        num("kruskal_wallis:stat", 1).alias("kw_h"), num("kruskal_wallis:p").alias("kw_p"),
-        num("mann_whitney:p").alias("mw_p"), num("spearman:stat", 3).alias("sp_r"),
+        num("kruskal_wallis:stat", 1).alias("kw_h"), num("kruskal_wallis:p", T.P_DIGITS).alias("kw_p"),
+        num("mann_whitney:p", T.P_DIGITS).alias("mw_p"), num("spearman:stat", 3).alias("sp_r"),
         num("spearman:p", 3).alias("sp_p"), num("cramers_v:stat", 3).alias("cramers_v"))
 
 
+def _one(ctes: str, value: str, source: str) -> str:
+    return f"(WITH {ctes.strip()} SELECT {value} FROM {source})"
+
+
+def _top_sql(patient_type: str) -> str:
+    return (f"(SELECT specialty_name FROM combined WHERE patient_type = '{patient_type}' GROUP BY specialty_name "
+            "ORDER BY SUM(total) DESC, specialty_name LIMIT 1)")
+
+
+_LONG = f"SUM(total) FILTER (WHERE time_bands = '{Options().long_band}')"
+SQL = {"run_summary": S.with_adapter(f"""
+SELECT {S.big('SUM(total)')} AS total_patient_waits,
+       {S.big(f"SUM(total) FILTER (WHERE patient_type = '{IP}')")} AS inpatient,
+       {S.big(f"SUM(total) FILTER (WHERE patient_type = '{OP}')")} AS outpatient,
+       {S.big(_LONG)} AS long_wait, {S.rnd(S.pct(_LONG, 'SUM(total)'), 1)} AS long_wait_pct,
+       {_top_sql(IP)} AS top_inpatient_specialty, {_top_sql(OP)} AS top_outpatient_specialty,
+       {_one(T._KW, S.rnd('h', 1), 'kw')} AS kw_h,
+       {_one(T._KW, S.rnd(T._chi2_sql('h', 'dof'), T.P_DIGITS), 'kw')} AS kw_p,
+       {_one(T._MW, S.rnd(T._normal_sql('z'), T.P_DIGITS), 'mw')} AS mw_p,
+       {_one(T._SP, S.rnd('rho', 3), 'sp')} AS sp_r, {_one(T._SP, S.rnd(T._corr_sql('rho', 'n'), 3), 'sp')} AS sp_p,
+       {_one(T._CHI, S.rnd('v', 3), 'ch')} AS cramers_v
+FROM combined""")}
+
 EXPORTS = {
     "dashboard_json": dashboard_json,
     "run_summary": run_summary,

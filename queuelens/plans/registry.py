@@ -36,8 +36,8 @@ def all_plans(o: Options = Options()) -> dict[str, Callable[[SparkSession, str],
 
 
 def all_sql() -> dict[str, str]:
-    from queuelens.plans import products, published, reports, statistics
+    from queuelens.plans import export, products, published, reports, statistics
     out = {}
-    for table in (reports.SQL, products.SQL, statistics.SQL, published.SQL):
+    for table in (reports.SQL, products.SQL, statistics.SQL, published.SQL, export.SQL):
         out.update(table)
     return out

@@ -369,7 +369,31 @@ def stat_tests(wl: WaitingList, o: Options = Options()) -> DataFrame:
     and a lost executor recomputes from the summary, not from the facts."""
     ss = stat_summary(wl.combined())
     ensure_checkpoint_dir(ss.sparkSession)
-    return tests_table(*inputs_from_summary(ss.checkpoint(eager=True), o))
+    t = tests_table(*inputs_from_summary(ss.checkpoint(eager=True), o))
+    return t.select("test", M.round_half("statistic", 6).alias("statistic"),
+                    M.round_half("p_value", P_DIGITS).alias("p_value"), "dof_or_n", "conclusion")
+
+
+def _verdict_sql(p: str, labels: tuple) -> str:
+    return f"CASE WHEN {p} < {SIGNIFICANCE_ALPHA} THEN '{labels[0]}' ELSE '{labels[1]}' END"
+
+
+def _test_sql(ctes: str, source: str, name: str, stat: str, p: str, count: str, labels=SIGNIFICANCE_LABELS) -> str:
+    verdict = _verdict_sql("p", labels) if labels is not None else (
+        f"CASE WHEN {stat} > {STRENGTH_CUTS[0]} THEN '{STRENGTH_LABELS[0]}' "
+        f"WHEN {stat} > {STRENGTH_CUTS[1]} THEN '{STRENGTH_LABELS[1]}' ELSE '{STRENGTH_LABELS[2]}' END")
+    return (f"SELECT * FROM (WITH {ctes.strip()} SELECT '{name}' AS test, {S.rnd(stat, 6)} AS statistic, "
+            f"{S.rnd('p', P_DIGITS)} AS p_value, CAST({count} AS DOUBLE) AS dof_or_n, {verdict} AS conclusion "
+            f"FROM (SELECT *, {p} AS p FROM {source}))")
+
+
+SQL["stat_tests"] = S.with_adapter("\nUNION ALL\n".join((
+    _test_sql(_KW, "kw", "kruskal_wallis", "h", _chi2_sql("h", "dof"), "dof"),
+    _test_sql(_MW, "mw", "mann_whitney", "u", _normal_sql("z"), "n1"),
+    _test_sql(_CHI, "ch", "chi_square", "chi2", _chi2_sql("chi2", "dof"), "dof"),
+    _test_sql(_CHI, "ch", "cramers_v", "v", _chi2_sql("chi2", "dof"), "n", labels=None),
+    _test_sql(_SP, "sp", "spearman", "rho", _corr_sql("rho", "n"), "n", TREND_TEST_LABELS),
+    _test_sql(_PR, "pr", "pearson", "r", _corr_sql("r", "n"), "n"))))
 
 
 STATISTICS = {
