@@ -4,8 +4,9 @@ Each yearly file is read as all-string columns (no schema inference), its
 header is normalised, and the files are appended by column name with
 missing columns padded with nulls. The year comes from the file name.
 Cleaning stays in JVM expressions: whitespace strip, band normalisation,
-day-first date parsing, integer casts. Rows whose date or total cannot be
-parsed are kept apart in a reject table instead of failing the job.
+day-first date parsing, integer casts. Every input line ends up either clean
+or in a reject table with its reason: lines with extra or missing fields,
+dates and totals that cannot be parsed or do not fit, damaged codes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from queuelens.functions.constants import LONG_WAIT_BAND, LONG_WAIT_BAND_VARIANT
 from queuelens.functions.measures import strip_ws
@@ -43,21 +45,47 @@ DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-MM-dd")
 
 _UNNAMED = re.compile(r"^(_c\d+|Unnamed.*|)$")
 REJECT_REASON = "_reject_reason"
+BAD_LINE, BROKEN = "_bad_line", "_broken"
+WHOLE_NUMBERS = ("total", "specialty_hipe", "hospital_hipe")
 
 
-def _read_one(spark: SparkSession, path: str) -> DataFrame:
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
-    stripped = [c.strip() for c in raw.columns]
-    df = raw.toDF(*stripped)
-    keep = [c for c in df.columns if not _UNNAMED.match(c)]
-    df = df.select(*[F.col(f"`{c}`") for c in keep])
-    renames = {c: HEADER_ALIASES[c] for c in df.columns if c in HEADER_ALIASES}
-    if renames:
-        df = df.withColumnsRenamed(renames)
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of one file; only its first line is read."""
+    return tuple(spark.read.option("header", True).option("inferSchema", False).csv(path).columns)
+
+
+def _field_count(line: F.Column) -> F.Column:
+    """Fields of a CSV line; commas inside quotes do not count."""
+    return F.size(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+
+
+def _read_alike(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
+    """Files with one header in one scan; lines with too many or too few fields are marked."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, BAD_LINE)])
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+           .option("columnPruning", False)            # a pruned line would not show its extra fields
+           .option("columnNameOfCorruptRecord", BAD_LINE).csv(paths))
     # file names arrive URL-encoded ("inpatient%202018.csv"): decode before matching
     name = F.url_decode(F.col("_metadata.file_name"))
-    return df.withColumn("year", F.nullif(F.regexp_extract(name, r"(\d{4})", 1), F.lit("")).cast("int"))
+    year = F.nullif(F.regexp_extract(name, r"(\d{4})", 1), F.lit("")).cast("int")
+    fields = _field_count(F.col(BAD_LINE))
+    named = [i for i, c in enumerate(header) if not _UNNAMED.match(c.strip())]
+    broken = (F.when(F.col(BAD_LINE).isNull(), F.lit(None).cast("string"))
+              .when(fields > len(header), F.lit("extra fields"))
+              .when(fields < (named[-1] + 1 if named else 0), F.lit("missing fields"))
+              .when(fields == len(header), F.lit("malformed line")))
+    names = {i: HEADER_ALIASES.get(header[i].strip(), header[i].strip()) for i in named}
+    return raw.select(*(F.col(f"`{header[i]}`").alias(n) for i, n in names.items()),
+                      broken.alias(BROKEN), year.alias("year"))
+
+
+def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All files as strings by canonical header; the plan grows with the distinct headers, not the files."""
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        alike.setdefault(_header(spark, p), []).append(p)
+    frames = [_read_alike(spark, h, ps) for h, ps in alike.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def _parse_date(c) -> F.Column:
@@ -73,15 +101,16 @@ def clean_facts(df: DataFrame, blank_as_null: bool = False) -> DataFrame:
     """Strip strings, normalise bands, parse dates and numbers; add reject reason."""
     out = []
     for c in df.columns:
-        if c == "year":
+        if c in ("year", BROKEN):
             continue
         e = strip_ws(F.col(f"`{c}`"))
         if blank_as_null:
             e = F.nullif(e, F.lit(""))
         out.append(e.alias(c))
-    df = df.select(*out, "year")
+    broken = F.col(BROKEN) if BROKEN in df.columns else F.lit(None).cast("string")
+    df = df.select(*out, "year", broken.alias(BROKEN))
     cols = set(df.columns)
-    exprs = []
+    exprs, damaged = [], []
     for raw_name, name in CANONICAL_NAMES.items():
         if raw_name not in cols:
             exprs.append(F.lit(None).cast("string").alias(name))
@@ -89,25 +118,31 @@ def clean_facts(df: DataFrame, blank_as_null: bool = False) -> DataFrame:
         c = F.col(f"`{raw_name}`")
         if name == "archive_date":
             c = _parse_date(c)
-        elif name in ("total", "specialty_hipe", "hospital_hipe"):
-            c = c.try_cast("double")
-            c = F.when(c == F.floor(c), F.floor(c)).cast("int")
+        elif name in WHOLE_NUMBERS:
+            x = c.try_cast("double")
+            n = F.when(x == F.floor(x), x).try_cast("int")
+            if name != "total":
+                damaged.append((F.coalesce(c, F.lit("")) != "") & n.isNull())
+                exprs.append(damaged[-1].alias(f"_bad_{name}"))
+            c = n
         elif name == "time_bands":
             c = normalise_band(c)
         exprs.append(c.alias(name))
-    parsed = df.select(*exprs, F.col("year"))
-    reason = (F.when(F.col("archive_date").isNull(), F.lit("bad archive_date"))
+    parsed = df.select(*exprs, F.col("year"), F.col(BROKEN))
+    marks = [c for c in parsed.columns if c.startswith("_bad_")]
+    reason = (F.when(F.col(BROKEN).isNotNull(), F.col(BROKEN))
+              .when(F.col("archive_date").isNull(), F.lit("bad archive_date"))
               .when(F.col("total").isNull(), F.lit("bad total"))
               .when(F.col("specialty_name").isNull(), F.lit("missing specialty_name"))
               .when(F.col("year").isNull(), F.lit("no year in file name")))
-    return parsed.withColumn(REJECT_REASON, reason)
+    for m in marks:
+        reason = reason.when(F.col(m), F.lit(m.removeprefix("_").replace("_", " ", 1)))
+    return parsed.withColumn(REJECT_REASON, reason).drop(BROKEN, *marks)
 
 
 def read_fact_csv(spark: SparkSession, paths: list[str], blank_as_null: bool = False):
     """Read yearly fact files; returns (clean rows, rejected rows)."""
-    frames = [_read_one(spark, p) for p in paths]
-    unioned = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    cleaned = clean_facts(unioned, blank_as_null)
+    cleaned = clean_facts(read_raw(spark, paths), blank_as_null)
     good = cleaned.filter(F.col(REJECT_REASON).isNull()).drop(REJECT_REASON)
     bad = cleaned.filter(F.col(REJECT_REASON).isNotNull())
     return good, bad

@@ -1,12 +1,14 @@
 """Incremental ingest of newly arriving snapshot files.
 
-The source drops one CSV per year (and, for the current year, a refreshed
-file each month). Instead of re-reading every file, a file-source stream
-picks up only new files, and each micro-batch goes through the same
-cleaning expressions as the batch reader before being appended to the
-year-partitioned Parquet store. The streaming checkpoint records which
-files were committed, so a restarted or failed job neither loses nor
-duplicates a file; rejected rows go to their own folder.
+A file holds one whole year, named in its file name. A file-source stream
+picks up file names it has not seen; each micro-batch goes through the same
+cleaning expressions as the batch reader and replaces the years it brings in
+the year-partitioned Parquet store. So a refreshed year is supplied under a
+new name (say ``inpatient 2020 r2.csv``): it takes the place of the earlier
+file's rows and neither is lost nor counted twice. A file rewritten under a
+name that was read before is not read again. Of several files for one year
+in one batch the one modified last counts. A batch that is replayed after a
+failure rewrites exactly its own years.
 
 Trigger ``availableNow`` processes everything that is there and stops,
 which suits a scheduled job; a processing-time trigger keeps it running.
@@ -14,12 +16,15 @@ which suits a scheduled job; a processing-time trigger keeps it running.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from queuelens.sources.csv_ingest import REJECT_REASON, _read_one, clean_facts
+from queuelens.sources.csv_ingest import REJECT_REASON, clean_facts, read_raw
 
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
@@ -27,14 +32,14 @@ BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("length", T.LongType(), False),
     T.StructField("content", T.BinaryType(), True),
 ])
-BATCH_COLUMN = "ingest_batch"
 INPATIENT_COLUMNS = ["archive_date", "specialty_hipe", "specialty_name", "case_type", "adult_child",
                      "age_profile", "time_bands", "total", "year"]
 
 
 def start_fact_ingest(spark: SparkSession, source_dir: str, store_dir: str, checkpoint_dir: str,
                       with_case_type: bool = True, available_now: bool = True,
-                      reject_dir: str | None = None, pattern: str = "*.csv") -> StreamingQuery:
+                      reject_dir: str | None = None, pattern: str = "*.csv",
+                      files_per_batch: int = 16) -> StreamingQuery:
     """Stream yearly CSV files from ``source_dir`` into ``store_dir``.
 
     The file stream only tracks which files are new (the ``binaryFile``
@@ -44,29 +49,27 @@ def start_fact_ingest(spark: SparkSession, source_dir: str, store_dir: str, chec
     reaches the driver.
     """
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-             .option("pathGlobFilter", pattern).load(source_dir).select("path"))
+             .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
+             .load(source_dir).select("path", "modificationTime"))
     keep = list(INPATIENT_COLUMNS)
     if not with_case_type:
         keep.remove("case_type")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        paths = [r["path"] for r in batch.collect()]
-        if not paths:
+        latest: dict[str, tuple] = {}
+        for r in batch.collect():                        # files_per_batch rows at most
+            found = re.search(r"\d{4}", unquote(r["path"].rsplit("/", 1)[-1]))
+            year = found.group(0) if found else r["path"]
+            latest[year] = max(latest.get(year, (r["modificationTime"], r["path"])), (r["modificationTime"], r["path"]))
+        if not latest:
             return
-        frames = [_read_one(spark, p) for p in paths]
-        raw = frames[0]
-        for f in frames[1:]:
-            raw = raw.unionByName(f, allowMissingColumns=True)
-        cleaned = clean_facts(raw).withColumn(BATCH_COLUMN, F.lit(batch_id))
-        good = cleaned.filter(F.col(REJECT_REASON).isNull()).select(*keep, BATCH_COLUMN)
-        # A batch that is replayed after a failure rewrites exactly its own
-        # partitions (dynamic overwrite keyed by the batch id): no duplicates.
-        (good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("year", BATCH_COLUMN).parquet(store_dir))
+        cleaned = clean_facts(read_raw(spark, [p for _, p in latest.values()]))
+        parts = [(store_dir, cleaned.filter(F.col(REJECT_REASON).isNull()).select(*keep))]
         if reject_dir:
-            (cleaned.filter(F.col(REJECT_REASON).isNotNull())
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(BATCH_COLUMN).parquet(reject_dir))
+            parts.append((reject_dir, cleaned.filter(F.col(REJECT_REASON).isNotNull())))
+        for folder, rows in parts:
+            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("year").parquet(folder))
 
     writer = files.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")

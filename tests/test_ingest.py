@@ -81,3 +81,20 @@ def test_ingest_feeds_reports_and_store(spark):
     assert "PartitionFilters: [isnotnull(year" in plan and "(year#" in plan   # year pruned at listing
     assert "ReadSchema: struct<total:int>" in plan                            # only the used column is read
     assert {"year=2018", "year=2019"} <= set(os.listdir(out))
+
+
+def test_every_damaged_line_is_rejected_with_its_reason(spark):
+    d = tempfile.mkdtemp(prefix="ql-csv-")
+    good = "31/01/2018,G1,1,10,Cardiology,Inpatient,Adult,16-64,0-3 Months,5"
+    path = _write(d, "inpatient 2018.csv", [
+        IN_HEADER, good + ",", good, good + ",,more,fields", "31/01/2018,G1,1,10,Cardiology",
+        good.replace(",10,", ",ABC,") + ",", good.replace(",5", ",9999999999") + ",", good.replace(",5", ",x") + ",",
+        good.replace(",10,", ",,") + ",", '31/01/2018,"G1, north",1,10,Cardiology,Inpatient,Adult,16-64,0-3 Months,6,'])
+    again = _write(d, "inpatient 2019.csv", [IN_HEADER, good.replace("2018", "2019") + ","])
+    ok, bad = read_inpatient_csv(spark, [path, again])
+    assert sorted(r["total"] for r in ok.collect()) == [5, 5, 5, 5, 6]
+    assert sorted(r["_reject_reason"] for r in bad.collect()) == [
+        "bad specialty_hipe", "bad total", "bad total", "extra fields", "missing fields"]
+    assert ok.count() + bad.count() == 10
+    plan = ok._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1                # one header, one scan

@@ -32,5 +32,10 @@ def test_incremental_ingest(spark):
     assert again.count() == 2                       # the 2018 file was not read twice
     assert sorted(r["year"] for r in again.collect()) == [2018, 2019]
     assert spark.read.parquet(rej).count() == 1
-    # replaying a batch id rewrites its own partitions only
-    assert sorted({r["ingest_batch"] for r in spark.read.parquet(store).collect()}) == [0, 1]
+    # a refreshed year under a new name replaces the year's rows
+    _drop(src, "inpatient 2019 r2.csv", ["28/02/2019,G,1,11,Urology,Day Case,Child,0-15,3-6 Months,7",
+                                         "31/03/2019,G,1,11,Urology,Day Case,Child,0-15,3-6 Months,9"])
+    q = start_fact_ingest(spark, src, store, ckpt, reject_dir=rej)
+    q.awaitTermination(120)
+    fresh = read_fact_store(spark, store, INPATIENT_SCHEMA).collect()
+    assert sorted((r["year"], r["total"]) for r in fresh) == [(2018, 5), (2019, 7), (2019, 9)]
