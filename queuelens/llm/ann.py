@@ -89,7 +89,7 @@ def usable(vector: str) -> F.Column:
     return v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def nearest(table: DataFrame, k: int = 20, trees: int = 40, enough: int = 1024, shard_rows: int = 8192,
+def nearest(table: DataFrame, k: int = 20, trees: int = 64, enough: int = 1024, shard_rows: int = 8192,
             query_rows: int = 4096, every: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` nearest found for each row whose key is divisible by ``every``.
 

@@ -134,6 +134,9 @@ def _language_counts(words: list[str], weights: np.ndarray, order: int):
 def train(counts: dict[str, Counter], order: int = 5) -> Model:
     """Kneser-Ney models of the languages' word counts, interpolated down to uniform."""
     languages = sorted(counts)
+    nothing = np.zeros(len(languages))
+    if not languages:
+        return Model([], order, 1.0, [], [], [], [], nothing, nothing, nothing)
     stats = {lang: _language_counts(list(counts[lang]), np.array(list(counts[lang].values())), order)
              for lang in languages}
     letters = len(set("".join(w for c in counts.values() for w in c))) + 2
@@ -164,7 +167,6 @@ def train(counts: dict[str, Counter], order: int = 5) -> Model:
         contexts.append(ctx)
         probs.append(alpha + gamma[np.searchsorted(ctx, context)] * lower)
         backoff.append(gamma)
-    nothing = np.zeros(len(languages))
     return Model(languages, order, floor, grams, probs, contexts, backoff, nothing, nothing, nothing)
 
 

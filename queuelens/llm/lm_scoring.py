@@ -205,7 +205,7 @@ class LatticeModel:
 
     def _log10(self, c: np.ndarray, base: np.ndarray) -> np.ndarray:
         if not self.tokens:
-            return np.log10(base)
+            return np.log10(np.maximum(base, 1e-300))
         n = float(self.tokens)
         return np.log10(np.maximum(c - self.discount, 0) / n + self.discount * self.kinds / n * base)
 
