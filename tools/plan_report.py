@@ -14,7 +14,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
+from queuelens.plans.registry import all_plans as queries  # noqa: E402
 from queuelens.session import get_spark  # noqa: E402
 
 
