@@ -58,5 +58,22 @@ def group_slots(rows: DataFrame, group: str, slot: str) -> DataFrame:
             .drop("_part", "_line", "_in", "_g", "_p", "_shift"))
 
 
+def most_frequent(counts: DataFrame, count: str, bound: int) -> DataFrame:
+    """Rows with the highest counts, whole levels of an eighth of a power of two, at most ``bound`` in all.
+
+    Only the sizes of the levels, at most 512, reach the driver.
+    """
+    level = F.floor(F.log2(F.col(count).cast("double")) * 8)
+    some = counts.filter(F.col(count) > 0)
+    sizes = {r["level"]: r["n"] for r in some.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+    kept, lowest = 0, None
+    for at in sorted(sizes, reverse=True):
+        kept += sizes[at]
+        if kept > bound:
+            break
+        lowest = at
+    return some.filter(level >= lowest) if lowest is not None else some.filter(F.lit(False))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import settle
+from queuelens.llm.common import most_frequent, settle
 from queuelens.llm.langid import held_out
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -271,7 +271,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = 1
     rows = rows.withColumn("_train", ~F.col("held_out"))
     counts = settle(word_counts(rows, "_text", "_train"))
     documents = rows.filter("_train").count()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()           # bounded by `head`
+    top = most_frequent(counts, "c", head).collect()                          # bounded by `head`
     words, c = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], float)
     pieces = load_pieces(vocabulary)
     for _ in range(warm if (c > 0).any() else 0):

@@ -47,3 +47,12 @@ def test_assign_shards(odd):
 
 def test_empty(none):
     assert assign_shards(none).collect() == []
+
+
+def test_most_frequent_is_bounded(spark):
+    from queuelens.llm.common import most_frequent
+    counts = spark.createDataFrame([(i, i + 1) for i in range(1000)] + [(5000, 0)], "k long, c long")
+    for bound in (0, 1, 10, 500, 2000):
+        got = sorted(r.c for r in most_frequent(counts, "c", bound).collect())
+        assert len(got) <= bound and got == list(range(1001 - len(got), 1001))
+    assert len(most_frequent(counts, "c", 500).collect()) > 400
