@@ -27,6 +27,8 @@ BINS = {
     "distinct_words": (0.1, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97),
     "distinct_lines": (0.2, 0.5, 0.7, 0.9, 0.99),
 }
+# Shares of a few words scatter more than those of many, so the other measures are judged within these word counts.
+LENGTHS = (8, 30)
 SMOOTH = 0.5
 
 
@@ -54,7 +56,12 @@ def binned(docs: DataFrame, text: str, keep: dict[str, Column]) -> DataFrame:
         out = F.lit(len(BINS[name]))
         for i, top in reversed(list(enumerate(BINS[name]))):
             out = F.when(F.col(f"_m_{name}") <= top, F.lit(i)).otherwise(out)
-        return out
+        if name == "words":
+            return out
+        length = F.lit(len(LENGTHS))
+        for i, top in reversed(list(enumerate(LENGTHS))):
+            length = F.when(F.col("_m_words") <= top, F.lit(i)).otherwise(length)
+        return out + length * (len(BINS[name]) + 1)
 
     found = measures(text)
     rows = docs.select(*(c.alias(k) for k, c in keep.items()), *(c.alias(f"_m_{k}") for k, c in found.items()))
@@ -62,7 +69,7 @@ def binned(docs: DataFrame, text: str, keep: dict[str, Column]) -> DataFrame:
 
 
 def learn(rows: DataFrame, labels: DataFrame, key: str, label: str) -> tuple[dict[str, list[float]], float]:
-    """Log likelihood ratio of each bin, and the labelled share of good documents.
+    """Log likelihood ratio of each bin (within its length), and the labelled share of good documents.
 
     A key labelled both ways counts for its larger label.
     """
@@ -74,12 +81,12 @@ def learn(rows: DataFrame, labels: DataFrame, key: str, label: str) -> tuple[dic
     counts = {(r["_f"], r["_bin"], r["_y"]): r["n"]
               for r in long.groupBy("_f", "_bin", "_y").agg(F.count("*").alias("n")).collect()}    # bounded by BINS
     out: dict[str, list[float]] = {}
-    total = {y: sum(n for (f, _, z), n in counts.items() if f == "words" and z == y) for y in (0, 1)}
     for f, tops in BINS.items():
-        kinds = len(tops) + 1
-        out[f] = [math.log((counts.get((f, b, 1), 0) + SMOOTH) / (total[1] + SMOOTH * kinds))
-                  - math.log((counts.get((f, b, 0), 0) + SMOOTH) / (total[0] + SMOOTH * kinds))
-                  for b in range(kinds)]
+        kinds, out[f] = len(tops) + 1, []
+        for first in range(0, kinds * (1 if f == "words" else len(LENGTHS) + 1), kinds):
+            n = [[counts.get((f, b, y), 0) + SMOOTH for b in range(first, first + kinds)] for y in (0, 1)]
+            out[f] += [math.log(good / sum(n[1])) - math.log(bad / sum(n[0])) for bad, good in zip(*n)]
+    total = {y: sum(n for (f, _, z), n in counts.items() if f == "words" and z == y) for y in (0, 1)}
     return out, (total[1] + 1) / (total[0] + total[1] + 2)
 
 
