@@ -61,25 +61,27 @@ class Forest:
         self.order = np.argsort(codes, axis=0, kind="stable").T
         self.sorted = np.take_along_axis(codes.T, self.order, axis=1)
 
-    def candidates(self, query: np.ndarray, enough: int) -> np.ndarray:
-        """Points under the query's prefixes, as long as they can be with ``enough`` points."""
-        total = self.sorted.shape[1]
+    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
+        """For each row of strings the points under its prefixes, which are as long as they
+        can be with ``enough`` points; all trees go up together, a symbol at a time."""
+        ranges = []
         for depth in range(SYMBOLS, 0, -1):
             cut = BITS * (SYMBOLS - depth)
-            low = (query >> cut) << cut
-            parts, n = [], 0
-            for tree, lo in enumerate(low.tolist()):
-                i = np.searchsorted(self.sorted[tree], lo)
-                j = np.searchsorted(self.sorted[tree], lo + (1 << cut))
-                parts.append(self.order[tree, i:j])
-                n += j - i
-            if n >= enough:
-                found = np.zeros(total, bool)
-                for p in parts:
-                    found[p] = True
-                if found.sum() >= enough:
-                    return np.flatnonzero(found)
-        return np.arange(total)
+            low = (queries >> cut) << cut
+            lo = np.stack([np.searchsorted(s, low[:, t]) for t, s in enumerate(self.sorted)], axis=1)
+            hi = np.stack([np.searchsorted(s, low[:, t] + (1 << cut)) for t, s in enumerate(self.sorted)], axis=1)
+            ranges.append((lo, hi, (hi - lo).sum(axis=1)))
+        total = self.sorted.shape[1]
+        for q in range(len(queries)):
+            out = np.arange(total)
+            for lo, hi, n in ranges:
+                if n[q] >= enough:
+                    found = np.zeros(total, bool)
+                    found[np.concatenate([o[i:j] for o, i, j in zip(self.order, lo[q], hi[q])])] = True
+                    if np.count_nonzero(found) >= enough:
+                        out = np.flatnonzero(found)
+                        break
+            yield out
 
 
 def usable(vector: str) -> F.Column:
@@ -149,14 +151,14 @@ def nearest(table: DataFrame, k: int = 20, trees: int = 64, enough: int = 1024,
             forest = Forest(np.stack(own["_codes"].to_numpy()))
             ids = own["_ids"].to_numpy()
             smallest = np.array([i[0] for i in ids])
-            for h, v, code in zip(asking["q_h"], asking["q_v"], asking["q_codes"]):
-                at = forest.candidates(code, enough)
-                # component by component, so that equal vectors have equal scores wherever they are
-                score = (vectors[at] * v).sum(axis=1)
+            found = forest.candidates(np.stack(asking["q_codes"].to_numpy()), enough)
+            for h, v, at in zip(asking["q_h"], asking["q_v"], found):
                 if len(at) > k + 1:
-                    edge = np.partition(score, -(k + 1))[-(k + 1)]
-                    best = score >= edge
-                    at, score = at[best], score[best]
+                    rough = vectors[at] @ v
+                    edge = np.partition(rough, -(k + 1))[-(k + 1)]
+                    at = at[rough >= edge - 1e-9 * (1.0 + np.abs(rough).max())]
+                # component by component, so that rounding does not depend on the place in a shard
+                score = (vectors[at] * v).sum(axis=1)
                 order = np.lexsort((smallest[at], -score))[:k + 1]
                 for a in order:
                     out += [(h, v, int(i), float(score[a])) for i in ids[at[a]]]

@@ -67,7 +67,7 @@ def test_forest_takes_longest_prefixes_first():
         cut = 15 * (SYMBOLS - depth)
         shared += (codes >> cut) == (codes[0] >> cut)
     for enough in (1, 20, 200):
-        got = set(forest.candidates(codes[0], enough).tolist())
+        got = set(next(forest.candidates(codes[:1], enough)).tolist())
         depth = max(d for d in range(SYMBOLS + 1) if (shared.max(axis=1) >= d).sum() >= enough)
         assert got == set(np.flatnonzero(shared.max(axis=1) >= depth).tolist())
 

@@ -37,7 +37,7 @@ def test_separates_and_shrinks(site):
 
 def test_sparse_sites_lean_on_the_global_rate(stored, site):
     docs, labels, _ = site
-    lone = stored([(9999, "TOR!!! ING!!! THE!!!" * 10, "lonely", None)], "doc_id long, text string, host string, path string")
+    lone = stored([(9999, "TOR!!! ING!!! THE!!! " * 15, "lonely", None)], "doc_id long, text string, host string, path string")
     got = classify(docs.unionByName(lone), labels, F.col("host"), F.col("path"))
     lonely = got.filter("doc_id = 9999").first()
     overall = got.agg(F.avg("host_rate")).first()[0]
