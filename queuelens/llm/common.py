@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +30,55 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose ``monotonically_increasing_id`` is in the one column of ``lost``.
-
-    Row ids hold as long as ``docs`` is read the same way each time, as a stored table is.
+def _stored(docs: DataFrame) -> bool:
+    """Whether ``docs`` is one stored table, less rows or columns perhaps, that names each row's file and place."""
+    plan = getattr(docs, "_jdf", None)
+    if plan is None:
+        return False
+    plan = plan.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        docs.select(docs.metadataColumn("_metadata").getField("row_index")).schema  # noqa: B018 - analysis only
+    except AnalysisException:
+        return False
+    return True
+
+
+def _by_number(path: str) -> list:
+    """Sort key of a file name that has part-2 before part-10."""
+    return [int(s) if s.isdecimal() else s for s in re.split(r"([0-9]+)", path)]
+
+
+def numbered(docs: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
+    """``docs`` with a long per row that every read gives alike, and the name of that column.
+
+    In a stored table it is the file's number, in the order of file names, and the row's place in the file; it grows
+    in the order in which the table was written, and does not depend on how scans are split. Only the names of the
+    files reach the driver, which lists them for each scan anyway. Anything else is numbered once and written to the
+    shared folder, and what is returned is read from there.
     """
-    row = fresh(docs, "_row")
+    row = fresh(docs, name)
+    if not _stored(docs):
+        return settle(docs.withColumn(row, F.monotonically_increasing_id())), row
+    place = docs.metadataColumn("_metadata")
+    path, file, number = fresh(docs, "_path"), fresh(docs, "_file"), fresh(docs, "_number")
+    names = [r[0] for r in docs.select(place.getField("file_path")).distinct().collect()]
+    files = docs.sparkSession.createDataFrame(
+        [(f, i) for i, f in enumerate(sorted(names, key=_by_number))], f"{file} string, {number} long")
+    out = docs.select("*", place.getField("file_path").alias(path), place.getField("row_index").alias(row))
+    return (out.join(F.broadcast(files), F.col(path) == F.col(file))
+            .withColumn(row, F.shiftleft(number, 40) + F.col(row)).drop(path, file, number)), row
+
+
+def without(docs: DataFrame, row: str, lost: DataFrame) -> DataFrame:
+    """``docs`` of ``numbered`` less the rows whose ``row`` is in the one column of ``lost``, and less ``row``."""
     gone = lost.toDF(fresh(docs, "_lost"))
-    return (docs.withColumn(row, F.monotonically_increasing_id())
-            .join(gone, F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row))
+    return docs.join(gone, F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)
 
 
 def group_slots(rows: DataFrame, group: str, slot: str) -> DataFrame:

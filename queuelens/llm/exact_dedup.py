@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import settle, utf8, without
+from queuelens.llm.common import numbered, settle, utf8, without
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_line"),
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", line: str | None = None) -> DataFrame:
+    """_key, _line, _digest; column ``line`` names the row where ids must hold for another read of ``docs``."""
+    return docs.select(F.col(key).alias("_key"),
+                       (F.col(line) if line else F.monotonically_increasing_id()).alias("_line"),
                        F.sha2(utf8(text), 256).alias("_digest"))
 
 
@@ -61,5 +63,6 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", h
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int = 512) -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` does not keep."""
-    found = resolve(digests(docs, key, text), heavy)
-    return without(docs, found.filter(F.col("_best._line") != F.col("_line")).select("_line"))
+    docs, line = numbered(docs, "_line")
+    found = resolve(digests(docs, key, text, line), heavy)
+    return without(docs, line, found.filter(F.col("_best._line") != F.col("_line")).select("_line"))

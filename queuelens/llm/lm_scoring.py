@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import most_frequent, settle
+from queuelens.llm.common import most_frequent, numbered, settle
 from queuelens.llm.langid import held_out
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -266,7 +266,8 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = 1
     empty text is the end token alone; repeated rows are scored each; further
     columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"),
+    docs, row = numbered(docs)
+    rows = docs.select(F.col(row).alias("_row"), F.col(key).alias("_key"),
                        held_out(key, 10, 0).alias("held_out"), F.col(text).cast("string").alias("_text"))
     rows = rows.withColumn("_train", ~F.col("held_out"))
     counts = settle(word_counts(rows, "_text", "_train"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import fresh, group_slots, settle
+from queuelens.llm.common import fresh, group_slots, numbered, settle
 
 _EPS = 1e-6
 
@@ -130,10 +130,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
 def mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.7, block: int = 64,
                 source: str = "source") -> DataFrame:
     """``docs`` with the same columns and rows, stored in the order of the mixture."""
-    row, place = fresh(docs, "_row"), fresh(docs, "_place")
-    at = fresh(docs, "_at")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    order = mix(numbered, weights, power, block, source, keep=(row,))
+    columns, place, at = docs.columns, fresh(docs, "_place"), fresh(docs, "_at")
+    docs, row = numbered(docs)
+    order = mix(docs, weights, power, block, source, keep=(row,))
     order = order.select(F.col(row).alias(at), F.col("mix_position").alias(place))
-    return (numbered.join(order, F.col(row) == F.col(at))
-            .repartitionByRange(place).sortWithinPartitions(place).select(*docs.columns))
+    return (docs.join(order, F.col(row) == F.col(at))
+            .repartitionByRange(place).sortWithinPartitions(place).select(*columns))

@@ -29,7 +29,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType
 
-from queuelens.llm.common import settle, utf8
+from queuelens.llm.common import numbered, settle, utf8
 from queuelens.session import ensure_checkpoint_dir
 
 SCHEMA = ("record_id string, record_type string, target_uri string, warc_date string, payload_digest string, "
@@ -256,8 +256,8 @@ def to_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     rows that repeat the largest key one is the response.
     """
     body = utf8(html)
-    at = F.monotonically_increasing_id()
-    heads = settle(pages.select(at.alias("_row"), F.col(key).alias("_key"), F.octet_length(body).alias("_n"),
+    pages, row = numbered(pages)
+    heads = settle(pages.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.octet_length(body).alias("_n"),
                                 payload_digest(body).alias("_digest")))
     first = (heads.filter(F.col("_n") >= smallest).groupBy("_digest")
              .agg(F.max(F.struct("_key", "_row")).alias("_best"), F.count("*").alias("_copies"))
@@ -266,7 +266,7 @@ def to_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
              .withColumn("_again", F.coalesce(F.col("_best._row") != F.col("_row"), F.lit(False))))
     named = (heads.select(F.col("_row").alias("_r"), "_n", "_digest", "_again",
                           F.when(F.col("_again"), F.col("_best._key")).alias("_to")))
-    return (pages.select(at.alias("_row"), F.col(key).alias("_key"),
+    return (pages.select(F.col(row).alias("_row"), F.col(key).alias("_key"),
                          (F.col(url) if url in pages.columns else F.lit(None)).cast("string").alias("target_uri"),
                          body.alias("_body"))
             .join(named, F.col("_row") == F.col("_r"))
