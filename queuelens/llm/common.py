@@ -81,15 +81,15 @@ def without(docs: DataFrame, row: str, lost: DataFrame) -> DataFrame:
     return docs.join(gone, F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)
 
 
-def group_slots(rows: DataFrame, group: str, slot: str) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in partition order.
+def group_slots(rows: DataFrame, group: str, slot: str, place: str | None = None) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, by the long ``place`` or in partition order.
 
     ``rows`` must be settled, as its partitions are read more than once. A
-    hot group is numbered per input partition and shifted by the counts of
-    earlier partitions, so no task holds more of it than one partition does.
+    hot group is numbered per input partition, or per 65,536 places, and
+    shifted by the counts of earlier ones, so no task holds more of it than that.
     """
-    at = (rows.withColumn("_part", F.spark_partition_id())
-          .withColumn("_line", F.monotonically_increasing_id()))
+    at = (rows.withColumn("_part", F.shiftright(place, 16) if place else F.spark_partition_id())
+          .withColumn("_line", F.col(place) if place else F.monotonically_increasing_id()))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = (at.groupBy(group, "_part").agg(F.count("*").alias("_n"))
              .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import group_slots, settle
+from queuelens.llm.common import group_slots, numbered, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,15 +60,16 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16384, key: str = "do
     text: 0 words, padded like one). Bounds minimise the padding over the
     whole table's histogram, whose size is bounded by the grid and not by
     the rows. A batch holds as many rows as fit ``budget`` padded tokens, at
-    least one, so a text over the budget has a batch to itself. Ties and
-    repeated rows are packed one by one; an empty table gives no rows.
+    least one, so a text over the budget has a batch to itself. The batches of
+    a bucket take its rows in the order in which the table was written, however
+    its scan is split. Ties and repeated rows are packed one by one; an empty
+    table gives no rows.
     """
     if buckets < 1 or budget < 1:
         raise ValueError("buckets and budget must be at least 1")
     n = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = (docs.select(F.col(key).alias("_key"), n.alias("n_tokens"))
-            .withColumn("_edge", grid_edge(F.greatest(F.col("n_tokens"), F.lit(1)))))
-    rows = settle(rows)
+    rows, at = numbered(docs.select(F.col(key).alias("_key"), n.alias("n_tokens")))
+    rows = settle(rows.withColumn("_edge", grid_edge(F.greatest(F.col("n_tokens"), F.lit(1)))))
     seen = rows.groupBy("_edge").agg(F.count("*").alias("n")).collect()       # bounded by grid_edge
     seen = sorted((r["_edge"], r["n"]) for r in seen)
     bounds = best_bounds(np.array([e for e, _ in seen], np.int64), np.array([c for _, c in seen]), buckets)
@@ -77,7 +78,7 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16384, key: str = "do
         place = F.when(F.col("_edge") <= b, F.lit(i)).otherwise(place)
     width = F.element_at(F.array(*(F.lit(b) for b in bounds or [1])).cast("array<bigint>"), F.col("bucket") + 1)
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
-    return (group_slots(rows.withColumn("bucket", place), "bucket", "_slot")
+    return (group_slots(rows.withColumn("bucket", place), "bucket", "_slot", at)
             .withColumn("bucket_len", width)
             .withColumn("batch", F.floor(F.col("_slot") / fit).cast("long"))
             .withColumn("batch_row", (F.col("_slot") % fit).cast("int"))

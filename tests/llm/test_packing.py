@@ -46,3 +46,28 @@ def test_pack(odd, none):
         assert len(members) == 1 or len(members) * members[0].bucket_len <= 200
     assert len({r.bucket_len for r in rows}) <= 3
     assert pack(none).collect() == []
+
+
+def test_batches_follow_the_stored_mixture(spark, tmp_path):
+    """Several files of unequal size, which a scan takes by falling size and not in order."""
+    from queuelens.llm.mixing import mix, mixed_order
+    rng = random.Random(6)
+    rows = [(i, f"s{i % 3}", " ".join("x" * rng.randint(1, 3 + i % 3 * 40) for _ in range(rng.randint(1, 60))))
+            for i in range(3000)]
+    docs, path = str(tmp_path / "docs"), str(tmp_path / "mixed")
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(docs)
+    docs = spark.read.parquet(docs)
+    place = {r.doc_id: r.mix_position for r in mix(docs, {"s0": 8.0, "s1": 4.0, "s2": 1.0}, block=4, keep=("doc_id",)).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed_order(docs, {"s0": 8.0, "s1": 4.0, "s2": 1.0}, block=4).write.parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {f.stat().st_size for f in (tmp_path / "mixed").glob("part-*")}
+    assert len(files) > 2
+    got = {}
+    for r in pack(spark.read.parquet(path), buckets=3, budget=400).collect():
+        got.setdefault(r.bucket, []).append((r.batch, r.batch_row, place[r.doc_id]))
+    for members in got.values():
+        order = [p for _, _, p in sorted(members)]
+        assert order == sorted(order)
