@@ -82,6 +82,7 @@ class Model:
     spread: np.ndarray                  # and its standard deviation
     slack: np.ndarray                   # and how far calibration documents lie above
     z: float = 6.0                      # deviations allowed besides, fewer characters more
+    judged: np.ndarray | None = None    # per language: has calibration documents of its own
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word, language) log2 probability, and the codes predicted per word."""
@@ -171,25 +172,41 @@ def train(counts: dict[str, Counter], order: int = 5) -> Model:
 
 
 def calibrate(model: Model, docs: dict[str, list[Counter]], z: float, margin: float) -> Model:
-    """Learn what cross-entropy documents of each language show, ``z`` deviations aside."""
+    """Learn what cross-entropy documents of each language show, ``z`` deviations aside.
+
+    A language without such documents takes what those of all others show, with
+    no margin, and what it rejects goes to the best of the others if that takes it.
+    Only where no language has any is there nothing to judge by, and none rejects.
+    """
     size = len(model.languages)
-    usual, spread, slack = np.zeros(size), np.ones(size), np.zeros(size)
+    usual, spread, slack = np.zeros(size), np.ones(size), np.full(size, np.inf)
+    found: dict[int, list] = {}
     for j, lang in enumerate(model.languages):
-        found = []
         for words in docs.get(lang, []):
             if words:
                 logs, n = model.word_scores(list(words))
-                found.append((-logs[:, j], n, np.array(list(words.values()))))
-        if not found:
-            slack[j] = np.inf                        # nothing to judge by: never reject
-            continue
-        total = sum((n * c).sum() for _, n, c in found)
-        usual[j] = sum((b * c).sum() for b, _, c in found) / total
-        spread[j] = np.sqrt(sum((c * (b - n * usual[j]) ** 2).sum() for b, n, c in found) / total)
-        over = [(b * c).sum() / (n * c).sum() - usual[j] - z * spread[j] / np.sqrt((n * c).sum())
-                for b, n, c in found]
-        slack[j] = max(0.0, *over) + margin
+                found.setdefault(j, []).append((-logs[:, j], n, np.array(list(words.values()))))
+
+    def about(texts: list) -> tuple[float, float]:
+        total = sum((n * c).sum() for _, n, c in texts)
+        mean = sum((b * c).sum() for b, _, c in texts) / total
+        return mean, np.sqrt(sum((c * (b - n * mean) ** 2).sum() for b, n, c in texts) / total)
+
+    def above(texts: list, mean: float, deviation: float) -> float:
+        over = [(b * c).sum() / (n * c).sum() - mean - z * deviation / np.sqrt((n * c).sum()) for b, n, c in texts]
+        return max(0.0, *over) + margin
+
+    for j, own in found.items():
+        usual[j], spread[j] = about(own)
+        slack[j] = above(own, usual[j], spread[j])
+    rest = [j for j in range(size) if j not in found]
+    if found and rest:                               # no document of its own to judge by: as the others together
+        pool = [t for own in found.values() for t in own]
+        mean, deviation = about(pool)
+        # so thin a model spreads its mass over all text, which would pass with the margin of a well taught one
+        usual[rest], spread[rest], slack[rest] = mean, deviation, above(pool, mean, deviation) - margin
     model.usual, model.spread, model.slack, model.z = usual, spread, slack, z
+    model.judged = np.array([j in found for j in range(size)], bool)
     return model
 
 
@@ -245,6 +262,7 @@ PREDICTION = "lang_pred string, score double, cross_entropy double, rejected boo
 def predictor(model: Model, cached: int = 400_000):
     """Pandas UDF text -> prediction; words seen before in the task are not scored again."""
     names = [*model.languages]
+    own = model.judged if model.judged is not None else np.ones(len(names), bool)
 
     def words_of(text: str | None) -> list[str]:
         if text is None or not any(map(str.isalpha, text)):
@@ -276,9 +294,12 @@ def predictor(model: Model, cached: int = 400_000):
                     n = sizes[at].sum()
                     entropy = -logs[at].sum(axis=0) / n
                     j = int(np.argmin(entropy))
+                    limit = model.usual + model.slack + model.z * model.spread / np.sqrt(n)
+                    if entropy[j] > limit[j] and not own[j] and own.any():     # as if that language were not there
+                        k = int(np.argmin(np.where(own, entropy, np.inf)))
+                        j = k if entropy[k] <= limit[k] else j
                     share = 1.0 / np.exp2((entropy[j] - entropy) * min(n, 40)).sum()
-                    limit = model.usual[j] + model.slack[j] + model.z * model.spread[j] / np.sqrt(n)
-                    out.append((names[j], float(share), float(entropy[j]), bool(entropy[j] > limit)))
+                    out.append((names[j], float(share), float(entropy[j]), bool(entropy[j] > limit[j])))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "cross_entropy", "rejected"])
 
     return predict
@@ -289,7 +310,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "_la
 
     A null text and one without a letter are ``und`` with score 0 and
     rejected. Equal texts get equal results, of equally near languages the
-    first by name; only the text is read. A model that learned no language
+    first by name; a language of three documents or fewer passes on what it
+    rejects; only the text is read. A model that learned no language
     calls everything ``und`` and rejects only texts without a letter.
     """
     return docs.withColumn(into, predictor(model)(F.col(text).cast("string")))

@@ -87,6 +87,18 @@ def test_gibberish_is_rejected(stored):
     assert found.pop(99) and not any(found.values())
 
 
+def test_a_stray_label_does_not_end_rejection(stored):
+    """A language that one document taught has no calibration document and predicts any text evenly."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, "aa", 50), "aa") for i in range(60)] + [(70, "zwölf boxkämpfer jagen viktor quer", "xx")]
+    noise = ["".join(rng.choice("qxjwvkzpfbmcyu") + (" " if rng.random() < 0.2 else "") for _ in range(3000)),
+             " ".join(f"{rng.getrandbits(64):016x}" for _ in range(200)),
+             "мой дядя самых честных правил когда не в шутку занемог " * 5]
+    docs = stored(rows + [(100 + i, t, None) for i, t in enumerate(noise)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in keep_known_languages(docs).collect()}
+    assert kept == {i for i, *_ in rows}
+
+
 def test_no_labels(stored):
     docs = stored([(1, "some words", None), (2, "", None)], "doc_id long, text string, lang string")
     assert {r.doc_id: (r.lang_pred, r.rejected) for r in predict_languages(docs).collect()} == {
