@@ -258,11 +258,11 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = 1
                     rounds: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its log10 probability; rows with crc32(key) mod 10 = 0 are not learned from.
 
-    The pieces' probabilities take ``warm`` steps over the ``head`` most
-    frequent words and then ``rounds`` over all distinct words. The ``head``
-    words go to the tasks as a table of that fixed
-    size and are summed in place; a document's other words meet the
-    distributed word table in a join and come back as sums per row. A null or
+    The pieces' probabilities take ``warm`` and then ``rounds`` steps, each
+    over all distinct training words. The ``head`` most frequent words go to
+    the tasks as a table of that fixed size and are summed in place; a
+    document's other words meet the distributed word table in a join and come
+    back as sums per row. So ``head`` changes where work is done and no score. A null or
     empty text is the end token alone; repeated rows are scored each; further
     columns are not read; an empty table gives no rows.
     """
@@ -274,12 +274,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = 1
     documents = rows.filter("_train").count()
     top = most_frequent(counts, "c", head).collect()                          # bounded by `head`
     words, c = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], float)
-    pieces = load_pieces(vocabulary)
-    for _ in range(warm if (c > 0).any() else 0):
-        expected = np.zeros(len(pieces.strings))
-        pieces.likelihood([w for w, n in zip(words, c) if n], expected)
-        pieces = pieces.weighted(expected)
-    model = fit(counts, documents, pieces, rounds)
+    model = fit(counts, documents, load_pieces(vocabulary), warm + rounds)
     frequent = dict(zip(words, zip(model.words(words, c).tolist(), model.base(c).tolist(), (c > 0).tolist())))
     end_lm, end_base, end_known = model.end(), float(model.base(np.array([float(documents)]))[0]), int(documents > 0)
 

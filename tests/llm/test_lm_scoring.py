@@ -78,6 +78,12 @@ def test_documents_against_sums_over_words(odd):
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
 
+def test_scores_do_not_depend_on_the_table_of_frequent_words(odd):
+    few, many = ({(r.doc_id, r.n_tokens, round(r.score, 6)) for r in score_documents(odd, head=head).collect()}
+                 for head in (10, 1 << 16))
+    assert few == many
+
+
 def test_word_probabilities_do_not_exceed_one():
     pieces, p = toy()
     model = LatticeModel(pieces, tokens=50, kinds=4, ends=5, discount=0.5)
