@@ -57,9 +57,9 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16384, key: str = "do
     """Every row with its length bucket and its batch there.
 
     Length is the number of words between ASCII white space (null or empty
-    text: 0 words, padded like one). Bounds minimise the padding over the
-    whole table's histogram, whose size is bounded by the grid and not by
-    the rows. A batch holds as many rows as fit ``budget`` padded tokens, at
+    text: 0 words, padded like one). Rows are told apart by the grid, whose
+    size is bounded whatever the rows; of all bounds between its steps those
+    with the least padding are taken, and a bucket is as long as its longest row. A batch holds as many rows as fit ``budget`` padded tokens, at
     least one, so a text over the budget has a batch to itself. The batches of
     a bucket take its rows in the order in which the table was written, however
     its scan is split. Ties and repeated rows are packed one by one; an empty
@@ -70,12 +70,13 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16384, key: str = "do
     n = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     rows, at = numbered(docs.select(F.col(key).alias("_key"), n.alias("n_tokens")))
     rows = settle(rows.withColumn("_edge", grid_edge(F.greatest(F.col("n_tokens"), F.lit(1)))))
-    seen = rows.groupBy("_edge").agg(F.count("*").alias("n")).collect()       # bounded by grid_edge
-    seen = sorted((r["_edge"], r["n"]) for r in seen)
+    longest = F.max(F.greatest(F.col("n_tokens"), F.lit(1)))
+    seen = rows.groupBy("_edge").agg(longest.alias("most"), F.count("*").alias("n")).collect()       # bounded by grid_edge
+    seen = sorted((r["most"], r["n"]) for r in seen)
     bounds = best_bounds(np.array([e for e, _ in seen], np.int64), np.array([c for _, c in seen]), buckets)
     place = F.lit(None).cast("int")
     for i, b in reversed(list(enumerate(bounds))):
-        place = F.when(F.col("_edge") <= b, F.lit(i)).otherwise(place)
+        place = F.when(F.col("n_tokens") <= b, F.lit(i)).otherwise(place)
     width = F.element_at(F.array(*(F.lit(b) for b in bounds or [1])).cast("array<bigint>"), F.col("bucket") + 1)
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
     return (group_slots(rows.withColumn("bucket", place), "bucket", "_slot", at)

@@ -48,6 +48,14 @@ def test_pack(odd, none):
     assert pack(none).collect() == []
 
 
+def test_a_bucket_is_as_long_as_its_longest_row(stored):
+    lengths = [1001, 1001, 1003, 5003, 5011, 70_001]
+    docs = stored([(i, "x " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    rows = pack(docs, buckets=3, budget=10_030).collect()
+    assert {r.doc_id: r.bucket_len for r in rows} == dict(enumerate([1003, 1003, 1003, 5011, 5011, 70_001]))
+    assert max(r.batch_row for r in rows) == 2
+
+
 def test_batches_follow_the_stored_mixture(spark, tmp_path):
     """Several files of unequal size, which a scan takes by falling size and not in order."""
     from queuelens.llm.mixing import mix, mixed_order
