@@ -25,7 +25,7 @@ from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
 from queuelens.operators.contingency import chi_square, densify_cells
 from queuelens.operators.model import WaitingList
-from queuelens.operators.ranktests import kruskal_wallis, mann_whitney, pearson, spearman
+from queuelens.operators.ranktests import kruskal_wallis, mann_whitney, pearson, spearman, with_mann_whitney_p
 from queuelens.plans import sqlkit as S
 from queuelens.session import ensure_checkpoint_dir
 
@@ -128,7 +128,16 @@ def mann_whitney_u(wl: WaitingList, o: Options = Options()) -> DataFrame:
 
 def mann_whitney_p(wl: WaitingList, o: Options = Options()) -> DataFrame:
     m = mw_frame(type_counts(wl.combined()))
-    return _shown(TL.with_normal_two_sided(m.select("u", "z"), "z", "p_value"))
+    return _shown(with_mann_whitney_p(m).select("u", "z", "p_value"))
+
+
+def mann_whitney_years(wl: WaitingList, o: Options = Options()) -> DataFrame:
+    """Per specialty: do the yearly totals of the two patient types differ? A few years a sample, so the
+    p-values are exact unless totals tie."""
+    yearly = (wl.combined().groupBy("specialty_name", "patient_type", "year").agg(F.sum("total").alias("total"))
+              .withColumn(D.CNT, F.lit(1).cast("long")))
+    m = with_mann_whitney_p(mann_whitney(yearly, "patient_type", IP, "total", by=["specialty_name"]))
+    return m.select("specialty_name", "u", "n1", "n2", "exact", M.round_half("p_value", P_DIGITS).alias("p_value"))
 
 
 SQL["mann_whitney_u"] = S.with_adapter(f"""
@@ -294,6 +303,31 @@ SQL["pearson_p"] = S.with_adapter(f"""
 SELECT {S.rnd('r', 6)} AS r, n, {S.rnd(_corr_sql('r', 'n'), P_DIGITS)} AS p_value FROM pr""", ctes=_PR)
 
 
+# All orders of the two samples of a specialty, one bit per place in the order of totals.
+SQL["mann_whitney_years"] = S.with_adapter(f"""
+SELECT specialty_name, u, n1, n2, exact, {S.rnd(f"CASE WHEN exact THEN least(1.0, 2.0 * below / every) ELSE {_normal_sql('z')} END", P_DIGITS)} AS p_value
+FROM (SELECT s.*, tt = 0 AS exact,
+             greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0.0)
+               / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z,
+             w.below, w.every
+      FROM s LEFT JOIN w USING (specialty_name))""", ctes=f"""
+t AS (SELECT specialty_name, patient_type, year, SUM(total) AS total FROM combined GROUP BY 1, 2, 3),
+ties AS (SELECT specialty_name, SUM(c * c * c - c) AS tt
+         FROM (SELECT specialty_name, total, CAST(COUNT(*) AS DOUBLE) AS c FROM t GROUP BY 1, 2) GROUP BY 1),
+sizes AS (SELECT specialty_name, COUNT(*) FILTER (WHERE patient_type = '{IP}') AS n1,
+                 COUNT(*) FILTER (WHERE patient_type <> '{IP}') AS n2 FROM t GROUP BY 1),
+us AS (SELECT a.specialty_name, SUM(CASE WHEN a.total > b.total THEN 1.0 WHEN a.total = b.total THEN 0.5 ELSE 0.0 END) AS u
+       FROM t a JOIN t b ON a.specialty_name = b.specialty_name AND a.patient_type = '{IP}' AND b.patient_type <> '{IP}'
+       GROUP BY 1),
+s AS (SELECT specialty_name, CAST(u AS DOUBLE) AS u, nullif(n1, 0) AS n1, nullif(n2, 0) AS n2, tt
+      FROM sizes LEFT JOIN us USING (specialty_name) JOIN ties USING (specialty_name)),
+masks AS (SELECT m, bit_count(m) AS ones, list_sum(list_transform(range(16), lambda i: i * ((m >> i) & 1))) AS places
+          FROM (SELECT CAST(range AS BIGINT) AS m FROM range(65536))),
+w AS (SELECT specialty_name, COUNT(*) FILTER (WHERE places - n1 * (n1 - 1) / 2.0 <= least(u, n1 * n2 - u)) AS below,
+             COUNT(*) AS every
+      FROM s JOIN masks ON ones = n1 AND m < (1 << (n1 + n2)) GROUP BY 1)""")
+
+
 # K25 --------------------------------------------------------------------------
 def tests_table(vc_year, vc_type, cells, wy, sy) -> DataFrame:
     """One row per test: test, statistic, p_value, dof (or n), conclusion.
@@ -302,27 +336,27 @@ def tests_table(vc_year, vc_type, cells, wy, sy) -> DataFrame:
     each row is a JVM expression chosen by the test kind.
     """
     def row(df, name, stat, kind, p_stat, p_param, dof):
+        known = F.col("p_value") if kind == "known" else F.lit(None)
         return df.select(F.lit(name).alias("test"), F.col(stat).cast("double").alias("statistic"),
-                         F.lit(kind).alias("_kind"), F.col(p_stat).cast("double").alias("_ps"),
+                         F.lit(kind).alias("_kind"), known.cast("double").alias("_known"), F.col(p_stat).cast("double").alias("_ps"),
                          F.col(p_param).cast("double").alias("_pp"),
                          F.col(dof).cast("double").alias("dof_or_n"))
 
     kw = kw_frame(vc_year)
-    mw = mw_frame(vc_type)
+    mw = with_mann_whitney_p(mw_frame(vc_type))
     chi = chi2_frame(cells)
     sp = spearman_frame(wy)
     pr = pearson_frame(sy)
     rows = (row(kw, "kruskal_wallis", "h", "chi2", "h", "dof", "dof")
-            .unionByName(row(mw, "mann_whitney", "u", "z", "z", "n1", "n1"))
+            .unionByName(row(mw, "mann_whitney", "u", "known", "z", "n1", "n1"))
             .unionByName(row(chi, "chi_square", "chi2", "chi2", "chi2", "dof", "dof"))
             .unionByName(row(chi, "cramers_v", "cramers_v", "chi2", "chi2", "dof", "n"))
             .unionByName(row(sp, "spearman", "rho", "corr", "rho", "n", "n"))
             .unionByName(row(pr, "pearson", "r", "corr", "r", "n", "n")))
     kind = F.col("_kind")
     rows = TL.with_chi2_sf(rows, "_ps", "_pp", "_p_chi2")
-    rows = TL.with_normal_two_sided(rows, "_ps", "_p_z")
     rows = TL.with_corr_two_sided(rows, "_ps", "_pp", "_p_corr")
-    p = (F.when(kind == "chi2", F.col("_p_chi2")).when(kind == "z", F.col("_p_z"))
+    p = (F.when(kind == "chi2", F.col("_p_chi2")).when(kind == "known", F.col("_known"))
          .when(kind == "corr", F.col("_p_corr")))
     low = F.col("p_value") < F.lit(SIGNIFICANCE_ALPHA)
 
@@ -401,6 +435,7 @@ STATISTICS = {
     "kruskal_p": kruskal_p,
     "mann_whitney_u": mann_whitney_u,
     "mann_whitney_p": mann_whitney_p,
+    "mann_whitney_years": mann_whitney_years,
     "chi2_stat": chi2_stat,
     "chi2_p": chi2_p,
     "cramers_v": cramers_v,

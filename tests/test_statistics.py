@@ -191,3 +191,32 @@ def test_jvm_tails_match_reference(spark):
             assert r["p"] is None
         else:
             assert r["p"] == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_exact_mann_whitney_against_all_orders(spark):
+    import itertools
+    import random
+
+    from queuelens.operators.ranktests import mann_whitney, with_mann_whitney_p
+    rng = random.Random(1)
+    rows, want = [], {}
+    for key, (n1, n2) in enumerate([(1, 1), (1, 5), (2, 3), (3, 3), (4, 6), (5, 5), (7, 2), (8, 4), (8, 7), (9, 9), (1, 2000)]):
+        v = rng.sample(range(100_000), n1 + n2)
+        rows += [(key, "a" if i < n1 else "b", x, 1) for i, x in enumerate(v)]
+        u = sum(a > b for a in v[:n1] for b in v[n1:])
+        low = min(u, n1 * n2 - u)
+        if n1 == 1:
+            want[key] = (u, True, min(1.0, 2 * (low + 1) / (n2 + 1)))
+        elif n1 > 8:
+            want[key] = (u, False, None)
+        else:
+            all_u = [sum(s) - n1 * (n1 - 1) // 2 for s in itertools.combinations(range(n1 + n2), n1)]
+            want[key] = (u, True, min(1.0, 2 * sum(x <= low for x in all_u) / len(all_u)))
+    rows += [(50, "a", 1, 1), (50, "b", 1, 1), (50, "b", 2, 1), (51, "a", 3, 1), (52, "b", 3, 2)]
+    df = spark.createDataFrame(rows, "k int, g string, total long, cnt long")
+    got = {r["k"]: r for r in with_mann_whitney_p(mann_whitney(df, "g", "a", by=["k"])).collect()}
+    for key, (u, exact, p) in want.items():
+        assert (got[key]["u"], got[key]["exact"]) == (u, exact)
+        assert p is None or abs(got[key]["p_value"] - p) < 1e-12
+    assert not got[50]["exact"] and got[50]["p_value"] == 1.0            # ties: the approximation
+    assert got[51]["p_value"] is None and got[52]["p_value"] is None     # one sample alone
