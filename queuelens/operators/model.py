@@ -23,10 +23,9 @@ VIEW_COLUMNS = ["archive_date", "specialty_name", "adult_child", "age_profile",
 
 def waiting_list(inpatient: DataFrame, outpatient: DataFrame) -> DataFrame:
     """UNION ALL of the facts with a literal patient type (plus case type and code)."""
-    ip = inpatient.select(*VIEW_COLUMNS, F.lit(PATIENT_TYPES[0]).alias("patient_type"),
-                          F.col("case_type"), F.col("specialty_hipe"))
-    op = outpatient.select(*VIEW_COLUMNS, F.lit(PATIENT_TYPES[1]).alias("patient_type"),
-                           F.lit(None).cast("string").alias("case_type"), F.col("specialty_hipe"))
+    ip = inpatient.selectExpr(*VIEW_COLUMNS, f"'{PATIENT_TYPES[0]}' AS patient_type", "case_type", "specialty_hipe")
+    op = outpatient.selectExpr(*VIEW_COLUMNS, f"'{PATIENT_TYPES[1]}' AS patient_type",
+                               "CAST(NULL AS STRING) AS case_type", "specialty_hipe")
     return ip.unionByName(op)
 
 

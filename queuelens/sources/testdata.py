@@ -18,9 +18,22 @@ from queuelens.functions.constants import TIME_BANDS
 
 UNMAPPED_REGION = "MIDDLE EAST"
 
+# The columns in use, declared, so that no query opens files to learn their
+# types before it runs.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_nationkey int",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
+}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def dim_specialty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,65 +46,48 @@ def dim_specialty(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("r_name").alias("specialty_group")))
 
 
-def _nation_names(spark, sf_dir, key_col, name_col="specialty_name"):
-    nation = read_table(spark, sf_dir, "nation")
-    return nation.select(F.col("n_nationkey").alias(key_col), F.col("n_name").alias(name_col))
+def _by_nation(spark: SparkSession, sf_dir: str, table: str, key: str, nation: str, as_key: str) -> DataFrame:
+    """(as_key, specialty_name): the nation's name of each supplier or customer."""
+    names = read_table(spark, sf_dir, "nation").selectExpr(f"n_nationkey AS {nation}", "n_name AS specialty_name")
+    return (read_table(spark, sf_dir, table).join(names, nation, "inner")
+            .selectExpr(f"{key} AS {as_key}", "specialty_name"))
 
 
-def _band_at(index_col) -> F.Column:
-    return F.element_at(F.array(*[F.lit(b) for b in TIME_BANDS]), index_col + F.lit(1))
+def _band_at(index: str) -> str:
+    return f"element_at(array({', '.join(repr(b) for b in TIME_BANDS)}), {index} + 1)"
 
 
+# The columns are SQL texts: parsed in one go, where a call to the JVM per
+# expression would take longer than planning the query.
 def fact_inpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
-    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    sup_names = (sup.join(_nation_names(spark, sf_dir, "s_nationkey"), "s_nationkey", "inner")
-                 .select(F.col("s_suppkey").alias("l_suppkey"), "specialty_name"))
-    joined = li.join(sup_names, "l_suppkey", "inner")
-    band_idx = F.floor(F.round(F.col("l_discount") * F.lit(100.0)) * F.lit(7.0) / F.lit(11.0)).cast("int")
-    rf = F.col("l_returnflag")
-    return joined.select(
-        F.col("l_shipdate").cast("date").alias("archive_date"),
-        F.when(F.col("l_orderkey") % 97 == 0, F.lit(None))
-         .otherwise(F.col("l_suppkey")).cast("int").alias("specialty_hipe"),
-        F.col("specialty_name"),
-        F.when(F.col("l_linestatus") == "F", F.lit("Day Case"))
-         .when(F.col("l_linestatus") == "O", F.lit("Inpatient")).alias("case_type"),
-        F.when(rf == "A", F.lit("Child")).otherwise(F.lit("Adult")).alias("adult_child"),
-        F.when(rf == "A", F.lit("0-15")).when(rf == "N", F.lit("16-64"))
-         .when(rf == "R", F.lit("65+")).alias("age_profile"),
-        _band_at(band_idx).alias("time_bands"),
-        F.floor(F.col("l_quantity")).cast("int").alias("total"),
-        F.year(F.col("l_shipdate")).cast("int").alias("year"),
-    )
+    joined = read_table(spark, sf_dir, "lineitem").join(
+        _by_nation(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "l_suppkey"), "l_suppkey", "inner")
+    return joined.selectExpr(
+        "CAST(l_shipdate AS DATE) AS archive_date",
+        "CAST(CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE l_suppkey END AS INT) AS specialty_hipe",
+        "specialty_name",
+        "CASE l_linestatus WHEN 'F' THEN 'Day Case' WHEN 'O' THEN 'Inpatient' END AS case_type",
+        "CASE WHEN l_returnflag = 'A' THEN 'Child' ELSE 'Adult' END AS adult_child",
+        "CASE l_returnflag WHEN 'A' THEN '0-15' WHEN 'N' THEN '16-64' WHEN 'R' THEN '65+' END AS age_profile",
+        _band_at("CAST(floor(round(l_discount * 100.0D) * 7.0D / 11.0D) AS INT)") + " AS time_bands",
+        "CAST(floor(l_quantity) AS INT) AS total",
+        "CAST(year(l_shipdate) AS INT) AS year")
 
 
 def fact_outpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders")
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    cust_names = (cust.join(_nation_names(spark, sf_dir, "c_nationkey"), "c_nationkey", "inner")
-                  .select(F.col("c_custkey").alias("o_custkey"), "specialty_name"))
-    joined = orders.join(cust_names, "o_custkey", "inner")
-    st = F.col("o_orderstatus")
-    no_demo = F.col("o_orderkey") % 50 == 0
-    prio = F.substring(F.col("o_orderpriority"), 1, 1)
-    band = (F.when(prio == "1", F.lit(TIME_BANDS[0])).when(prio == "2", F.lit(TIME_BANDS[1]))
-            .when(prio == "3", F.lit(TIME_BANDS[2])).when(prio == "4", F.lit(TIME_BANDS[3]))
-            .when(prio == "5", F.lit(TIME_BANDS[6])))
-    return joined.select(
-        F.col("o_orderdate").cast("date").alias("archive_date"),
-        F.when(F.col("o_orderkey") % 97 == 0, F.lit(None))
-         .otherwise(F.col("o_custkey")).cast("int").alias("specialty_hipe"),
-        F.col("specialty_name"),
-        F.when(no_demo, F.lit(None).cast("string"))
-         .when(st == "P", F.lit("Child")).otherwise(F.lit("Adult")).alias("adult_child"),
-        F.when(no_demo, F.lit(None).cast("string"))
-         .when(st == "P", F.lit("0-15")).when(st == "O", F.lit("16-64"))
-         .when(st == "F", F.lit("65+")).alias("age_profile"),
-        band.alias("time_bands"),
-        F.floor(F.col("o_totalprice") / F.lit(5000.0)).cast("int").alias("total"),
-        F.year(F.col("o_orderdate")).cast("int").alias("year"),
-    )
+    joined = read_table(spark, sf_dir, "orders").join(
+        _by_nation(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "o_custkey"), "o_custkey", "inner")
+    bands = " ".join(f"WHEN '{p}' THEN '{TIME_BANDS[i]}'" for p, i in zip("12345", (0, 1, 2, 3, 6)))
+    return joined.selectExpr(
+        "CAST(o_orderdate AS DATE) AS archive_date",
+        "CAST(CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey END AS INT) AS specialty_hipe",
+        "specialty_name",
+        "CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderstatus = 'P' THEN 'Child' ELSE 'Adult' END AS adult_child",
+        "CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderstatus = 'P' THEN '0-15' "
+        "WHEN o_orderstatus = 'O' THEN '16-64' WHEN o_orderstatus = 'F' THEN '65+' END AS age_profile",
+        f"CASE substring(o_orderpriority, 1, 1) {bands} END AS time_bands",
+        "CAST(floor(o_totalprice / 5000.0D) AS INT) AS total",
+        "CAST(year(o_orderdate) AS INT) AS year")
 
 
 @dataclass
