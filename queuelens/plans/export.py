@@ -1,108 +1,64 @@
 """Dashboard document (nested JSON) and the run summary.
 
-Both read two compact summary tables instead of the facts:
-
-* the cube: sum(total) and record count at the grain
-  (month, year, type, specialty, group, case type, adult/child, age, band,
-  wait ordinal) - every sum-based section is an aggregate of it;
-* the value counts (type, year, total, cnt) for the record-level
-  statistics (quantiles, moments, rank tests).
-
-They are written as reliable checkpoints in the shared checkpoint folder,
-which cuts the lineage (a lost executor recomputes from the checkpoint, not
-from the facts). Each section is a one-row aggregate rendered with
-``to_json``; the document is the ordered concatenation of the sections in a
-final aggregation (no joins, nothing collected to the driver).
+Both take one lazy pass over the rows (``plans.summary``): sums by month,
+specialty and demographics for the sum-based sections, value counts for the
+record-level statistics (quantiles, moments, rank tests). Each section is a
+one-row aggregate rendered as JSON text; the document is the ordered
+concatenation of the sections in a final aggregation (no joins, nothing
+collected to the driver, no job before the caller's). Fractions have a fixed
+number of decimals, so the text does not depend on how an engine prints doubles.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.functions import measures as M
 from queuelens.functions.constants import DESCRIPTION_KEYS, PATIENT_TYPES, TIME_BANDS
 from queuelens.functions.options import Options
+from queuelens.operators import distribution as D
 from queuelens.operators.model import WaitingList
 from queuelens.plans import products as K
 from queuelens.plans import sqlkit as S
 from queuelens.plans import statistics as T
-from queuelens.session import ensure_checkpoint_dir
+from queuelens.plans.summary import VALUE, Grain, grains, value_counts
 
 IP, OP = PATIENT_TYPES
-CUBE_GRAIN = ["year_month", "year", "patient_type", "specialty_name", "specialty_group", "case_type",
-              "adult_child", "age_profile", "time_bands", "wait_rank"]
-
-
-@dataclass
-class Summary:
-    cube: DataFrame      # CUBE_GRAIN + total (sum) + records
-    values: DataFrame    # patient_type, year, total, cnt
-
-    def combined(self) -> DataFrame:
-        """The cube stands in for the rows in sum-based products."""
-        return self.cube
-
-
-def summary_tables(wl: WaitingList, o: Options = Options(), checkpoint: bool = True) -> Summary:
-    c = wl.combined()
-    cube = c.groupBy(*CUBE_GRAIN).agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("records"))
-    values = c.groupBy("patient_type", "year", "total").agg(F.count(F.lit(1)).alias("cnt"))
-    if checkpoint:
-        ensure_checkpoint_dir(cube.sparkSession)
-        cube, values = cube.checkpoint(eager=True), values.checkpoint(eager=True)
-    return Summary(cube, values)
-
-
-# record-level inputs from the summary tables ---------------------------------------
-def _year_counts(s: Summary, o: Options) -> DataFrame:
-    v = s.values.filter(F.col("year").isin(list(o.years))) if o.years else s.values
-    return v.groupBy("year", "total").agg(F.sum("cnt").alias("cnt"))
-
-
-def _type_counts(s: Summary) -> DataFrame:
-    return s.values.groupBy("patient_type", "total").agg(F.sum("cnt").alias("cnt"))
-
-
-def _cells(s: Summary) -> DataFrame:
-    return (s.cube.filter(F.col("adult_child").isNotNull() & F.col("time_bands").isNotNull())
-            .groupBy("adult_child", "time_bands").agg(F.sum("records").alias("observed")))
-
-
-def _avg_wait(records_col="records"):
-    ranked = F.col("wait_rank").isNotNull()
-    return F.try_divide(F.sum(F.col("wait_rank") * F.col(records_col)).cast("double"),
-                        F.sum(F.when(ranked, F.col(records_col))).cast("double"))
-
-
-def _wait_by_year(s: Summary) -> DataFrame:
-    return (s.cube.groupBy("year").agg(_avg_wait().alias("avg_wait_rank"))
-            .filter(F.col("avg_wait_rank").isNotNull()))
+DASHBOARD_GRAINS = {
+    "months": ["year_month", "year", "patient_type", "time_bands"],
+    "specialties": ["specialty_name", "specialty_group", "patient_type", "year", "time_bands"],
+    "people": ["patient_type", "year", "case_type", "adult_child", "age_profile", "time_bands"],
+    "values": ["patient_type", "year", VALUE],
+}
+RUN_GRAINS = T.TEST_GRAINS | {"specialties": ["specialty_name", "patient_type", "year", "time_bands"]}
 
 
-def _spec_year(s: Summary) -> DataFrame:
-    return (s.cube.groupBy("specialty_name", "year")
-            .agg(F.sum("total").alias("Total"), F.sum("records").alias("Records"), _avg_wait().alias("AvgWait"))
-            .filter(F.col("AvgWait").isNotNull()))
+def describe_types(values: Grain) -> DataFrame:
+    vt = value_counts(values, "patient_type")
+    per_type = vt.select(F.col("patient_type").alias("dataset"), "total", D.CNT)
+    allrows = vt.groupBy("total").agg(F.sum(D.CNT).alias(D.CNT)).select(F.lit("Combined").alias("dataset"), "total", D.CNT)
+    d = D.describe(per_type.unionByName(allrows), ["dataset"], "total")
+    return d.select(*((F.col(c) if digits is None else fixed(c, digits)).alias(k)
+                      for k, (c, digits) in zip(DESCRIPTION_KEYS, DESCRIBED)))
 
 
-def tests(s: Summary, o: Options) -> DataFrame:
-    return T.tests_table(_year_counts(s, o), _type_counts(s), _cells(s), _wait_by_year(s), _spec_year(s))
+# Columns of the description in the order of DESCRIPTION_KEYS, and their decimals.
+DESCRIBED = (("dataset", None), ("n", None), ("sum", None), ("mean", 3), ("median", 3), ("mode", None), ("std", 3), ("var", 3),
+             ("min", None), ("max", None), ("range", None), ("q1", 3), ("q3", 3), ("iqr", 3), ("p5", 3), ("p95", 3), ("p99", 3),
+             ("cv_pct", 2), ("skewness", 3), ("kurtosis", 3), ("outliers", None))
+# Results in the section of tests: key, test, column, decimals.
+TESTED = (("kw_h", "kruskal_wallis", "statistic", 4), ("kw_p", "kruskal_wallis", "p_value", T.P_DIGITS),
+          ("mw_u", "mann_whitney", "statistic", 1), ("mw_p", "mann_whitney", "p_value", T.P_DIGITS),
+          ("chi2", "chi_square", "statistic", 2), ("chi2_p", "chi_square", "p_value", T.P_DIGITS),
+          ("cramers_v", "cramers_v", "statistic", 4),
+          ("sp_r", "spearman", "statistic", 4), ("sp_p", "spearman", "p_value", T.P_DIGITS),
+          ("pearson_r", "pearson", "statistic", 4), ("pearson_p", "pearson", "p_value", T.P_DIGITS))
 
 
-def describe_types(s: Summary) -> DataFrame:
-    from queuelens.operators import distribution as D
-    vt = s.values.groupBy("patient_type", "total").agg(F.sum("cnt").alias(D.CNT))
-    per_type = vt.select(F.col("patient_type").alias("dataset"), "total", D.CNT)
-    allrows = vt.groupBy("total").agg(F.sum(D.CNT).alias(D.CNT)).select(F.lit("Combined").alias("dataset"), "total", D.CNT)
-    d = D.describe(per_type.unionByName(allrows), ["dataset"], "total")
-    r = M.round_half
-    shown = ("dataset", "n", "sum", r("mean", 3), r("median", 3), "mode", r("std", 3), r("var", 3), "min", "max",
-             "range", r("q1", 3), r("q3", 3), r("iqr", 3), r("p5", 3), r("p95", 3), r("p99", 3), r("cv_pct", 2),
-             r(r("skewness", 4), 3), r(r("kurtosis", 4), 3), "outliers")
-    return d.select(*((F.col(c) if isinstance(c, str) else c).alias(k) for k, c in zip(DESCRIPTION_KEYS, shown)))
+def fixed(c, digits: int) -> Column:
+    """Rounded half away from zero, as a decimal that prints all its digits."""
+    return M.round_half(M.round_half(c, digits + 1) if c in ("skewness", "kurtosis") else c, digits).cast(f"decimal(30,{digits})")
 
 
 # sections ---------------------------------------------------------------------------
@@ -133,35 +89,36 @@ def _by_type(rows, value_field):
             for t in PATIENT_TYPES}
 
 
-def sections(s: Summary, o: Options) -> list[DataFrame]:
+def sections(g: dict[str, Grain], o: Options) -> list[DataFrame]:
     out = []
-    k = K.kpis(s, o)
+    months, specialties, people = g["months"], g["specialties"], g["people"]
+    k = K.kpis(specialties, o).withColumn("long_wait_pct", fixed("long_wait_pct", 1))
     out.append(_section(1, "kpis", k.select(F.to_json(F.struct(
         "total_patients", "inpatient_total", "outpatient_total", "long_wait", "long_wait_pct", "specialties")))))
 
-    a = K.annual_pivot(s, o).agg(_sorted_rows("year", "inpatient", "outpatient").alias("r"))
+    a = K.annual_pivot(months, o).agg(_sorted_rows("year", "inpatient", "outpatient").alias("r"))
     out.append(_section(2, "annual", a.select(F.to_json(F.struct(
         _pluck("r", "year").alias("years"), _pluck("r", "inpatient").alias("inpatient"),
         _pluck("r", "outpatient").alias("outpatient"))))))
 
-    m = K.monthly_pivot(s, o).agg(_sorted_rows("year_month", "inpatient", "outpatient").alias("r"))
+    m = K.monthly_pivot(months, o).agg(_sorted_rows("year_month", "inpatient", "outpatient").alias("r"))
     out.append(_section(3, "monthly", m.select(F.to_json(F.struct(
         _pluck("r", "year_month").alias("labels"), _pluck("r", "inpatient").alias("inpatient"),
         _pluck("r", "outpatient").alias("outpatient"))))))
 
-    b = K.band_pct_by_type(s, o).agg(_sorted_rows("band_order", "patient_type", "total_patients").alias("r"))
+    b = K.band_pct_by_type(months, o).agg(_sorted_rows("band_order", "patient_type", "total_patients").alias("r"))
     bt = _by_type(F.col("r"), "total_patients")
     out.append(_section(4, "time_bands", b.select(F.to_json(F.struct(
         F.array(*[F.lit(x) for x in TIME_BANDS]).alias("labels"),
         bt["inpatient"].alias("inpatient"), bt["outpatient"].alias("outpatient"))))))
 
-    top = K.top_specialties(s, o)
+    top = K.top_specialties(specialties, o)
     for order, (name, t) in enumerate((("top_ip", IP), ("top_op", OP)), start=5):
         tt = top.filter(F.col("patient_type") == t).agg(_sorted_rows("rank", "specialty_name", "total_patients").alias("r"))
         out.append(_section(order, name, tt.select(F.to_json(F.struct(
             _pluck("r", "specialty_name").alias("labels"), _pluck("r", "total_patients").alias("values"))))))
 
-    ag = (K.age_by_year(s, o).groupBy("age_profile")
+    ag = (K.age_by_year(people, o).groupBy("age_profile")
           .agg(_sorted_rows("year", "total_patients").alias("r"))
           .agg(F.array_sort(F.collect_list(F.struct("age_profile", _pluck("r", "total_patients").alias("t"),
                                                     _pluck("r", "year").alias("y")))).alias("a")))
@@ -169,42 +126,36 @@ def sections(s: Summary, o: Options) -> list[DataFrame]:
     out.append(_section(7, "age", ag.select(F.to_json(F.struct(
         F.get("a", F.lit(0))["y"].alias("years"), groups.alias("groups"))))))
 
-    ac = K.adult_child_share(s, o).groupBy("patient_type").agg(
+    ac = K.adult_child_share(people, o).groupBy("patient_type").agg(
         F.map_from_entries(_sorted_rows("adult_child", "total_patients")).alias("m"))
     acj = ac.agg(*[F.first(F.when(F.col("patient_type") == t, F.col("m")), ignorenulls=True).alias(t.lower())
                    for t in PATIENT_TYPES])
     out.append(_section(8, "adult_child", acj.select(F.to_json(F.struct("inpatient", "outpatient")))))
 
-    g = K.group_top15(s, o).agg(_sorted_rows(
+    groups15 = K.group_top15(specialties, o).withColumn("lw_pct", fixed("lw_pct", 1))
+    gr = groups15.agg(_sorted_rows(
         (-F.col("total_patients")).alias("k"), "specialty_group", "total_patients", "lw_pct").alias("r"))
-    out.append(_section(9, "spec_groups", g.select(F.to_json(F.struct(
+    out.append(_section(9, "spec_groups", gr.select(F.to_json(F.struct(
         _pluck("r", "specialty_group").alias("labels"), _pluck("r", "total_patients").alias("totals"),
         _pluck("r", "lw_pct").alias("lw_pct"))))))
 
     order_ds = F.when(F.col("Dataset") == IP, 0).when(F.col("Dataset") == OP, 1).otherwise(2)
-    d = describe_types(s).withColumn("_o", order_ds)
+    d = describe_types(g["values"]).withColumn("_o", order_ds)
     dcols = [c for c in d.columns if c != "_o"]
     dj = d.agg(F.array_sort(F.collect_list(F.struct("_o", F.struct(*dcols).alias("row")))).alias("r"))
     out.append(_section(10, "desc_stats", dj.select(F.to_json(_pluck("r", "row")))))
 
-    ts = tests(s, o)
+    ts = T.tests_from_grains(g, o)
+    picked = [F.format_string(f'"{key}":%.{digits}f', M.round_half(
+                  M.round_half(F.max(F.when(F.col("test") == test, F.col(c))), max(6, digits)), digits))
+              for key, test, c, digits in TESTED]
+    out.append(_section(11, "stat_tests", ts.agg(F.concat(F.lit("{"), F.concat_ws(",", *picked), F.lit("}")))))
 
-    def pick(test, c, digits=None):
-        v = F.max(F.when(F.col("test") == test, F.col(c)))
-        return M.round_half(v, digits) if digits is not None else v
-    st = ts.agg(pick("kruskal_wallis", "statistic", 4).alias("kw_h"), pick("kruskal_wallis", "p_value").alias("kw_p"),
-                pick("mann_whitney", "statistic").alias("mw_u"), pick("mann_whitney", "p_value").alias("mw_p"),
-                pick("chi_square", "statistic", 2).alias("chi2"), pick("chi_square", "p_value").alias("chi2_p"),
-                pick("cramers_v", "statistic", 4).alias("cramers_v"),
-                pick("spearman", "statistic", 4).alias("sp_r"), pick("spearman", "p_value").alias("sp_p"),
-                pick("pearson", "statistic", 4).alias("pearson_r"), pick("pearson", "p_value").alias("pearson_p"))
-    out.append(_section(11, "stat_tests", st.select(F.to_json(F.struct(*st.columns)))))
-
-    lw = K.long_wait_trend_dense(s, o).agg(_sorted_rows("year_month", "inpatient_long_wait").alias("r"))
+    lw = K.long_wait_trend_dense(months, o).agg(_sorted_rows("year_month", "inpatient_long_wait").alias("r"))
     out.append(_section(12, "long_wait_trend", lw.select(F.to_json(F.struct(
         _pluck("r", "year_month").alias("labels"), _pluck("r", "inpatient_long_wait").alias("inpatient"))))))
 
-    ct = K.case_type_pct(s, o).agg(_sorted_rows("band_order", "case_type", "pct").alias("r"))
+    ct = K.case_type_pct(people, o).withColumn("pct", fixed("pct", 1)).agg(_sorted_rows("band_order", "case_type", "pct").alias("r"))
     sel = {n: _pluck(F.filter(F.col("r"), _field_is("case_type", v)), "pct")
            for n, v in (("inpatient_pct", "Inpatient"), ("daycase_pct", "Day Case"))}
     out.append(_section(13, "case_type", ct.select(F.to_json(F.struct(
@@ -213,8 +164,8 @@ def sections(s: Summary, o: Options) -> list[DataFrame]:
     return out
 
 
-def dashboard_document(s: Summary, o: Options = Options()) -> DataFrame:
-    parts = sections(s, o)
+def dashboard_document(g: dict[str, Grain], o: Options = Options()) -> DataFrame:
+    parts = sections(g, o)
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -225,26 +176,34 @@ def dashboard_document(s: Summary, o: Options = Options()) -> DataFrame:
 
 def dashboard_json(wl: WaitingList, o: Options = Options()) -> DataFrame:
     """K27: the whole dashboard document as one JSON string row."""
-    return dashboard_document(summary_tables(wl, o), o)
+    return dashboard_document(grains(wl.combined(), **DASHBOARD_GRAINS), o)
 
 
 def write_dashboard(doc: DataFrame, path: str) -> None:
-    """Write the one-row document as a text file (one JSON object)."""
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    """Write the one-row document as one JSON file at ``path``.
 
+    Spark writes a folder beside it, on any file system it knows; its only
+    part is then renamed, so a reader sees the old file or the new one.
+    """
+    spark = doc.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    doc.coalesce(1).write.mode("overwrite").text(folder.toString())
+    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"cannot rename {part} to {target}")
+    fs.delete(folder, True)
 
-def run_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    """K28: headline totals, top specialty per type and the key test results.
 
-    Everything comes from the one compact statistics summary (record counts
-    by type, year, specialty, adult/child, band, wait ordinal and total),
-    checkpointed once: totals are sums of total x count over it.
-    """
+def run_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
+    """K28: headline totals, top specialty per type and the key test results, from one pass over the rows."""
     from pyspark.sql import Window as W
-    ss = T.stat_summary(wl.combined())
-    ensure_checkpoint_dir(ss.sparkSession)
-    ss = ss.checkpoint(eager=True)
-    tt = F.col("total").cast("long") * F.col("cnt")
+    g = grains(wl.combined(), **RUN_GRAINS)
+    ss = g["specialties"].frame
+    tt = F.col("total")
     tp = F.col("patient_type")
     is_long = M.is_long(band=o.long_band)
     k = ss.agg(F.sum(tt).alias("total"), F.sum(F.when(tp == IP, tt)).alias("inpatient"),
@@ -253,7 +212,7 @@ def run_summary(wl: WaitingList, o: Options = Options()) -> DataFrame:
     per_spec = ss.groupBy("patient_type", "specialty_name").agg(F.sum(tt).alias("t"))
     first = F.row_number().over(W.partitionBy("patient_type").orderBy(F.desc("t"), "specialty_name"))
     top = per_spec.withColumn("_r", first).filter(F.col("_r") == 1)
-    ts = T.tests_table(*T.inputs_from_summary(ss, o))
+    ts = T.tests_from_grains(g, o)
     nums = (k.select(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v"))
                                for c in ("total", "inpatient", "outpatient", "long_wait")]).alias("a"))
             .select(F.inline("a"))
@@ -303,6 +262,73 @@ SELECT {S.big('SUM(total)')} AS total_patient_waits,
        {_one(T._CHI, S.rnd('v', 3), 'ch')} AS cramers_v
 FROM combined""")}
 
+# The document in SQL: every section from the statement that stands for its plan.
+def _array(value: str, order: str, where: str = "TRUE") -> str:
+    shown = f"string_agg(coalesce(CAST({value} AS VARCHAR), 'null'), ',' ORDER BY {order}) FILTER (WHERE {where})"
+    return f"'[' || coalesce({shown}, '') || ']'"
+
+
+def _text(name: str) -> str:
+    return f"""'"' || {name} || '"'"""
+
+
+def _decimal(name: str, digits: int) -> str:
+    return f"CAST({name} AS DECIMAL(30, {digits}))"
+
+
+def _object(**fields: str) -> str:
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + " || '}'"
+
+
+def _of_type(t: str) -> str:
+    return f"patient_type = '{t}'"
+
+
+_BANDS = "'[" + ",".join(f'"{b}"' for b in TIME_BANDS) + "]'"
+_SHOWN = ("dataset", "n", "sum_total", "mean", "median", "mode", "std_dev", "variance", "min_val", "max_val", "range_val",
+          "q1", "q3", "iqr", "p5", "p95", "p99", "cv_pct", "skewness", "kurtosis", "outliers")
+_DESCRIBED_SQL = {k: _text(c) if c == "dataset" else c if digits is None
+                  else _decimal(S.rnd(c, digits), digits)
+                  for k, c, (_, digits) in zip(DESCRIPTION_KEYS, _SHOWN, DESCRIBED)}
+_TESTED_SQL = {key: f"printf('%.{digits}f', {S.rnd(f'max({c}) FILTER (WHERE test = {test!r})', digits)})"
+               for key, test, c, digits in TESTED}
+_SECTIONS = (
+    ("kpis", K.SQL["kpis"], _object(total_patients="total_patients", inpatient_total="inpatient_total",
+                                    outpatient_total="outpatient_total", long_wait="long_wait",
+                                    long_wait_pct=_decimal("long_wait_pct", 1), specialties="specialties")),
+    ("annual", K.SQL["annual_pivot"], _object(years=_array("year", "year"), inpatient=_array("inpatient", "year"),
+                                              outpatient=_array("outpatient", "year"))),
+    ("monthly", K.SQL["monthly_pivot"], _object(
+        labels=_array(_text("year_month"), "year_month"), inpatient=_array("inpatient", "year_month"),
+        outpatient=_array("outpatient", "year_month"))),
+    ("time_bands", K.SQL["band_pct_by_type"], _object(labels=_BANDS, **{
+        t.lower(): _array("total_patients", "band_order", _of_type(t)) for t in PATIENT_TYPES})),
+    *((name, K.SQL["top_specialties"], _object(labels=_array(_text("specialty_name"), "rank", _of_type(t)),
+                                               values=_array("total_patients", "rank", _of_type(t))))
+      for name, t in (("top_ip", IP), ("top_op", OP))),
+    ("age", f"""SELECT age_profile, {_array("year", "year")} AS years, {_array("total_patients", "year")} AS totals
+                FROM ({K.SQL["age_by_year"]}) GROUP BY age_profile""",
+     _object(years="min(years)", groups=f"""'{{' || string_agg({_text("age_profile")} || ':' || totals, ',' ORDER BY age_profile) || '}}'""")),
+    ("adult_child", K.SQL["adult_child_share"], _object(**{
+        t.lower(): f"""'{{' || string_agg({_text("adult_child")} || ':' || total_patients, ',' ORDER BY adult_child)
+                       FILTER (WHERE {_of_type(t)}) || '}}'""" for t in PATIENT_TYPES})),
+    ("spec_groups", K.SQL["group_top15"], _object(
+        labels=_array(_text("specialty_group"), "total_patients DESC, specialty_group"),
+        totals=_array("total_patients", "total_patients DESC, specialty_group"),
+        lw_pct=_array(_decimal("lw_pct", 1), "total_patients DESC, specialty_group"))),
+    ("desc_stats", K.SQL["descriptive_table"], _array(
+        _object(**{k.replace(" ", "~"): v for k, v in _DESCRIBED_SQL.items()}).replace("~", " "),
+        f"CASE dataset WHEN '{IP}' THEN 0 WHEN '{OP}' THEN 1 ELSE 2 END")),
+    ("stat_tests", T.SQL["stat_tests"], _object(**_TESTED_SQL)),
+    ("long_wait_trend", K.SQL["long_wait_trend_dense"], _object(
+        labels=_array(_text("year_month"), "year_month"), inpatient=_array("inpatient_long_wait", "year_month"))),
+    ("case_type", K.SQL["case_type_pct"], _object(labels=_BANDS, **{
+        name: _array(_decimal("pct", 1), "band_order", f"case_type = '{t}'")
+        for name, t in (("inpatient_pct", "Inpatient"), ("daycase_pct", "Day Case"))})),
+)
+SQL["dashboard_json"] = ("SELECT '{' || " + " || ',' || ".join(
+    f"""'"{name}":' || (SELECT {shown} FROM ({body}))""" for name, body, shown in _SECTIONS) + " || '}' AS document")
+
 EXPORTS = {
     "dashboard_json": dashboard_json,
     "run_summary": run_summary,

@@ -1,8 +1,7 @@
 """Hypothesis tests and correlations (statistics as Spark aggregates).
 
 Every test starts from a small pre-aggregated input so it can run either on
-the canonical rows or on the checkpointed summary tables of the dashboard
-export:
+the canonical rows or on the grains of one pass over them (``plans.summary``):
 
 * value counts ``(key, total, cnt)`` for the rank tests,
 * record counts per (adult_child, time_bands) cell for the chi-square test,
@@ -27,7 +26,7 @@ from queuelens.operators.contingency import chi_square, densify_cells
 from queuelens.operators.model import WaitingList
 from queuelens.operators.ranktests import kruskal_wallis, mann_whitney, pearson, spearman, with_mann_whitney_p
 from queuelens.plans import sqlkit as S
-from queuelens.session import ensure_checkpoint_dir
+from queuelens.plans.summary import VALUE, Grain, grains, mean_wait, value_counts
 
 SQL: dict[str, str] = {}
 IP = PATIENT_TYPES[0]
@@ -369,41 +368,28 @@ def tests_table(vc_year, vc_type, cells, wy, sy) -> DataFrame:
             .withColumn("conclusion", conclusion))
 
 
-STAT_GRAIN = ["patient_type", "year", "specialty_name", "adult_child", "time_bands", "wait_rank", "total"]
+# Grains of the tests: value counts, cells and specialty-years apart, so none comes near the rows.
+TEST_GRAINS = {"values": ["patient_type", "year", VALUE], "people": ["adult_child", "time_bands"],
+               "specialties": ["specialty_name", "year", "time_bands"]}
 
 
-def stat_summary(c: DataFrame) -> DataFrame:
-    """One compact aggregation that feeds every test: record counts at the
-    grain (type, year, specialty, adult/child, band, wait ordinal, total).
-    Its size is bounded by the category and value domains, not the rows."""
-    return c.groupBy(*STAT_GRAIN).agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def inputs_from_summary(ss: DataFrame, o: Options):
-    """(value counts by year, by type, cells, wait by year, specialty-year)."""
-    ys = ss.filter(F.col("year").isin(list(o.years))) if o.years else ss
-    vc_year = ys.groupBy("year", "total").agg(F.sum("cnt").alias(D.CNT))
-    vc_type = ss.groupBy("patient_type", "total").agg(F.sum("cnt").alias(D.CNT))
-    cells = (ss.filter(F.col("adult_child").isNotNull() & F.col("time_bands").isNotNull())
-             .groupBy("adult_child", "time_bands").agg(F.sum("cnt").alias("observed")))
-    ranked = F.col("wait_rank").isNotNull()
-    avg_wait = F.try_divide(F.sum(F.col("wait_rank") * F.col("cnt")).cast("double"),
-                            F.sum(F.when(ranked, F.col("cnt"))).cast("double"))
-    wy = ss.groupBy("year").agg(avg_wait.alias("avg_wait_rank")).filter(F.col("avg_wait_rank").isNotNull())
-    sy = (ss.groupBy("specialty_name", "year")
-          .agg(F.sum(F.col("total").cast("long") * F.col("cnt")).alias("Total"),
-               F.sum("cnt").alias("Records"), avg_wait.alias("AvgWait"))
+def tests_from_grains(g: dict[str, Grain], o: Options) -> DataFrame:
+    """All tests from grains with at least the keys of TEST_GRAINS."""
+    values = g["values"]
+    of_years = Grain(values.frame.filter(F.col("year").isin(list(o.years)))) if o.years else values
+    cells = (g["people"].frame.filter(F.col("adult_child").isNotNull() & F.col("time_bands").isNotNull())
+             .groupBy("adult_child", "time_bands").agg(F.sum("records").alias("observed")))
+    spec = g["specialties"].frame
+    wy = spec.groupBy("year").agg(mean_wait().alias("avg_wait_rank")).filter(F.col("avg_wait_rank").isNotNull())
+    sy = (spec.groupBy("specialty_name", "year")
+          .agg(F.sum("total").alias("Total"), F.sum("records").alias("Records"), mean_wait().alias("AvgWait"))
           .filter(F.col("AvgWait").isNotNull()))
-    return vc_year, vc_type, cells, wy, sy
+    return tests_table(value_counts(of_years, "year"), value_counts(values, "patient_type"), cells, wy, sy)
 
 
 def stat_tests(wl: WaitingList, o: Options = Options()) -> DataFrame:
-    """All tests from one compact aggregation of the rows, written as a
-    reliable checkpoint (shared checkpoint folder) so the facts are read once
-    and a lost executor recomputes from the summary, not from the facts."""
-    ss = stat_summary(wl.combined())
-    ensure_checkpoint_dir(ss.sparkSession)
-    t = tests_table(*inputs_from_summary(ss.checkpoint(eager=True), o))
+    """All tests from one pass over the rows."""
+    t = tests_from_grains(grains(wl.combined(), **TEST_GRAINS), o)
     return t.select("test", M.round_half("statistic", 6).alias("statistic"),
                     M.round_half("p_value", P_DIGITS).alias("p_value"), "dof_or_n", "conclusion")
 

@@ -243,3 +243,33 @@ def test_value_count_statistics_never_fall_back_to_sorting(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     scan_side = plan.split("== Initial Plan ==")[0].rsplit("Exchange", 1)[1]
     assert "HashAggregate" in scan_side and "ObjectHashAggregate" not in scan_side
+
+
+def test_documents_run_no_job_before_the_caller_does(spark):
+    from queuelens.plans.registry import all_plans
+    plans, sc = all_plans(), spark.sparkContext
+    for name in ("stat_tests", "run_summary", "dashboard_json"):
+        sc.setJobGroup(f"building {name}", name)
+        plans[name](spark, "/root/testdata/sf0.001")
+        assert list(sc.statusTracker().getJobIdsForGroup(f"building {name}")) == []
+    sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_write_dashboard_makes_one_file(spark, tmp_path):
+    import json
+    from queuelens.plans import export
+    path = tmp_path / "dashboard data.json"
+    for text in ('{"a":1}', '{"a":2}'):                       # the second takes the place of the first
+        export.write_dashboard(spark.createDataFrame([(text,)], "document string"), str(path))
+        assert json.loads(path.read_text()) == json.loads(text)
+    assert [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["dashboard data.json"]
+
+
+def test_grains_keep_null_keys_apart_from_left_out_ones(spark):
+    from queuelens.plans.summary import VALUE, grains, value_counts
+    rows = spark.createDataFrame([("a", None, 1), ("a", "x", 2), (None, "x", 2), (None, None, 5)], "k string, m string, total int")
+    g = grains(rows, first=["k"], second=["m", "k"], values=["k", VALUE])
+    assert sorted(map(str, g["first"].frame.collect())) == sorted(
+        ["Row(k='a', total=3, records=2)", "Row(k=None, total=7, records=2)"])
+    assert g["second"].frame.count() == 4
+    assert {(r.k, r.total): r.cnt for r in value_counts(g["values"], "k").collect()} == {("a", 1): 1, ("a", 2): 1, (None, 2): 1, (None, 5): 1}
