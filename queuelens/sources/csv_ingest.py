@@ -1,8 +1,9 @@
 """Ingest of the yearly snapshot CSV files and the specialty mapping.
 
-Each yearly file is read as all-string columns (no schema inference), its
-header is normalised, and the files are appended by column name with
-missing columns padded with nulls. The year comes from the file name.
+All yearly files are read as strings (no schema inference) in one scan; every
+file's own header says which field is which column, so files with different
+headers are appended by column name, missing columns padded with nulls. One
+job finds all headers. The year comes from the file name.
 Cleaning stays in JVM expressions: whitespace strip, band normalisation,
 day-first date parsing, integer casts. Every input line ends up either clean
 or in a reject table with its reason: lines with extra or missing fields,
@@ -11,8 +12,8 @@ dates and totals that cannot be parsed or do not fit, damaged codes.
 
 from __future__ import annotations
 
+import csv
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,46 +47,67 @@ DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-MM-dd")
 _UNNAMED = re.compile(r"^(_c\d+|Unnamed.*|)$")
 REJECT_REASON = "_reject_reason"
 BAD_LINE, BROKEN = "_bad_line", "_broken"
+FEW_FILES = 100_000        # tables of so many files at most are broadcast
 WHOLE_NUMBERS = ("total", "specialty_hipe", "hospital_hipe")
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of one file; only its first line is read."""
-    return tuple(spark.read.option("header", True).option("inferSchema", False).csv(path).columns)
+def _first_lines(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """(path, header line) of every file, from one job over all of them; a line per file reaches the driver."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("place"))
+    first = (lines.filter((F.col("start") == 0) & (F.trim("value") != ""))
+             .groupBy("path").agg(F.min_by("value", "place").alias("line")))
+    return [(r["path"], r["line"]) for r in first.collect()]
+
+
+def _names(line: str) -> list[str]:
+    """Canonical column names of a header line, in its order."""
+    fields = next(csv.reader([line.lstrip("\ufeff")]))
+    return [HEADER_ALIASES.get(f.strip(), f.strip()) for f in fields]
 
 
 def _field_count(line: F.Column) -> F.Column:
     """Fields of a CSV line; commas inside quotes do not count."""
-    return F.size(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    plain = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))) + 1
+    return F.when(F.contains(line, F.lit('"')), F.size(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))).otherwise(plain)
 
 
-def _read_alike(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
-    """Files with one header in one scan; lines with too many or too few fields are marked."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, BAD_LINE)])
+def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All files as strings by canonical header, in one scan whatever their headers.
+
+    The scan reads fields by place, as many as the widest header has. A small
+    table says at which place each file has which column; every row looks its
+    places up by its file's name. Lines with too many or too few fields for
+    their own file's header are marked.
+    """
+    headers = [(path, _names(line)) for path, line in _first_lines(spark, paths)]
+    width = max((len(names) for _, names in headers), default=1)
+    columns = list(dict.fromkeys(n for _, names in headers for n in names if not _UNNAMED.match(n)))
+    rows = []
+    for path, names in headers:
+        named = [i for i, n in enumerate(names) if not _UNNAMED.match(n)]
+        rows.append((path, len(names), named[-1] + 1 if named else 0, [names.index(c) if c in names else None for c in columns]))
+    known = spark.createDataFrame(rows, "_path string, _fields int, _least int, _at array<int>")
+    schema = T.StructType([T.StructField(f"_f{i}", T.StringType()) for i in range(width)]
+                          + [T.StructField(BAD_LINE, T.StringType())])
     raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
            .option("columnPruning", False)            # a pruned line would not show its extra fields
            .option("columnNameOfCorruptRecord", BAD_LINE).csv(paths))
     # file names arrive URL-encoded ("inpatient%202018.csv"): decode before matching
     name = F.url_decode(F.col("_metadata.file_name"))
     year = F.nullif(F.regexp_extract(name, r"(\d{4})", 1), F.lit("")).cast("int")
-    fields = _field_count(F.col(BAD_LINE))
-    named = [i for i, c in enumerate(header) if not _UNNAMED.match(c.strip())]
-    broken = (F.when(F.col(BAD_LINE).isNull(), F.lit(None).cast("string"))
-              .when(fields > len(header), F.lit("extra fields"))
-              .when(fields < (named[-1] + 1 if named else 0), F.lit("missing fields"))
-              .when(fields == len(header), F.lit("malformed line")))
-    names = {i: HEADER_ALIASES.get(header[i].strip(), header[i].strip()) for i in named}
-    return raw.select(*(F.col(f"`{header[i]}`").alias(n) for i, n in names.items()),
-                      broken.alias(BROKEN), year.alias("year"))
-
-
-def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All files as strings by canonical header; the plan grows with the distinct headers, not the files."""
-    alike: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        alike.setdefault(_header(spark, p), []).append(p)
-    frames = [_read_alike(spark, h, ps) for h, ps in alike.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    raw = raw.select(F.array(*[f"_f{i}" for i in range(width)]).alias("_values"), BAD_LINE,
+                     year.alias("year"), F.col("_metadata.file_path").alias("_file"))
+    known = F.broadcast(known) if len(rows) <= FEW_FILES else known
+    raw = raw.join(known, F.col("_file") == F.col("_path"), "left")
+    # the reader marks every line that is shorter or longer than the widest header
+    fields = F.when(F.col(BAD_LINE).isNull(), F.lit(width)).otherwise(_field_count(F.col(BAD_LINE)))
+    broken = (F.when(fields > F.col("_fields"), F.lit("extra fields"))
+              .when(fields < F.col("_least"), F.lit("missing fields"))
+              .when(F.col(BAD_LINE).isNotNull() & (fields == width), F.lit("malformed line")))
+    return raw.select(*(F.get("_values", F.get("_at", F.lit(i))).alias(c) for i, c in enumerate(columns)),
+                      broken.alias(BROKEN), "year")
 
 
 def _parse_date(c) -> F.Column:
