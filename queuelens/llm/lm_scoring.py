@@ -19,21 +19,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import most_frequent, numbered, settle
+from queuelens.llm.common import most_frequent, numbered, settle, utf8
 from queuelens.llm.langid import held_out
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 STEP = np.uint64(0x9E3779B97F4A7C15)
+WORDS = 100_000                           # put through the lattice together
 FLOOR = 1e-9                              # probability that refitting leaves any piece
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Words between ASCII white space of a text in UTF-8, with A-Z lower-cased."""
+    return text.lower().split()
+
+
 def tokens(text: str | None) -> list[bytes]:
-    """Words between ASCII white space with A-Z lower-cased, in UTF-8."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+    return [] if text is None else words_of(text.encode("utf-8", "surrogatepass"))
 
 
 def _slot(h: np.ndarray, mask: int) -> np.ndarray:
@@ -134,7 +139,7 @@ class Pieces:
                 letters = np.frombuffer(raw, np.uint8).reshape(len(part), int(size) + 1)
                 ahead = np.full((len(part), int(size) + 2), -np.inf)
                 ahead[:, 0] = 0.0
-                kept = []
+                kept, used, shares = [], [], []
                 for i, j, rows, piece in self.arcs(letters):
                     ahead[rows, j] = np.logaddexp(ahead[rows, j], ahead[rows, i] + self.logp[piece])
                     if expected is not None:
@@ -147,8 +152,10 @@ class Pieces:
                 for i, j, rows, piece in reversed(kept):
                     through = self.logp[piece] + behind[rows, j]
                     behind[rows, i] = np.logaddexp(behind[rows, i], through)
-                    share = np.exp(ahead[rows, i] + through - ahead[rows, -1])
-                    expected += np.bincount(piece, weights=share, minlength=len(expected))
+                    used.append(piece)
+                    shares.append(np.exp(ahead[rows, i] + through - ahead[rows, -1]))
+                if used:                  # once per part: the counts are as long as the vocabulary
+                    expected += np.bincount(np.concatenate(used), weights=np.concatenate(shares), minlength=len(expected))
         return out
 
 
@@ -173,25 +180,42 @@ def load_pieces(path: str = VOCABULARY) -> Pieces:
     return Pieces(names, np.log(p / p.sum()))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = WORDS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``, as the lattice's arrays pay off on many words at once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def word_counts(docs: DataFrame, text: str, training: str, distinct: int = 500_000) -> DataFrame:
     """word, c: every distinct word of the table with its count in training rows."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary(), size=len(seen)),
+                                           pa.array(seen.values(), pa.int64(), size=len(seen))], ["word", "c"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for body, learn in zip(batch["_text"], batch["_train"]):
+            for body, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if learn:
-                    seen.update(tokens(body))
+                    seen.update(words_of(body))
                 else:
-                    for w in tokens(body):
+                    for w in set(words_of(body)):
                         seen[w] += 0
                 if len(seen) >= distinct:
-                    yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
+                    yield counted(seen)
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
+        yield counted(seen)
 
-    return (docs.select(F.col(text).cast("string").alias("_text"), F.col(training).alias("_train"))
-            .mapInPandas(count, "word binary, c long")
+    return (docs.select(utf8(text).alias("_text"), F.col(training).alias("_train"))
+            .mapInArrow(count, "word binary, c long")
             .groupBy("word").agg(F.sum("c").alias("c")))
 
 
@@ -233,14 +257,14 @@ def fit(counts: DataFrame, documents: int, pieces: Pieces, rounds: int = 1) -> L
     for _ in range(rounds):
         own = pieces
 
-        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def expect(batches: Iterator[pa.RecordBatch], own: Pieces = own) -> Iterator[pa.RecordBatch]:
             got = np.zeros(len(own.strings))
-            for batch in batches:
-                own.likelihood(batch["word"].tolist(), got)
+            for batch in gathered(batches):
+                own.likelihood(batch.column(0).to_pylist(), got)
             at = np.flatnonzero(got)
-            yield pd.DataFrame({"piece": at.astype("int32"), "e": got[at]})
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(got[at])], ["piece", "e"])
 
-        found = (seen.select("word").mapInPandas(expect, "piece int, e double")
+        found = (seen.select("word").mapInArrow(expect, "piece int, e double")
                  .groupBy("piece").agg(F.sum("e").alias("e")).collect())      # bounded by the vocabulary
         weight = np.zeros(len(pieces.strings))
         for r in found:
@@ -278,38 +302,53 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = 1
     frequent = dict(zip(words, zip(model.words(words, c).tolist(), model.base(c).tolist(), (c > 0).tolist())))
     end_lm, end_base, end_known = model.end(), float(model.base(np.array([float(documents)]))[0]), int(documents > 0)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["_row", "word", "m", "base", "lm", "known"]
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = (None, None, None)
         for batch in batches:
-            out = []
-            for row, body in zip(batch["_row"], batch["_text"]):
-                lm, base, known, n = end_lm, end_base, end_known, 1
-                for w, m in Counter(tokens(body)).items():
+            rest: list[bytes] = []                # words not in the table, document after document
+            times: list[int] = []
+            sizes, sums = [], []
+            ids = batch.column(0).to_pylist()
+            for at, body in enumerate(batch.column(1).to_pylist()):
+                lm, base, known, n, first = end_lm, end_base, end_known, 1, len(rest)
+                for w, m in Counter(words_of(body)).items():
                     n += m
-                    hit = frequent.get(w)
-                    if hit is None:
-                        out.append((row, w, m, 0.0, 0.0, 0))
+                    hit_lm, hit_base, hit_known = frequent.get(w, nothing)
+                    if hit_lm is None:
+                        rest.append(w)
+                        times.append(m)
                     else:
-                        lm += m * hit[0]
-                        base += m * hit[1]
-                        known += m * hit[2]
-                # no word has a blank, so this row meets none and rows spread
-                out.append((row, b" %d" % row, n, base, lm, known))
-                if len(out) >= 100_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            yield pd.DataFrame(out, columns=names)
-
-    def price(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            c = batch["c"].to_numpy().astype(float)
-            batch["w_lm"], batch["w_base"] = model.words(batch["word"].tolist(), c), model.base(c)
-            yield batch
-
-    priced = (counts.mapInPandas(price, "word binary, c long, w_lm double, w_base double")
+                        lm += m * hit_lm
+                        base += m * hit_base
+                        known += m * hit_known
+                sizes.append(len(rest) - first)
+                sums.append((n, base, lm, known))
+                if len(rest) >= 200_000 or at + 1 == len(ids):
+                    own = np.array(ids[at + 1 - len(sizes):at + 1], np.int64)
+                    n_, base_, lm_, known_ = (np.array(c) for c in zip(*sums))
+                    none = np.zeros(len(rest))
+                    # no word has a blank, so a document's own row meets none and rows spread
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([np.repeat(own, sizes), own])),
+                         pa.array(rest + [b" %d" % row for row in own.tolist()], pa.binary()),
+                         pa.array(np.concatenate([np.array(times, np.int64), n_.astype(np.int64)])),
+                         pa.array(np.concatenate([none, base_.astype(float)])),
+                         pa.array(np.concatenate([none, lm_.astype(float)])),
+                         pa.array(np.concatenate([none.astype(np.int64), known_.astype(np.int64)]))],
+                        ["_row", "word", "m", "base", "lm", "known"])
+                    rest, times, sizes, sums = [], [], [], []
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
+            c = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            lm = model.words(batch.column(0).to_pylist(), c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lm), pa.array(model.base(c))],
+                                             ["word", "c", "w_lm", "w_base"])
+
+    priced = (counts.mapInArrow(price, "word binary, c long, w_lm double, w_base double")
               .select(F.col("word").alias("_w"), "w_lm", "w_base", (F.col("c") > 0).cast("int").alias("w_known")))
     own = F.col("_w").isNull()
-    sums = (rows.select("_row", "_text").mapInPandas(split, ROW)
+    sums = (rows.select("_row", utf8("_text").alias("_text")).mapInArrow(split, ROW)
             .join(priced, F.col("word") == F.col("_w"), "left")
             .groupBy("_row").agg(
                 F.sum(F.when(own, F.col("m"))).alias("n_tokens"),

@@ -78,6 +78,31 @@ def test_documents_against_sums_over_words(odd):
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
 
+def test_score_against_the_model_fitted_in_one_place(odd):
+    rows = odd.collect()
+    train = Counter(t for r in rows if not held(r.doc_id) for t in tokens(r.text))
+    ends = sum(not held(r.doc_id) for r in rows)
+    pieces = load_pieces()
+    for _ in range(4):
+        expected = np.zeros(len(pieces.strings))
+        for w in sorted(train):                                      # one word at a time
+            pieces.likelihood([w], expected)
+        pieces = pieces.weighted(expected)
+    n, v = sum(train.values()) + ends, len(train) + 1
+    one, two = (sum(c == k for c in train.values()) for k in (1, 2))
+    d = min(max(one / (one + 2 * two) if one and two else 0.5, 0.05), 0.95)
+
+    def log10_of(c, base):
+        return math.log10(max(c - d, 0) / n + d * v / n * base)
+
+    own = {w: log10_of(train[w], math.exp(pieces.likelihood([w])[0]) * v / (v + 1))
+           for w in {t for r in rows for t in tokens(r.text)}}
+    end = log10_of(ends, 1 / (v + 1))
+    want = Counter((r.doc_id, round(sum(own[w] for w in tokens(r.text)) + end, 3)) for r in rows)
+    for head in (10, 1 << 16):
+        assert Counter((r.doc_id, round(r.score, 3)) for r in score_documents(odd, head=head).collect()) == want
+
+
 def test_scores_do_not_depend_on_the_table_of_frequent_words(odd):
     few, many = ({(r.doc_id, r.n_tokens, round(r.score, 6)) for r in score_documents(odd, head=head).collect()}
                  for head in (10, 1 << 16))
