@@ -304,8 +304,8 @@ SELECT {S.rnd('r', 6)} AS r, n, {S.rnd(_corr_sql('r', 'n'), P_DIGITS)} AS p_valu
 
 # All orders of the two samples of a specialty, one bit per place in the order of totals.
 SQL["mann_whitney_years"] = S.with_adapter(f"""
-SELECT specialty_name, u, n1, n2, exact, {S.rnd(f"CASE WHEN exact THEN least(1.0, 2.0 * below / every) ELSE {_normal_sql('z')} END", P_DIGITS)} AS p_value
-FROM (SELECT s.*, tt = 0 AS exact,
+SELECT specialty_name, u, n1, n2, exact, {S.rnd(f"CASE WHEN u IS NULL THEN NULL WHEN exact THEN least(1.0, 2.0 * below / every) ELSE {_normal_sql('z')} END", P_DIGITS)} AS p_value
+FROM (SELECT s.*, tt = 0 AND n1 IS NOT NULL AND n2 IS NOT NULL AS exact,
              greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0.0)
                / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z,
              w.below, w.every
