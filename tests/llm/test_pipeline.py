@@ -67,7 +67,7 @@ def test_stages_keep_columns_and_take_empty_tables(spark, folder):
 
 
 def test_registered_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(SQL) <= set(QUERIES)
 
 
