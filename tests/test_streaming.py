@@ -39,3 +39,24 @@ def test_incremental_ingest(spark):
     q.awaitTermination(120)
     fresh = read_fact_store(spark, store, INPATIENT_SCHEMA).collect()
     assert sorted((r["year"], r["total"]) for r in fresh) == [(2018, 5), (2019, 7), (2019, 9)]
+
+
+def test_older_file_arriving_later_loses_and_old_rejects_go(spark):
+    base = tempfile.mkdtemp(prefix="ql-stream-")
+    src, store, ckpt, rej = (os.path.join(base, p) for p in ("in", "store", "ckpt", "rejects"))
+    os.makedirs(src)
+
+    def take(name, rows, modified):
+        _drop(src, name, rows)
+        os.utime(os.path.join(src, name), (modified, modified))
+        start_fact_ingest(spark, src, store, ckpt, reject_dir=rej).awaitTermination(120)
+        facts = read_fact_store(spark, store, INPATIENT_SCHEMA).collect()
+        return sorted((r["year"], r["total"]) for r in facts), spark.read.schema("_reject_reason string, year int").parquet(rej).count()
+
+    good = "28/02/2019,G,1,11,Urology,Day Case,Child,0-15,3-6 Months,"
+    assert take("inpatient 2019 r2.csv", [good + "7", "bad," + good + "1"], 2_000_000) == ([(2019, 7)], 1)
+    # last modified before the file that was taken: nothing changes, its own reject is not kept either
+    assert take("inpatient 2019.csv", [good + "1", "bad," + good + "1", "worse," + good + "1"], 1_000_000) == ([(2019, 7)], 1)
+    assert take("inpatient 2018.csv", [good.replace("2019", "2018") + "2"], 500_000) == ([(2018, 2), (2019, 7)], 1)
+    # a newer, clean file: the year's old rejects go
+    assert take("inpatient 2019 r3.csv", [good + "8", good + "9"], 3_000_000) == ([(2018, 2), (2019, 8), (2019, 9)], 0)
