@@ -51,7 +51,7 @@ def _stored(docs: DataFrame) -> bool:
 
 def _by_number(path: str) -> list:
     """Sort key of a file name that has part-2 before part-10."""
-    return [int(s) if s.isdecimal() else s for s in re.split(r"([0-9]+)", path)]
+    return [int(s) if i % 2 else s for i, s in enumerate(re.split(r"([0-9]+)", path))]
 
 
 def numbered(docs: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import os
+import zlib
 from collections import Counter
 
 import pytest
@@ -96,18 +97,83 @@ def test_unwanted_payloads_are_neither_read_nor_decompressed():
     reader = WarcReader.__new__(WarcReader)
     reader.fields, reader.payload, reader.accepted = ["record_type", "payload"], True, {"record_type": frozenset(["b"])}
     f = Watched(data)
-    assert list(reader._records(f, len(data))) == [("b", body)]
+    assert list(reader._records(f, "x")) == [("b", body)]
     assert f.seen < 220_000
     reader.payload, reader.accepted, f = False, {}, Watched(data)
-    assert [t for t, _ in reader._records(f, len(data))] == ["a", "b", "a"] and f.seen < 20_000
+    assert [t for t, _ in reader._records(f, "x")] == ["a", "b", "a"] and f.seen < 20_000
 
 
 def test_long_headers_and_damage():
     long = record_bytes({"record_type": "response", "target_uri": "http://" + "".join(map(str, range(9000)))}, b"p")
     reader = WarcReader.__new__(WarcReader)
     reader.fields, reader.payload, reader.accepted = ["target_uri", "payload"], True, {}
-    (uri, payload), = reader._records(Watched(long), len(long))
+    (uri, payload), = reader._records(Watched(long), "x")
     assert len(uri) > 30_000 and payload == b"p"
     with pytest.raises(Exception):
-        list(reader._records(Watched(long[:50]), 50))
+        list(reader._records(Watched(long[:50]), "x"))
     assert "payload binary" in SCHEMA
+
+
+def foreign(kind, uri, block, extra=""):
+    return (f"WARC/1.0\r\nwarc-type:{kind}\r\nWARC-Target-URI: {uri}\r\n{extra}"
+            f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+HTTP = "Content-Type: application/http;\r\n msgtype=response\r\n"
+BODY = b"<p>\r\n\r\n</p>" + bytes(range(256)) * 2000
+FOREIGN = [foreign("warcinfo", "http://a/0", b"software: x"),
+           foreign("response", "http://a/1", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + BODY, HTTP),
+           foreign("resource", "http://a/2", BODY), foreign("response", "http://a/3", b"")]
+FOUND = [("warcinfo", "http://a/0", 11, b"software: x"), ("response", "http://a/1", None, BODY),
+         ("resource", "http://a/2", len(BODY), BODY), ("response", "http://a/3", 0, b"")]
+
+
+@pytest.mark.parametrize("data", [
+    b"".join(FOREIGN), b"".join(map(gzip.compress, FOREIGN)), gzip.compress(b"".join(FOREIGN)),
+    gzip.compress(FOREIGN[0]) + record_bytes({"record_type": "own"}, BODY) + b"".join(map(gzip.compress, FOREIGN[1:]))],
+    ids=["plain", "by record", "as a whole", "mixed"])
+def test_archives_of_other_writers(spark, tmp_path, data):
+    (tmp_path / ("a.warc.gz" if data[:2] == b"\x1f\x8b" else "a.warc")).write_bytes(data)
+    (tmp_path / "notes.txt").write_bytes(b"no archive")
+    names = ["record_type", "target_uri", "payload_bytes", "payload"]
+    rows = [tuple(r) for r in read_archives(spark, str(tmp_path)).filter("record_type <> 'own'").select(*names).collect()]
+    assert [(*r[:3], bytes(r[3])) for r in rows] == FOUND
+    heads = read_archives(spark, str(tmp_path), payload=False).filter("record_type <> 'own'").select(*names).collect()
+    assert [tuple(r)[:3] for r in heads] == [r[:3] for r in FOUND]
+    some = read_archives(spark, str(tmp_path)).filter("record_type = 'response'").select(*names).collect()
+    assert [(*tuple(r)[:3], bytes(r.payload)) for r in some] == [r for r in FOUND if r[0] == "response"]
+
+
+def test_one_file_is_read_by_its_path(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"".join(FOREIGN))
+    assert read_archives(spark, str(tmp_path / "a.bin")).count() == 4
+
+
+def test_every_record_is_one_member():
+    data, n = b"".join(record_bytes({"record_type": "response"}, b"x" * k) for k in (0, 5, 70_000)), 0
+    while data:
+        inflate = zlib.decompressobj(31)
+        text = inflate.decompress(data)
+        assert inflate.eof and text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n")
+        data, n = inflate.unused_data, n + 1
+    assert n == 3
+
+
+@pytest.mark.parametrize("data", [
+    b"no archive at all", gzip.compress(b"no archive"), b"".join(FOREIGN)[:-300_000], gzip.compress(b"".join(FOREIGN))[:-30],
+    b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", gzip.compress(FOREIGN[0]) + b"rest",
+    record_bytes({}, BODY)[:900]],
+    ids=["text", "packed text", "cut", "packed and cut", "no length", "rest", "own and cut"])
+@pytest.mark.parametrize("payload", [True, False])
+def test_malformed_files_are_named(data, payload):
+    reader = WarcReader.__new__(WarcReader)
+    reader.fields, reader.payload, reader.accepted = ["record_type"], payload, {}
+    with pytest.raises(ValueError, match="^some.warc: after"):
+        list(reader._records(Watched(data), "some.warc"))
+
+
+def test_keys_of_other_types(stored):
+    keys = ["a b", "é/1", "null", "", None, "<x>\r\n"]
+    pages = stored([(k, f"u{i}", f"h{i}") for i, k in enumerate(keys)], "page_id string, url string, html string")
+    got = {r.target_uri: r.page_id for r in archive_round_trip(pages).collect()}
+    assert got == {f"u{i}": k for i, k in enumerate(keys)}
