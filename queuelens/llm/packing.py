@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuelens.llm.common import group_slots, numbered, settle
@@ -11,42 +11,49 @@ from queuelens.llm.common import group_slots, numbered, settle
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def grid_edge(n: Column, bits: int = 7) -> Column:
-    """``n`` rounded up to ``bits`` + 1 leading binary digits (exact up to 2^(bits+1)).
+def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+    """Upper bounds of at most ``buckets`` ranges of ``lengths`` with the least padding in total.
 
-    There are at most 2^(bits+1) + 2^bits * 63 such values, whatever the data.
-    """
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(n.cast("double"))) - bits)).cast("long")
-    return (F.ceil(n / step) * step).cast("long")
-
-
-def best_bounds(edges: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds of at most ``buckets`` ranges of ``edges`` with the least padding in total.
-
-    best[k][j] = min over i of best[k-1][i] + edges[j-1] * (rows in i..j-1);
+    best[k][j] = min over i of best[k-1][i] + length[j-1] * (rows in i..j-1);
     what the rows hold themselves is the same for any choice and left out.
+    For one j the terms are lines over the length, whose slopes fall with i,
+    so the lowest line only moves on as the length grows and a round takes
+    time in proportion to the lengths. All numbers are whole and exact. Of
+    equal choices the one with fewer buckets, then the smallest i, is taken.
     """
-    h = len(edges)
+    h = len(lengths)
     if h == 0:
         return []
-    rows = np.concatenate([[0.0], np.cumsum(counts.astype(np.float64))])
-    best = edges.astype(np.float64)[np.arange(h)] * rows[1:]
-    best = np.concatenate([[0.0], best])
-    cuts = [np.zeros(h + 1, np.int64)]
+    edges, rows = [int(e) for e in lengths], [0]
+    for c in counts:
+        rows.append(rows[-1] + int(c))
+    best = [0] + [e * r for e, r in zip(edges, rows[1:])]
+    cuts = [np.zeros(h + 1, np.int32)]
     for _ in range(1, min(buckets, h)):
-        now, cut = best.copy(), np.full(h + 1, -1, np.int64)
-        for j in range(1, h + 1):
-            cost = best[:j] + edges[j - 1] * (rows[j] - rows[:j])
-            i = int(np.argmin(cost))
-            if cost[i] < now[j]:
-                now[j], cut[j] = cost[i], i
+        now, cut = best.copy(), np.full(h + 1, -1, np.int32)
+        lines, first = [], 0                                   # i of the lines that are lowest somewhere
+        for j, e in enumerate(edges, 1):
+            i = j - 1
+            while len(lines) - first >= 2:
+                a, b = lines[-2], lines[-1]
+                if (best[i] - best[b]) * (rows[b] - rows[a]) > (best[b] - best[a]) * (rows[i] - rows[b]):
+                    break
+                lines.pop()                                    # nowhere below both its neighbours
+            lines.append(i)
+            while first + 1 < len(lines) and (best[lines[first + 1]] - e * rows[lines[first + 1]]
+                                              < best[lines[first]] - e * rows[lines[first]]):
+                first += 1
+            i = lines[first]
+            cost = best[i] + e * (rows[j] - rows[i])
+            if cost < now[j]:
+                now[j], cut[j] = cost, i
         best = now
         cuts.append(cut)
     bounds, j, k = [], h, len(cuts) - 1
     while j > 0:
         while cuts[k][j] < 0:                # as good with a bucket fewer
             k -= 1
-        bounds.append(int(edges[j - 1]))
+        bounds.append(edges[j - 1])
         j = int(cuts[k][j])
         k = max(k - 1, 0)
     return bounds[::-1]
@@ -57,23 +64,23 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16384, key: str = "do
     """Every row with its length bucket and its batch there.
 
     Length is the number of words between ASCII white space (null or empty
-    text: 0 words, padded like one). Rows are told apart by the grid, whose
-    size is bounded whatever the rows; of all bounds between its steps those
-    with the least padding are taken, and a bucket is as long as its longest row. A batch holds as many rows as fit ``budget`` padded tokens, at
-    least one, so a text over the budget has a batch to itself. The batches of
-    a bucket take its rows in the order in which the table was written, however
-    its scan is split. Ties and repeated rows are packed one by one; an empty
-    table gives no rows.
+    text: 0 words, padded like one). The bounds are those with the least
+    padding of all, from the histogram of all lengths, which is gathered on the
+    driver: d distinct lengths take at least d * d / 2 words, so 10^13 words
+    have 4.5 million at most (two longs each). A batch holds as many rows as
+    fit ``budget`` padded tokens, at least one, so a text over the budget has a
+    batch to itself. The batches of a bucket take its rows in the order in
+    which the table was written, however its scan is split. Ties and repeated
+    rows are packed one by one, very long texts are counted whole; an empty
+    table gives no rows; other columns, whatever their names, are left out.
     """
     if buckets < 1 or budget < 1:
         raise ValueError("buckets and budget must be at least 1")
     n = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     rows, at = numbered(docs.select(F.col(key).alias("_key"), n.alias("n_tokens")))
-    rows = settle(rows.withColumn("_edge", grid_edge(F.greatest(F.col("n_tokens"), F.lit(1)))))
-    longest = F.max(F.greatest(F.col("n_tokens"), F.lit(1)))
-    seen = rows.groupBy("_edge").agg(longest.alias("most"), F.count("*").alias("n")).collect()       # bounded by grid_edge
-    seen = sorted((r["most"], r["n"]) for r in seen)
-    bounds = best_bounds(np.array([e for e, _ in seen], np.int64), np.array([c for _, c in seen]), buckets)
+    rows = settle(rows)
+    seen = rows.groupBy(F.greatest(F.col("n_tokens"), F.lit(1)).alias("length")).agg(F.count("*").alias("n")).orderBy("length").toArrow()
+    bounds = best_bounds(seen["length"].to_numpy(), seen["n"].to_numpy(), buckets)
     place = F.lit(None).cast("int")
     for i, b in reversed(list(enumerate(bounds))):
         place = F.when(F.col("n_tokens") <= b, F.lit(i)).otherwise(place)

@@ -126,7 +126,46 @@ def codes_sql(rounds: int = 6) -> str:
         FROM coded JOIN kept USING (vec_id)"""
 
 
+def buckets_sql(buckets: int = 16, budget: int = 16384) -> str:
+    """The recurrence over all cuts, a step per bucket; the test tables are stored in the order of doc_id."""
+    steps = []
+    for k in range(1, buckets):
+        steps.append(f"""try{k} AS MATERIALIZED (
+            SELECT a.j, min((b.best + a.e * (a.upto - b.upto)) * 16777216 + b.j) AS found
+            FROM step{k - 1} a JOIN step{k - 1} b ON b.j < a.j GROUP BY a.j),
+        step{k} AS MATERIALIZED (
+            SELECT s.j, s.e, s.upto, least(s.best, found // 16777216) AS best,
+                   CASE WHEN found // 16777216 < s.best THEN {k} ELSE s.k END AS k,
+                   CASE WHEN found // 16777216 < s.best THEN found % 16777216 ELSE s.i END AS i
+            FROM step{k - 1} s LEFT JOIN try{k} USING (j))""")
+    path = " UNION ALL ".join(f"SELECT {k} AS upto_k, j, k, i FROM step{k}" for k in range(buckets))
+    return f"""
+        WITH RECURSIVE rows AS MATERIALIZED (
+            SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+        seen AS (SELECT greatest(n_tokens, 1) AS e, count(*) AS n FROM rows GROUP BY 1),
+        step0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY e) AS HUGEINT) AS j, CAST(e AS HUGEINT) AS e, sum(n) OVER (ORDER BY e) AS upto,
+                   e * sum(n) OVER (ORDER BY e) AS best, 0 AS k, CAST(0 AS HUGEINT) AS i
+            FROM seen UNION ALL SELECT 0, 0, 0, 0, 0, 0),
+        {", ".join(steps)},
+        path AS MATERIALIZED ({path}),
+        back AS (
+            SELECT max(j) AS j, {buckets - 1} AS k FROM step0
+            UNION ALL SELECT p.i, greatest(p.k - 1, 0) FROM back b JOIN path p ON p.j = b.j AND p.upto_k = b.k WHERE b.j > 0),
+        bounds AS (
+            SELECT CAST(e AS BIGINT) AS bucket_len, CAST(row_number() OVER (ORDER BY e) - 1 AS INTEGER) AS bucket,
+                   lag(e, 1, 0) OVER (ORDER BY e) AS above FROM back JOIN step0 USING (j) WHERE j > 0),
+        placed AS (
+            SELECT doc_id, n_tokens, bucket, bucket_len, greatest(1, {budget} // bucket_len) AS fit,
+                   row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS slot
+            FROM rows JOIN bounds ON greatest(n_tokens, 1) > above AND greatest(n_tokens, 1) <= bucket_len)
+        SELECT doc_id, n_tokens, bucket, bucket_len, CAST(slot // fit AS BIGINT) AS batch,
+               CAST(slot % fit AS INTEGER) AS batch_row, bucket_len - n_tokens AS padding
+        FROM placed"""
+
+
 SQL = {
+    "op9_length_buckets": buckets_sql(),
     "op11_bloom_cascade": """
         WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
         a AS (SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

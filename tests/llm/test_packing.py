@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from queuelens.llm.packing import best_bounds, grid_edge, pack
+from queuelens.llm.packing import best_bounds, pack
 
 
 def padding(edges, counts, bounds):
@@ -24,11 +24,39 @@ def test_bounds_are_optimal(seed):
         assert padding(edges, counts, got) == best
 
 
-def test_grid(spark):
-    from pyspark.sql import functions as F
-    rows = spark.range(1, 70_000).select("id", grid_edge(F.col("id")).alias("e")).collect()
-    assert all(r.e >= r.id and (r.e == r.id or r.e <= r.id * 1.01) for r in rows)
-    assert all(r.e == r.id for r in rows if r.id <= 256)
+def plain_bounds(edges, counts, buckets):
+    """The same recurrence over all cuts, with the same choice among equals."""
+    rows = [0, *itertools.accumulate(counts)]
+    best, cuts = [0] + [e * r for e, r in zip(edges, rows[1:])], [[0] * (len(edges) + 1)]
+    for _ in range(1, min(buckets, len(edges))):
+        now, cut = best.copy(), [-1] * (len(edges) + 1)
+        for j, e in enumerate(edges, 1):
+            cost, i = min((best[i] + e * (rows[j] - rows[i]), i) for i in range(j))
+            if cost < now[j]:
+                now[j], cut[j] = cost, i
+        best = now
+        cuts.append(cut)
+    bounds, j, k = [], len(edges), len(cuts) - 1
+    while j > 0:
+        k = max(x for x in range(k + 1) if cuts[x][j] >= 0)
+        bounds.append(edges[j - 1])
+        j, k = cuts[k][j], max(k - 1, 0)
+    return bounds[::-1]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_many_lengths_and_ties(seed):
+    rng = random.Random(seed)
+    n = rng.choice([1, 2, 40, 150])
+    edges = sorted(rng.sample(range(1, 2 * n + 2), n)) if seed % 2 else [e * 10**6 for e in range(1, n + 1)]
+    counts = [rng.choice([1, 1, 2, 3, 10**12 if seed % 5 == 0 else 7]) for _ in edges]
+    for k in (1, 2, 7, 16, 200):
+        assert best_bounds(np.array(edges), np.array(counts), k) == plain_bounds(edges, counts, k)
+
+
+def test_two_hundred_thousand_lengths():
+    got = best_bounds(np.arange(1, 200_001), np.ones(200_000, np.int64), 4)
+    assert got == [50_000, 100_000, 150_000, 200_000]
 
 
 def test_pack(odd, none):

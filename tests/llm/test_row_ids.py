@@ -91,3 +91,8 @@ def test_scores_belong_to_their_keys(spark, table, split):
     got = score_documents(docs)
     split(1)
     assert {r.doc_id: round(r.score, 6) for r in got.collect()} == want
+
+
+def test_file_names_with_other_digits():
+    from queuelens.llm.common import _by_number
+    assert sorted(["a٣b", "a10b", "a2b", "ab"], key=_by_number) == ["a2b", "a10b", "ab", "a٣b"]
