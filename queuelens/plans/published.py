@@ -11,6 +11,7 @@ from queuelens.functions.constants import ELDERLY_AGE, PATIENT_TYPES
 from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
 from queuelens.operators.model import WaitingList, drop_null_age, waiting_list
+from queuelens.operators.quantiles import wide_percentiles
 from queuelens.operators.ranktests import spearman
 from queuelens.plans import sqlkit as S
 from queuelens.plans.products import _corr_sql, _fmt_sql, corr_long
@@ -377,6 +378,25 @@ FROM combined c JOIN (SELECT patient_type, quantile_cont(total, 0.98) AS clip_at
 GROUP BY c.patient_type, p.clip_at""")
 
 
+MONTHLY_PROBS = {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+def monthly_total_percentiles(wl: WaitingList, o: Options = Options()) -> DataFrame:
+    """Spread of the specialties' monthly totals per type. Sums hardly repeat, so that their distinct values
+    are as many as the rows: the percentiles come from ranges of them."""
+    sums = wl.view(o.drop_null_age).groupBy("patient_type", "specialty_name", "year_month").agg(F.sum("total").alias("monthly"))
+    found = wide_percentiles(D.value_counts(sums, ["patient_type"], "monthly"), ["patient_type"], "monthly",
+                             list(MONTHLY_PROBS.values()))
+    return found.select("patient_type", *(M.round_half(f"p{i}", 4).alias(name) for i, name in enumerate(MONTHLY_PROBS)))
+
+
+SQL["monthly_total_percentiles"] = S.with_adapter(
+    "SELECT patient_type, " + ", ".join(f"{S.rnd(f'quantile_cont(monthly, {p})', 4)} AS {name}" for name, p in MONTHLY_PROBS.items())
+    + " FROM sums GROUP BY patient_type",
+    ctes="""sums AS (SELECT patient_type, specialty_name, year_month, CAST(SUM(total) AS DOUBLE) AS monthly
+FROM vw_waiting_list_full GROUP BY patient_type, specialty_name, year_month)""")
+
+
 def human_format(wl: WaitingList, o: Options = Options()) -> DataFrame:
     t = wl.combined().groupBy("patient_type", "specialty_name").agg(F.sum("total").alias("total_patients"))
     return t.withColumn("label", M.human_format("total_patients"))
@@ -404,5 +424,6 @@ PUBLISHED = {
     "fk_orphans": fk_orphans,
     "hipe_missing": hipe_missing,
     "winsorised_total": winsorised_total,
+    "monthly_total_percentiles": monthly_total_percentiles,
     "human_format": human_format,
 }
