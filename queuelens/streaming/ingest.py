@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from queuelens.sources.csv_ingest import REJECT_REASON, clean_facts, read_raw
+from queuelens.sources.snapshots import publish
 
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
@@ -69,14 +70,16 @@ def _drop_years(spark: SparkSession, folder: str, years: list[str]) -> None:
 def start_fact_ingest(spark: SparkSession, source_dir: str, store_dir: str, checkpoint_dir: str,
                       with_case_type: bool = True, available_now: bool = True,
                       reject_dir: str | None = None, pattern: str = "*.csv",
-                      files_per_batch: int = 16) -> StreamingQuery:
+                      files_per_batch: int = 16, snapshots: bool = False) -> StreamingQuery:
     """Stream yearly CSV files from ``source_dir`` into ``store_dir``.
 
     The file stream only tracks which files are new (the ``binaryFile``
     source with the content column pruned away); each micro-batch then reads
     its new files with the batch CSV reader, so per-file header variants are
     handled exactly as in batch ingest. Only the list of new file paths
-    reaches the driver.
+    reaches the driver. With ``snapshots`` the facts, and likewise the rejects,
+    of all years of a batch change in one step, and are read with
+    ``sources.snapshots.read_snapshot``.
     """
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
@@ -103,6 +106,9 @@ def start_fact_ingest(spark: SparkSession, source_dir: str, store_dir: str, chec
         if reject_dir:
             parts.append((reject_dir, cleaned.filter(F.col(REJECT_REASON).isNotNull())))
         for folder, rows in parts:
+            if snapshots:
+                publish(rows, folder, [y for y in latest if y.isdecimal()])
+                continue
             _drop_years(spark, folder, [y for y in latest if y.isdecimal()])
             (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("year").parquet(folder))

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+from queuelens.sources import snapshots
 from queuelens.sources.store import INPATIENT_SCHEMA, read_fact_store
 from queuelens.streaming import start_fact_ingest
 
@@ -60,3 +61,23 @@ def test_older_file_arriving_later_loses_and_old_rejects_go(spark):
     assert take("inpatient 2018.csv", [good.replace("2019", "2018") + "2"], 500_000) == ([(2018, 2), (2019, 7)], 1)
     # a newer, clean file: the year's old rejects go
     assert take("inpatient 2019 r3.csv", [good + "8", good + "9"], 3_000_000) == ([(2018, 2), (2019, 8), (2019, 9)], 0)
+
+
+def test_batches_as_snapshots(spark):
+    base = tempfile.mkdtemp(prefix="ql-stream-")
+    src, store, ckpt, rej = (os.path.join(base, p) for p in ("in", "store", "ckpt", "rejects"))
+    os.makedirs(src)
+    good = "28/02/2019,G,1,11,Urology,Day Case,Child,0-15,3-6 Months,"
+    _drop(src, "inpatient 2019.csv", [good + "7", "bad," + good + "1"])
+    _drop(src, "inpatient 2018.csv", [good.replace("2019", "2018") + "2"])
+    start_fact_ingest(spark, src, store, ckpt, reject_dir=rej, snapshots=True).awaitTermination(120)
+    assert snapshots.versions(spark, store) == [1]              # both years in one step
+    _drop(src, "inpatient 2019 r2.csv", [good + "8"])
+    start_fact_ingest(spark, src, store, ckpt, reject_dir=rej, snapshots=True).awaitTermination(120)
+
+    def facts(version=None):
+        rows = snapshots.read_snapshot(spark, store, INPATIENT_SCHEMA, version).collect()
+        return sorted((r["year"], r["total"]) for r in rows)
+
+    assert facts() == [(2018, 2), (2019, 8)] and facts(1) == [(2018, 2), (2019, 7)]
+    assert not snapshots.manifest(spark, rej) and snapshots.versions(spark, rej) == [1, 2]
