@@ -72,3 +72,49 @@ def test_odd_rows(odd, none, stored):
     assert classify(none, labels, F.col("source"), F.col("lang")).collect() == []
     unlabelled = classify(odd, labels.limit(0), F.col("source"), F.col("lang")).collect()
     assert {round(r.evidence, 9) for r in unlabelled} == {0.0}
+
+
+def test_posteriors_match_plain_python(site):
+    """Rates, strengths by moments and scores, computed anew from each document's evidence."""
+    import math
+    docs, labels, rows = site
+    got = {r.doc_id: r for r in classify(docs, labels, F.col("host"), F.col("path")).collect()}
+    taught = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and r.doc_id in got:
+            taught[r.doc_id] = max(taught.get(r.doc_id, 0), r.quality)
+    prior = (sum(taught.values()) + 1) / (len(taught) + 2)
+    p = {i: 1 / (1 + math.exp(-(r.evidence + math.log(prior / (1 - prior))))) for i, r in got.items()}
+    hosts, paths = {}, {}
+    for i, _, h, s in rows:
+        hosts.setdefault(h, []).append(p[i])
+        paths.setdefault((h, s), []).append(p[i])
+
+    def strength(groups, rate_of, rate):
+        n = sum(map(len, groups.values()))
+        over = sum(len(v) * (sum(v) / len(v) - rate_of(k)) ** 2 - rate_of(k) * (1 - rate_of(k)) for k, v in groups.items()) / n
+        return min(max(rate * (1 - rate) / over - 1, 1.0), 1e4) if over > 0 else 1e4
+
+    rate = sum(p.values()) / len(p)
+    outer = strength(hosts, lambda _: rate, rate)
+    host_rate = {h: (sum(v) + outer * rate) / (len(v) + outer) for h, v in hosts.items()}
+    inner = strength(paths, lambda k: host_rate[k[0]], rate)
+    for i, _, h, s in rows:
+        v = paths[h, s]
+        own = (sum(v) - p[i] + inner * host_rate[h]) / (len(v) - 1 + inner)
+        score = 1 / (1 + math.exp(-(got[i].evidence + math.log(own / (1 - own)))))
+        assert got[i].host_rate == pytest.approx(host_rate[h]) and got[i].path_rate == pytest.approx(own)
+        assert got[i].score == pytest.approx(score) and got[i].kept == (got[i].score >= 0.5)
+
+
+def test_held_out_labels(spark):
+    """Learned from four fifths of the labels, judged on the other fifth."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    got = classify(docs, labels.filter(~out), F.col("source"), F.col("lang"))
+    seen = labels.filter(out).select(F.col("doc_id").alias("_d"), F.col("quality").cast("int").alias("_y"))
+    n = {(r["_y"], r["kept"]): r["count"] for r in got.join(seen, F.col("doc_id") == F.col("_d")).groupBy("_y", "kept").count().collect()}
+    print("held out (good?, kept):", n)
+    bad, good = n.get((0, True), 0) + n.get((0, False), 0), n.get((1, True), 0) + n.get((1, False), 0)
+    assert bad > 50 and good > 300
+    assert n.get((0, True), 0) <= 0.1 * bad and n.get((1, False), 0) <= 0.02 * good
