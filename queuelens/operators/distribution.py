@@ -11,8 +11,9 @@ adds to one counter per map task.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from queuelens.functions import measures as M
@@ -155,32 +156,51 @@ def box_stats(vc: DataFrame, keys: list[str], value: str = "x", whis: float = 1.
 
 
 def gaussian_kde(vc: DataFrame, keys: list[str], value: str = "x", points: int = 100,
-                 carry: dict | None = None) -> DataFrame:
+                 cells: int = 16384) -> DataFrame:
     """Gaussian kernel density on ``points`` evenly spaced coordinates between
     each key's min and max, Scott bandwidth (n^-1/5 times the sample std).
 
-    Per-key n, range, mean and spread are windows over the value-count
-    table; each distinct value is then expanded ``points`` times (a fixed
-    factor) and the kernel contributions are summed per (key, point).
-    ``carry`` maps names to functions of the per-key window spec (see ``histogram``).
+    Each key's values go to ``cells`` equal cells of its range, of which the
+    weight, the mean and the spread are kept; a cell adds its kernel at the
+    mean and the kernel's second derivative times half the spread. So the work
+    after the value counts is cells x points per key, however many distinct
+    values there are, and windows hold a key's cells, not its values. A cell
+    with one distinct value is exact; otherwise the third-order rest is at
+    most 0.0115 h^3 / bw^4 for cells of width h, given as ``error_bound``.
+    Density and bound are null where the bandwidth is zero or undefined (one
+    row, or equal values). An empty table gives no rows.
     """
+    if points < 2 or cells < 1:
+        raise ValueError("two points and one cell are the least")
+    ends = vc.groupBy(*keys).agg(F.min(value).cast("double").alias("vmin"), F.max(value).cast("double").alias("vmax"))
+    ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "vmin", "vmax")
+    on = reduce(Column.__and__, (F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)))
+    x, c = F.col(value).cast("double"), F.col(CNT).cast("double")
+    width = (F.col("vmax") - F.col("vmin")) / F.lit(float(cells))
+    cell = F.least(F.floor(F.coalesce(F.try_divide(x - F.col("vmin"), width), F.lit(0.0))), F.lit(cells - 1))
+    d = x - (F.col("vmin") + (F.col("_cell") + 0.5) * width)
+    per_cell = (vc.join(ends, on).withColumn("_cell", cell).groupBy(*keys, "vmin", "vmax", "_cell")
+                .agg(F.sum(c).alias("_w"), F.sum(c * d).alias("_s1"), F.sum(c * d * d).alias("_s2")))
+    shift = F.col("_s1") / F.col("_w")
+    per_cell = per_cell.select(
+        *keys, "vmin", "vmax", width.alias("_h"), "_w",
+        (F.col("vmin") + (F.col("_cell") + 0.5) * width + shift).alias("_at"),
+        F.greatest(F.col("_s2") - F.col("_s1") * shift, F.lit(0.0)).alias("_m2"))
     part = W.partitionBy(*keys)
-    carry = carry or {}
-    extra = list(carry)
-    x, c = F.col(value), F.col(CNT).cast("double")
-    w = vc.select(*keys, value, CNT, F.sum(CNT).over(part).alias("n"),
-                  F.min(value).over(part).alias("vmin"), F.max(value).over(part).alias("vmax"),
-                  (F.sum(c * x).over(part) / F.sum(c).over(part)).alias("_mean"),
-                  *[fn(part).alias(n) for n, fn in carry.items()])
-    n = F.col("n").cast("double")
-    ss = F.sum(c * (x - F.col("_mean")) * (x - F.col("_mean"))).over(part)
-    w = w.select("*", (F.sqrt(ss / (n - 1)) * F.pow(n, F.lit(-0.2))).alias("bw"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    v = w.select(*keys, value, CNT, "n", "vmin", "vmax", "bw", *extra, grid)
+    n = F.col("n")
+    off = F.col("_at") - F.col("_mean")
+    w = per_cell.select("*", F.sum("_w").over(part).alias("n"))
+    w = w.select("*", (F.sum(F.col("_w") * F.col("_at")).over(part) / n).alias("_mean"))
+    ss = F.sum(F.col("_m2") + F.col("_w") * off * off).over(part)
+    bw = F.sqrt(F.try_divide(ss, n - 1)) * F.pow(n, F.lit(-0.2))
+    w = w.select("*", F.when(F.col("vmax") > F.col("vmin"), bw).alias("bw"))
+    v = w.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     coord = F.col("vmin") + F.col("point") * ((F.col("vmax") - F.col("vmin")) / F.lit(float(points - 1)))
-    z = (coord - x) / F.col("bw")
-    contrib = c * F.exp(F.lit(-0.5) * z * z)
-    dens = v.groupBy(*keys, "point", "n", "vmin", "vmax", "bw", *extra).agg(F.sum(contrib).alias("_k"))
-    norm = F.col("n").cast("double") * F.col("bw") * F.lit(math.sqrt(2.0 * math.pi))
-    return dens.select(*keys, "point", coord.alias("coord"),
-                       F.when(F.col("bw") > 0, F.col("_k") / norm).alias("density"), *extra)
+    z = (coord - F.col("_at")) / F.col("bw")
+    contrib = F.exp(F.lit(-0.5) * z * z) * (
+        F.col("_w") + F.lit(0.5) * (z * z - 1) * F.col("_m2") / (F.col("bw") * F.col("bw")))
+    dens = v.groupBy(*keys, "point", "n", "vmin", "vmax", "_h", "bw").agg(F.sum(contrib).alias("_k"))
+    norm = n * F.col("bw") * F.lit(math.sqrt(2.0 * math.pi))
+    return dens.select(*keys, "point", coord.alias("coord"), (F.col("_k") / norm).alias("density"),
+                       (F.lit(0.0115) * F.pow("_h", F.lit(3.0)) / F.pow("bw", F.lit(4.0))).alias("error_bound"),
+                       "vmin", "vmax")

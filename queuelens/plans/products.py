@@ -19,6 +19,7 @@ from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
 from queuelens.operators.contingency import crosstab_long, expected
 from queuelens.operators.model import WaitingList
+from queuelens.operators.quantiles import wide_percentiles
 from queuelens.plans import sqlkit as S
 
 SQL: dict[str, str] = {}
@@ -453,13 +454,12 @@ WHERE adult_child IN ('Adult', 'Child') AND time_bands = '18+ Months' GROUP BY a
 # K18 ------------------------------------------------------------------------
 def violin_by_year(wl: WaitingList, o: Options = Options()) -> DataFrame:
     vc = _log_counts(wl)
-    carry = {"_med": lambda w: F.percentile("x", F.lit(0.5), F.col(D.CNT)).over(w),
-             "_min": lambda w: F.min("x").over(w), "_max": lambda w: F.max("x").over(w)}
-    out = D.gaussian_kde(vc, ["year"], "x", o.kde_points, carry)
+    medians = wide_percentiles(vc, ["year"], "x", [0.5], "_med", ranges=64).withColumnRenamed("year", "_year")
+    out = D.gaussian_kde(vc, ["year"], "x", o.kde_points).join(medians, F.col("year") == F.col("_year"))
     return out.select("year", "point", M.round_half("coord", 6).alias("coord"),
                       M.round_half("density", 6).alias("density"),
-                      M.round_half("_med", 6).alias("median"), M.round_half("_min", 6).alias("min_x"),
-                      M.round_half("_max", 6).alias("max_x")).orderBy("year", "point")
+                      M.round_half("_med0", 6).alias("median"), M.round_half("vmin", 6).alias("min_x"),
+                      M.round_half("vmax", 6).alias("max_x")).orderBy("year", "point")
 
 
 SQL["violin_by_year"] = S.with_adapter(f"""

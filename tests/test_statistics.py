@@ -142,6 +142,32 @@ def test_kde_matches_numpy(spark):
     assert [r["density"] for r in got] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("cells", [16, 200, 16384])
+def test_kde_of_wide_domain_within_its_bound(spark, cells):
+    rng = np.random.default_rng(cells)
+    sets = {"a": rng.normal(0, 1, 3000), "b": np.exp(rng.normal(0, 1, 2000)) + 1e6}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in sets.items() for x in xs], "k string, x double")
+    got = D.gaussian_kde(D.value_counts(df, ["k"], "x"), ["k"], "x", 50, cells).orderBy("k", "point").collect()
+    assert len(got) == 100
+    for k, xs in sets.items():
+        bw = xs.std(ddof=1) * len(xs) ** -0.2
+        for r, t in zip([r for r in got if r["k"] == k], np.linspace(xs.min(), xs.max(), 50), strict=True):
+            exact = np.exp(-0.5 * ((t - xs) / bw) ** 2).sum() / (len(xs) * bw * math.sqrt(2 * math.pi))
+            assert r["error_bound"] == pytest.approx(0.0115 * (np.ptp(xs) / cells) ** 3 / bw ** 4, rel=1e-6)
+            assert abs(r["density"] - exact) <= r["error_bound"] + 1e-9
+            if cells == 16384:
+                assert r["density"] == pytest.approx(exact, abs=1e-6)
+
+
+def test_kde_one_row_equal_values_and_empty(spark):
+    df = spark.createDataFrame([("one", 3.0), ("same", 2.0), ("same", 2.0)], "k string, x double")
+    vc = D.value_counts(df, ["k"], "x")
+    got = D.gaussian_kde(vc, ["k"], "x", 3).collect()
+    assert len(got) == 6 and all(r["density"] is None and r["error_bound"] is None for r in got)
+    assert {(r["k"], r["coord"]) for r in got} == {("one", 3.0), ("same", 2.0)}
+    assert D.gaussian_kde(vc.limit(0), ["k"], "x", 3).collect() == []
+
+
 def test_box_stats_whiskers(spark):
     vals = [1, 2, 3, 4, 5, 6, 7, 8, 100]
     df = spark.createDataFrame([("a", float(v)) for v in vals], "k string, x double")
