@@ -10,6 +10,7 @@ from queuelens.functions import measures as M
 from queuelens.functions.constants import ELDERLY_AGE, PATIENT_TYPES
 from queuelens.functions.options import Options
 from queuelens.operators import distribution as D
+from queuelens.operators.distincts import bitmaps, rolled_up
 from queuelens.operators.model import WaitingList, drop_null_age, waiting_list
 from queuelens.operators.quantiles import wide_percentiles
 from queuelens.operators.ranktests import spearman
@@ -302,6 +303,17 @@ def load_audit(wl: WaitingList, o: Options = Options()) -> DataFrame:
     return wide.select(F.inline(rows)).filter("_keep").drop("_keep")
 
 
+def distinct_rollup(wl: WaitingList, o: Options = Options()) -> DataFrame:
+    """Distinct specialties per type and year, per type, per year and overall, all from one set of bitmaps."""
+    maps = bitmaps(wl.combined(), ["patient_type", "year"], "specialty_name")
+    return rolled_up(maps, [["patient_type", "year"], ["patient_type"], ["year"], []], "specialties")
+
+
+SQL["distinct_rollup"] = S.with_adapter("""
+SELECT patient_type, year, GROUPING(patient_type, year) AS grain, COUNT(DISTINCT specialty_name) AS specialties
+FROM combined GROUP BY GROUPING SETS ((patient_type, year), (patient_type), (year), ())""")
+
+
 _AUDIT_METRICS = ["records", "total_patients", "first_date", "last_date", "specialties", "specialty_groups"]
 SQL["load_audit"] = S.with_adapter("\nUNION ALL\n".join(
     [f"SELECT dataset, '{m}' AS metric, CAST({m} AS VARCHAR) AS value FROM ls" for m in _AUDIT_METRICS]
@@ -419,6 +431,7 @@ PUBLISHED = {
     "outpatient_with_age": outpatient_with_age,
     "null_audit": null_audit,
     "load_summary": load_summary,
+    "distinct_rollup": distinct_rollup,
     "load_audit": load_audit,
     "pk_duplicates": pk_duplicates,
     "fk_orphans": fk_orphans,
