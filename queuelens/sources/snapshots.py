@@ -101,10 +101,13 @@ def publish(rows: DataFrame, root: str, years: Iterable = ()) -> int:
             return version
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: T.StructType, version: int | None = None) -> DataFrame:
-    """The rows of one version; filters on ``year`` prune its folders."""
+def read_snapshot(spark: SparkSession, root: str, schema: T.StructType, version: int | None = None,
+                  years: Iterable | None = None) -> DataFrame:
+    """The rows of one version, or of its ``years`` as the manifest names them; filters on ``year`` prune its folders."""
     data = f"{root.rstrip('/')}/data"
-    paths = [f"{data}/year={y}/{BATCH}={b}" for y, b in sorted(manifest(spark, root, version).items())]
+    wanted = None if years is None else {str(y) for y in years}
+    paths = [f"{data}/year={y}/{BATCH}={b}" for y, b in sorted(manifest(spark, root, version).items())
+             if wanted is None or y in wanted]
     if not paths:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", data).parquet(*paths).select(*schema.names)
