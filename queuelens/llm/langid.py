@@ -15,10 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from queuelens.llm.common import fresh
 
@@ -210,6 +211,16 @@ def calibrate(model: Model, docs: dict[str, list[Counter]], z: float, margin: fl
     return model
 
 
+def _some(texts: pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts in their order, a few at a time: at most ``rows``, and ``size`` bytes unless a single text has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo, past = 0, 0
+    while lo < len(texts):
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, past + size, "right"))))
+        yield texts.slice(lo, hi - lo).to_pylist()
+        lo, past = hi, int(ends[hi - 1])
+
+
 def held_out(key: str, modulus: int, rest: int) -> Column:
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     return F.crc32(F.encode(text, "UTF-8")) % modulus == rest
@@ -233,15 +244,19 @@ def fit(docs: DataFrame, sample: int = 400, order: int = 5, z: float = 6.0, marg
             .filter(draw).drop("_l", "_n")
             .withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= sample))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text, r in zip(batch["_lang"], batch["_text"], batch["_r"]):
+            texts = (t for some in _some(batch["_text"]) for t in some)
+            for lang, text, r in zip(batch["_lang"].to_pylist(), texts, batch["_r"].to_pylist()):
                 found = Counter(WORDS.findall(text.lower()))
                 own = r if r % 4 == 0 else 0         # the training part needs no documents
                 if found:
-                    yield pd.DataFrame({"_lang": lang, "_r": own, "word": list(found), "n": list(found.values())})
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(found), pa.string()), pa.array([own] * len(found), pa.int32()),
+                         pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
+                        ["_lang", "_r", "word", "n"])
 
-    table = (rows.select("_lang", "_text", "_r").mapInPandas(count, "_lang string, _r int, word string, n long")
+    table = (rows.select("_lang", "_text", "_r").mapInArrow(count, "_lang string, _r int, word string, n long")
              .groupBy("_lang", "_r", "word").agg(F.sum("n").alias("n")).collect())    # bounded by the sample
     training: dict[str, Counter] = {}
     trial: dict[str, dict[int, Counter]] = {}
@@ -257,10 +272,15 @@ def fit(docs: DataFrame, sample: int = 400, order: int = 5, z: float = 6.0, marg
 
 
 PREDICTION = "lang_pred string, score double, cross_entropy double, rejected boolean"
+KINDS = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 
 
 def predictor(model: Model, cached: int = 400_000):
-    """Pandas UDF text -> prediction; words seen before in the task are not scored again."""
+    """Arrow UDF text -> prediction; words seen before in the task are not scored again.
+
+    Besides the batch as it comes, a task holds the scores of these words, the
+    texts of one ``_some`` and what scoring 4096 words takes.
+    """
     names = [*model.languages]
     own = model.judged if model.judged is not None else np.ones(len(names), bool)
 
@@ -269,23 +289,28 @@ def predictor(model: Model, cached: int = 400_000):
             return []
         return WORDS.findall(text.lower())
 
-    @pandas_udf(PREDICTION)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf(PREDICTION)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, int] = {}
-        logs, sizes = np.zeros((0, len(names))), np.zeros(0, np.int64)
+        logs, sizes = np.empty((4096, len(names))), np.empty(4096, np.int64)
         for batch in batches:
             out = []
-            for lo in range(0, len(batch), 256):
-                docs = [words_of(t) for t in batch.iloc[lo:lo + 256]]
+            for texts in _some(batch):
+                docs = [words_of(t) for t in texts]
                 if len(known) > cached:
                     known.clear()
-                    logs, sizes = logs[:0], sizes[:0]
                 new = [w for w in dict.fromkeys(w for d in docs for w in d) if w not in known]
                 if new and names:
-                    for i, w in enumerate(new, len(known)):
-                        known[w] = i
-                    more, n = model.word_scores(new)
-                    logs, sizes = np.concatenate([logs, more]), np.concatenate([sizes, n])
+                    had, need = len(known), len(known) + len(new)
+                    if need > len(logs):             # twice the room, of which only what is filled takes memory
+                        for_logs, for_sizes = np.empty((2 * need, len(names))), np.empty(2 * need, np.int64)
+                        for_logs[:had], for_sizes[:had] = logs[:had], sizes[:had]
+                        logs, sizes = for_logs, for_sizes
+                    for lo in range(0, len(new), 4096):
+                        some = new[lo:lo + 4096]
+                        at = slice(had + lo, had + lo + len(some))
+                        logs[at], sizes[at] = model.word_scores(some)
+                    known.update(zip(new, range(had, need)))
                 for words in docs:
                     if not words or not names:
                         out.append((UNDETERMINED, 0.0, None, not words))
@@ -300,7 +325,10 @@ def predictor(model: Model, cached: int = 400_000):
                         j = k if entropy[k] <= limit[k] else j
                     share = 1.0 / np.exp2((entropy[j] - entropy) * min(n, 40)).sum()
                     out.append((names[j], float(share), float(entropy[j]), bool(entropy[j] > limit[j])))
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "cross_entropy", "rejected"])
+            yield pa.StructArray.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(zip(*out) if out else [()] * 4, KINDS)],
+                ["lang_pred", "score", "cross_entropy", "rejected"])
+            del batch                                # before the next one comes
 
     return predict
 

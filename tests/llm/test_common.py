@@ -2,7 +2,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import SHUFFLE_CLEANUP, settle
+from queuelens.llm.common import SHUFFLE_CLEANUP, numbered, settle
 
 
 def shuffle_files(spark):
@@ -23,3 +23,11 @@ def test_settle_leaves_no_shuffle_files(spark):
     want = {(k, s, s) for k in range(100) for s in [sum(range(k, 5000, 100))]}
     assert {tuple(r) for r in got.collect()} == want == {tuple(r) for r in got.collect()}
     assert rows.count() == 100 and rows.count() == 100
+
+
+def test_file_numbers_start_no_python_workers(spark, stored):
+    """File names reach the plan as a local relation; rows of tuples would be an RDD that Python workers serialise."""
+    docs, row = numbered(stored([(i, f"t{i}") for i in range(50)], "doc_id long, text string"))
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "RDD" not in plan
+    assert docs.select(row).distinct().count() == 50

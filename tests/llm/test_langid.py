@@ -1,10 +1,12 @@
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from queuelens.llm.langid import identify, fit, keep_known_languages, predict_languages, train
+from queuelens.llm.langid import identify, fit, keep_known_languages, predict_languages, predictor, train
 from tests.llm.conftest import prose
 
 
@@ -103,3 +105,21 @@ def test_no_labels(stored):
     docs = stored([(1, "some words", None), (2, "", None)], "doc_id long, text string, lang string")
     assert {r.doc_id: (r.lang_pred, r.rejected) for r in predict_languages(docs).collect()} == {
         1: ("und", False), 2: ("und", True)}
+
+
+def test_a_task_holds_few_texts_and_words_at_a_time(spark):
+    """Texts of a batch of Arrow are read and their words scored a few at a time, whatever the batch holds."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(500)) for _ in range(400)]
+    texts[7], texts[300] = None, "12 34"
+    predict = predictor(train({"x": Counter({"abba": 4, "cab": 1}), "y": Counter({"jig": 2})})).func
+    assert len(list(predict(iter([pa.array(texts[:2])])))) == 1          # compiled and imported
+    batch = pa.array(texts)
+    tracemalloc.start()
+    found = [r for b in predict(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for i, r in enumerate(found) if r["lang_pred"] == "und"] == [7, 300] and len(found) == 400
+    assert peak < 90e6                               # 200,000 words and their scores; all scored at once took 209 MB
+    some = [r for b in predict(iter([batch.slice(0, 9), batch.slice(9, 291), batch.slice(300)])) for r in b.to_pylist()]
+    assert some == found
